@@ -83,13 +83,13 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, w FROM d WHERE len(w) >= 20),
 keyed AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS k FROM win),
 again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM keyed) WHERE n > 1),
-gone AS (SELECT DISTINCT doc_id, p + i AS at FROM again, (SELECT unnest(range(0, 20)) AS i)),
-lists AS (SELECT doc_id, list(at) AS ats FROM gone GROUP BY doc_id),
-kept AS (SELECT d.doc_id, d.w, l.ats, CASE WHEN l.ats IS NULL THEN d.w ELSE list_transform(list_filter(list_zip(d.w, range(1, len(d.w) + 1)), x -> NOT list_contains(l.ats, x[2])), x -> x[1]) END AS k
+gone AS (SELECT DISTINCT doc_id, p + i AS word_at FROM again, (SELECT unnest(range(0, 20)) AS i)),
+lists AS (SELECT doc_id, list(word_at) AS ats FROM gone GROUP BY doc_id),
+kept AS (SELECT d.doc_id, d.w, l.ats, CASE WHEN l.ats IS NULL THEN d.w ELSE list_transform(list_filter(list_zip(d.w, range(1, len(d.w) + 1)), lambda x: NOT list_contains(l.ats, x[2])), lambda x: x[1]) END AS k
          FROM d LEFT JOIN lists l USING (doc_id))
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ats), 0)::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept""",
     "op5_quality_rules": rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, w FROM d WHERE len(w) >= 5),
 keyed AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p:p + 4], ' ')) AS n FROM win),
 rep AS (SELECT doc_id, count(DISTINCT p + i) AS n_repeat_words FROM keyed, (SELECT unnest(range(0, 5)) AS i) WHERE n > 1 GROUP BY doc_id),
@@ -101,7 +101,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND n_words >= 10 AND n_repeat_words / n <= 0.2 AND word_chars / n BETWEEN 2.0 AND 15.0 AND n_symbols / n <= 0.1
        AND n_dup_lines / greatest(n_lines, 1) <= 0.3 AND (n_words < 50 OR stop_words >= 2) AS kept FROM v""",
     "op8_voronoi_knn": """
-WITH e AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings),
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5""",
 }
