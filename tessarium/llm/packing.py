@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,18 +28,35 @@ from tessarium.llm.common import checkpointed, map_arrow, rows, texts
 
 BLOCK = 50_000
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: A space before white space or the end: there the split at spaces is not also one of the tokenizer's.
 UNSAFE = re.compile(r" (?=\s|\Z)")
 SPACE_WORD = re.compile(r"(?= \S)")
 
 
+class Bare(dict):
+    """Ids of strings without a space before them."""
+
+    def __init__(self, ids: Callable[[str], bytes]):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= REMEMBERED // 4:
+            self.clear()
+        found = self.ids(text)
+        if len(text) <= 64:
+            self[text] = found
+        return found
+
+
 class Chunks(dict):
     """Little-endian 32-bit ids of chunks that begin with a space; emptied when full."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Bare(self.ids)
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
@@ -47,11 +64,20 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self.ids(" " + chunk)
+        found = self.parts(chunk) or self.ids(" " + chunk)
         if len(chunk) <= 64:
             self[chunk] = found
         return found
 
+    def parts(self, chunk: str) -> bytes | None:
+        """Ids of a word and the punctuation or the single line end after it, which the tokenizer also takes one by one; both recur more often
+        than the whole."""
+        head, line_end, rest = chunk.partition("\n")
+        if line_end:
+            return self[head] + self.bare["\n"] + self.bare[rest] if head and rest and not head[-1].isspace() and not rest[0].isspace() else None
+        word = chunk.rstrip(".,!?;:")
+        return self[word] + self.bare[chunk[len(word) :]] if word != chunk and word.isalpha() else None
+
     def encode(self, text: str) -> bytes:
         """Byte-level tokenizers begin a new word at each space that a visible character follows, so chunks are encoded independently."""
         if UNSAFE.search(text):
