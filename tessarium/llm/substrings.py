@@ -1,11 +1,11 @@
 """Removal of word windows that start earlier in the corpus, by level-wise doubling.
 
-Level 1 looks at windows of half the length. Of each window of full length only one half-length window is used, the one of
-smallest hash in it; equal windows agree on it, so none is missed, and far fewer hashes are shuffled. Neighbouring full windows
-with the same half window form a run. Half windows that occur once drop out. A run whose words equal an earlier document's run
-is repeated as a whole; a half window that survives in several different runs leads to level 2. That level extends the
-survivors to twice the length: only their full windows are hashed (128 bits) and counted. Longer levels can't change
-which words of full windows are covered, so the doubling ends there.
+Level 1 looks at windows of a quarter of the full length. Of each full window only one of them is used, the one of smallest hash in it; equal
+windows agree on it, so none is missed, and far fewer hashes are shuffled. Full windows whose quarter occurs once drop out.
+Level 2 extends the survivors to twice the length: again one half-length window stands for each surviving full window. Neighbouring
+full windows with the same half form a run; a run whose words equal an earlier document's run is repeated as a whole, and a
+half that occurs in one run alone drops out. Level 3 extends what survives in several different runs to the full length: these
+windows are hashed (128 bits) and counted one by one. Longer levels can't change which words full windows cover, so the doubling ends there.
 
 Counting is pre-aggregated by key before the shuffle, and the flags come back by joins that Spark can split when a key is hot.
 A document's own repeats are found locally, so each key appears once per document, and only the smallest doc_id is gathered.
@@ -25,22 +25,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarium.llm.common import map_arrow, rows, same
+from tessarium.llm.common import map_arrow, rows, same, stored
 from tessarium.llm.hashing import Spans, first_smallest, mixed, word_hashes
 
+QUARTERS = pa.schema([("doc_id", pa.int64()), ("quarter", pa.int64()), ("n", pa.int32())])
 RUNS = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("half", pa.int64()), ("run", pa.int64())])
 WINDOWS = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("first", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def runs_of(words: list[bytes], window: int, half: int) -> tuple[np.ndarray, ...]:
-    """First and last window of each run, its half window's hash, its words' hash."""
+def smallest(spans: Spans, window: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of a part's length, and for each full window the place of its smallest one."""
+    hashes = spans.windows(part)
+    return hashes, first_smallest(hashes, window - part + 1)
+
+
+def quarters_of(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Level 1: distinct hashes that stand for full windows, and 1 or 2 if one stands at several places."""
     if len(words) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    hashes, at = smallest(Spans(word_hashes(words)), window, max(1, window // 4))
+    found, n = np.unique(hashes[np.unique(at)].view(np.int64), return_counts=True)
+    return found, np.minimum(n, 2).astype(np.int32)
+
+
+def runs_of(words: list[bytes], window: int, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Level 2: of windows whose quarter is repeated, first and last window of each run, its half window's hash, its words' hash."""
+    if len(words) < window or not len(repeated):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     spans = Spans(word_hashes(words))
-    halves = spans.windows(half)
-    at = first_smallest(halves, window - half + 1)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    quarters, at = smallest(spans, window, max(1, window // 4))
+    alive = np.isin(quarters.view(np.int64)[at], repeated)
+    halves, at = smallest(spans, window, max(1, window // 2))
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (alive[1:] != alive[:-1]))))
     last = np.append(first[1:], len(at)) - 1
+    first, last = first[alive[first]], last[alive[first]]
     where = at[first]
     run = mixed(spans.of(first, last + window) + (where - first).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + (last - first).astype(np.uint64))
     return first, last, halves[where].view(np.int64), run.view(np.int64)
@@ -69,14 +87,33 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
 
     kept_text is the text itself if nothing goes, else the kept words joined by single spaces (null stays null).
     """
-    half = max(1, window // 2)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), "text")
 
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.withColumnRenamed("doc_id", "doc_id_")
+        return left.join(right, same(left["doc_id"], right["doc_id_"]), how).drop("doc_id_")
+
+    def quarters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [quarters_of((t or "").encode().split(), window) for t in batch.column("text").to_pylist()]
+            if found:
+                doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
+                yield rows(QUARTERS, doc, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+
+    level1 = stored(map_arrow(docs, quarters, "doc_id long, quarter long, n int"))
+    per_quarter = level1.groupBy("quarter").agg(F.sum("n").alias("total")).where("total > 1").select("quarter")
+    survivors = level1.select("doc_id", "quarter").join(per_quarter, "quarter").groupBy("doc_id").agg(F.collect_list("quarter").alias("quarters"))
+    docs = joined(docs, survivors, "left")
+
+    def of(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+        value = batch.column(name)[i].values
+        return value.to_numpy() if value is not None else np.zeros(0, np.int64)
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, counts = [], []
-            for text in batch.column("text").to_pylist():
-                first, last, h, r = runs_of((text or "").encode().split(), window, half)
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                first, last, h, r = runs_of(text.encode().split(), window, of(batch, "quarters", i))
                 new = new_ones(h, r)
                 found.append((first[new], last[new], h[new], r[new]))
                 counts.append(len(new))
@@ -84,21 +121,18 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
                 keys = [batch.column(c).take(pa.array(np.repeat(np.arange(len(counts)), counts))) for c in ("doc_id", "version")]
                 yield rows(RUNS, *keys, *(pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*found), list(RUNS)[2:])))
 
-    level1 = map_arrow(docs, runs, "doc_id long, version int, first int, last int, half long, run long")
-    per_run = level1.groupBy("half", "run").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    level2 = map_arrow(docs.where("quarters IS NOT NULL AND text IS NOT NULL"), runs, "doc_id long, version int, first int, last int, half long, run long")
+    per_run = level2.groupBy("half", "run").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     several = per_run.groupBy("half").agg(F.count(F.lit(1)).alias("n_runs")).where("n_runs > 1")
     per_run = per_run.join(several, "half", "left").where("n > 1 OR n_runs IS NOT NULL").select("half", "run", "least", F.col("n_runs").isNotNull().alias("several"))
     later = F.coalesce(F.col("doc_id") > F.col("least"), F.col("least").isNotNull())
-    flagged = level1.join(per_run, ["half", "run"]).select("doc_id", "version", "first", "last", later.alias("repeated"), "several").where("repeated OR several")
-    flagged = flagged.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last", "repeated")).alias("runs"))
-
-    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        right = right.withColumnsRenamed({"doc_id": "doc_id_", "version": "version_"})
-        return left.join(right, same(left["doc_id"], right["doc_id_"]) & same(left["version"], right["version_"]), how).drop("doc_id_", "version_")
+    flagged = level2.join(per_run, ["half", "run"]).select("doc_id", "version", "first", "last", later.alias("repeated"), "several").where("repeated OR several")
+    flagged = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("version", "first", "last", "repeated")).alias("runs"))
 
     def candidates(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of row i: first and last of its repeated runs, and the windows that level 2 has to look at."""
-        spans = batch.column("runs")[i].as_py() or []
+        """Of row i: first and last of its repeated runs, and the windows that level 3 has to look at."""
+        version = batch.column("version")[i].as_py()
+        spans = [s for s in batch.column("runs")[i].as_py() or [] if s["version"] == version]
         repeated = np.array([(s["first"], s["last"]) for s in spans if s["repeated"]], np.int64).reshape(-1, 2)
         open_ = np.array([(s["first"], s["last"]) for s in spans if not s["repeated"]], np.int64).reshape(-1, 2)
         return repeated, ranges(open_[:, 0], open_[:, 1])
@@ -122,9 +156,9 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
                 yield rows(WINDOWS, *keys, *(pa.array(np.concatenate(x), f.type) for x, f in zip(out, list(WINDOWS)[2:])))
 
     open_runs = flagged.where(F.exists("runs", lambda r: ~r["repeated"]))
-    level2 = map_arrow(joined(docs, open_runs, "inner"), windows, "doc_id long, version int, first int, a long, b long")
-    per_window = level2.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = level2.join(per_window, ["a", "b"]).where(later).groupBy("doc_id", "version").agg(F.collect_list("first").alias("windows"))
+    level3 = map_arrow(joined(docs, open_runs, "inner"), windows, "doc_id long, version int, first int, a long, b long")
+    per_window = level3.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = level3.join(per_window, ["a", "b"]).where(later).groupBy("doc_id").agg(F.collect_list(F.struct("version", "first")).alias("windows"))
 
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts
     schema = pa.schema(fields)
@@ -134,7 +168,7 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
             n, gone, digest, left = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 words = (text or "").encode().split()
-                first, last, h, r = runs_of(words, window, half)
+                first, last, h, r = runs_of(words, window, of(batch, "quarters", i))
                 steps = np.zeros(len(words) + 1, np.int64)
                 if len(first):
                     old = np.ones(len(first), bool)
@@ -145,7 +179,7 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
                         inside = np.ones(len(starts), bool)
                         inside[new_ones(*windows_of(words, starts, window))] = False
                         own = starts[inside]
-                    single = np.concatenate((own, np.array(batch.column("windows")[i].as_py() or [], np.int64)))
+                    single = np.concatenate((own, np.array([w["first"] for w in batch.column("windows")[i].as_py() or [] if w["version"] == batch.column("version")[i].as_py()], np.int64)))
                     for a, b in ((first[old], last[old]), (repeated[:, 0], repeated[:, 1]), (single, single)):
                         np.add.at(steps, a, 1)
                         np.add.at(steps, b + window, -1)
