@@ -113,7 +113,7 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
         for batch in batches:
             found, counts = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                first, last, h, r = runs_of(text.encode().split(), window, of(batch, "quarters", i))
+                first, last, h, r = runs_of((text or "").encode().split(), window, of(batch, "quarters", i))
                 new = new_ones(h, r)
                 found.append((first[new], last[new], h[new], r[new]))
                 counts.append(len(new))
@@ -121,9 +121,11 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
                 keys = [batch.column(c).take(pa.array(np.repeat(np.arange(len(counts)), counts))) for c in ("doc_id", "version")]
                 yield rows(RUNS, *keys, *(pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*found), list(RUNS)[2:])))
 
-    level2 = map_arrow(docs.where("quarters IS NOT NULL AND text IS NOT NULL"), runs, "doc_id long, version int, first int, last int, half long, run long")
+    level2 = map_arrow(docs.where("quarters IS NOT NULL"), runs, "doc_id long, version int, first int, last int, half long, run long")
     per_run = level2.groupBy("half", "run").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    several = per_run.groupBy("half").agg(F.count(F.lit(1)).alias("n_runs")).where("n_runs > 1")
+    # uses all columns of per_run, so that Spark shuffles it once for both
+    several = per_run.groupBy("half").agg(F.count(F.lit(1)).alias("n_runs"), F.max("n").alias("most"), F.max(F.coalesce("least", F.lit(0))).alias("lowest"))
+    several = several.where(f"n_runs > 1 AND most > 0 AND lowest + 0 >= {-(1 << 63) + 1}").select("half", "n_runs")
     per_run = per_run.join(several, "half", "left").where("n > 1 OR n_runs IS NOT NULL").select("half", "run", "least", F.col("n_runs").isNotNull().alias("several"))
     later = F.coalesce(F.col("doc_id") > F.col("least"), F.col("least").isNotNull())
     flagged = level2.join(per_run, ["half", "run"]).select("doc_id", "version", "first", "last", later.alias("repeated"), "several").where("repeated OR several")
