@@ -286,7 +286,7 @@ def _spans(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(tx.tokens(F.col("text"))).alias("pos", "text")).select(F.concat_ws("-", "conv_id", "turn", "pos").alias("span_id"), "text")
 
 
-@query(r"WITH s_ AS (SELECT conv_id || '-' || turn || '-' || (i - 1) AS span_id, w[i] AS text FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, " + _TOKENS + r" AS w FROM conversations))), a_ AS (SELECT lower(trim(target)) AS k, min(page_id) AS page_id FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=""/([^""]+)""', 1)) AS target FROM pages) GROUP BY 1) SELECT span_id, text, page_id FROM s_ JOIN a_ ON lower(trim(text)) = k".replace('""', '"'))
+@query(r"WITH s_ AS (SELECT conv_id || '-' || turn || '-' || (i - 1) AS span_id, w[i] AS text FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, " + _TOKENS + r" AS w FROM conversations))), a_ AS (SELECT lower(trim(target)) AS k, min(page_id) AS page_id FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\x22/([^\x22]+)\x22', 1)) AS target FROM pages) GROUP BY 1) SELECT span_id, text, page_id FROM s_ JOIN a_ ON lower(trim(text)) = k")
 def alias_exact_link(spark, sf_dir):
     aliases = href_edges(spark, sf_dir).select(F.col("target").alias("alias"), "page_id")
     return linking.exact(_spans(spark, sf_dir), aliases)
