@@ -64,9 +64,13 @@ def runs_of(words: list[bytes], window: int, repeated: np.ndarray) -> tuple[np.n
     return first, last, halves[where].view(np.int64), run.view(np.int64)
 
 
-def new_ones(*keys: np.ndarray) -> np.ndarray:
-    """Places of the first of each distinct key."""
-    return np.sort(np.unique(np.rec.fromarrays(keys), return_index=True)[1]) if len(keys) > 1 else np.sort(np.unique(keys[0], return_index=True)[1])
+def new_ones(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the first of each distinct pair, in order."""
+    order = np.lexsort((b, a))  # stable: of equal pairs the first comes first
+    x, y = a[order], b[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return np.sort(order[new])
 
 
 def windows_of(words: list[bytes], starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +137,13 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
 
     def candidates(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Of row i: first and last of its repeated runs, and the windows that level 3 has to look at."""
-        version = batch.column("version")[i].as_py()
-        spans = [s for s in batch.column("runs")[i].as_py() or [] if s["version"] == version]
-        repeated = np.array([(s["first"], s["last"]) for s in spans if s["repeated"]], np.int64).reshape(-1, 2)
-        open_ = np.array([(s["first"], s["last"]) for s in spans if not s["repeated"]], np.int64).reshape(-1, 2)
+        spans = batch.column("runs")[i].values
+        if spans is None or not len(spans):
+            return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+        mine = spans.field("version").to_numpy() == batch.column("version")[i].as_py()
+        both = np.stack([spans.field(c).to_numpy() for c in ("first", "last")], 1)
+        again = spans.field("repeated").to_numpy(zero_copy_only=False)
+        repeated, open_ = both[mine & again].astype(np.int64), both[mine & ~again].astype(np.int64)
         return repeated, ranges(open_[:, 0], open_[:, 1])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +188,12 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
                         inside = np.ones(len(starts), bool)
                         inside[new_ones(*windows_of(words, starts, window))] = False
                         own = starts[inside]
-                    single = np.concatenate((own, np.array([w["first"] for w in batch.column("windows")[i].as_py() or [] if w["version"] == batch.column("version")[i].as_py()], np.int64)))
+                    listed = batch.column("windows")[i].values
+                    if listed is None:
+                        single = own
+                    else:
+                        mine = listed.field("version").to_numpy() == batch.column("version")[i].as_py()
+                        single = np.concatenate((own, listed.field("first").to_numpy()[mine].astype(np.int64)))
                     for a, b in ((first[old], last[old]), (repeated[:, 0], repeated[:, 1]), (single, single)):
                         np.add.at(steps, a, 1)
                         np.add.at(steps, b + window, -1)
