@@ -49,7 +49,7 @@ def source_union(sources: DataFrame) -> DataFrame:
 def deprecate(pages: DataFrame, retired: DataFrame) -> DataFrame:
     """retired: page_id, superseded_by."""
     out = pages.drop("superseded_by").join(retired.withColumn("_gone", F.lit(True)), "page_id", "left")
-    return out.withColumn("status", F.when("_gone", "deprecated").otherwise(F.col("status"))).drop("_gone")
+    return out.withColumn("status", F.when(F.col("_gone"), "deprecated").otherwise(F.col("status"))).drop("_gone")
 
 
 def merge(pages: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def first_proposals(proposals: DataFrame) -> DataFrame:
 
 def set_status(pages: DataFrame, keys: DataFrame, status: str) -> DataFrame:
     out = pages.join(keys.select("page_id").distinct().withColumn("_hit", F.lit(True)), "page_id", "left")
-    return out.withColumn("status", F.when("_hit", status).otherwise(F.col("status"))).drop("_hit")
+    return out.withColumn("status", F.when(F.col("_hit"), status).otherwise(F.col("status"))).drop("_hit")
 
 
 def purge(pages: DataFrame, keys: DataFrame) -> DataFrame:

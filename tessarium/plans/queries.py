@@ -320,7 +320,7 @@ def safe_zone_merge(spark, sf_dir):
     return found.select("page_id", F.inline(linking.merged_ranges(F.col("r"))))
 
 
-@query("""WITH e AS (SELECT event_id, user_id % 50 AS key, epoch(ts)::BIGINT AS t FROM events WHERE event_type = 'click'), c AS (SELECT user_id % 50 AS key, epoch(ts)::BIGINT AS u, md5(event_id::VARCHAR) AS hash FROM events WHERE event_type <> 'click')
+@query("""WITH e AS (SELECT event_id, user_id % 50 AS key, floor(epoch(ts))::BIGINT AS t FROM events WHERE event_type = 'click'), c AS (SELECT user_id % 50 AS key, floor(epoch(ts))::BIGINT AS u, md5(event_id::VARCHAR) AS hash FROM events WHERE event_type <> 'click')
 SELECT event_id, first(hash ORDER BY abs(t - u), hash) AS hash, min(abs(t - u)) AS gap FROM e JOIN c ON e.key = c.key AND abs(t - u) <= 300 GROUP BY event_id""")
 def event_commit_asof(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 50).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
