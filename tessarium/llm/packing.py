@@ -11,15 +11,17 @@ share a doc_id are packed one by one. Of equal choices the smallest gap is taken
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,69 +29,48 @@ from tokenizers import Tokenizer
 from tessarium.llm.common import checkpointed, map_arrow, rows, texts
 
 BLOCK = 50_000
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 400_000
-#: A space before white space or the end: there the split at spaces is not also one of the tokenizer's.
-UNSAFE = re.compile(r" (?=\s|\Z)")
-SPACE_WORD = re.compile(r"(?= \S)")
+#: How byte-level tokenizers of this kind split texts into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Bare(dict):
-    """Ids of strings without a space before them."""
+def byte_of() -> dict[str, int]:
+    """Bytes by the visible characters that stand for them in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    def __init__(self, ids: Callable[[str], bytes]):
-        super().__init__()
-        self.ids = ids
 
-    def __missing__(self, text: str) -> bytes:
-        if len(self) >= REMEMBERED // 4:
-            self.clear()
-        found = self.ids(text)
-        if len(text) <= 64:
-            self[text] = found
-        return found
+class Encoder:
+    """Little-endian 32-bit ids of texts, by a byte-level tokenizer's file.
 
-
-class Chunks(dict):
-    """Little-endian 32-bit ids of chunks that begin with a space; emptied when full."""
+    Where the file's merges stand in the order of their ids, tiktoken gives the same ids several times faster. Texts with the string of a
+    special token, and files of other kinds, are left to the tokenizers library itself."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Bare(self.ids)
-
-    def ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self.parts(chunk) or self.ids(" " + chunk)
-        if len(chunk) <= 64:
-            self[chunk] = found
-        return found
-
-    def parts(self, chunk: str) -> bytes | None:
-        """Ids of a word and the punctuation or the single line end after it, which the tokenizer also takes one by one; both recur more often
-        than the whole."""
-        head, line_end, rest = chunk.partition("\n")
-        if line_end:
-            return self[head] + self.bare["\n"] + self.bare[rest] if head and rest and not head[-1].isspace() and not rest[0].isspace() else None
-        word = chunk.rstrip(".,!?;:")
-        return self[word] + self.bare[chunk[len(word) :]] if word != chunk and word.isalpha() else None
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        self.special = [t["content"] for t in said.get("added_tokens", [])]
+        model, split = said["model"], said.get("pre_tokenizer") or {}
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not said.get("normalizer") and not model.get("ignore_merges")
+        self.fast = None
+        if plain and all(x < y for x, y in pairwise(merged)):
+            of = byte_of()
+            ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
+            self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        """Byte-level tokenizers begin a new word at each space that a visible character follows, so chunks are encoded independently."""
-        if UNSAFE.search(text):
-            first, *rest = SPACE_WORD.split(text)
-            return self.ids(first) + b"".join(self[c[1:]] for c in rest)
-        first, *rest = text.split(" ")
-        return self.ids(first) + b"".join(map(self.__getitem__, rest))
+        if not text:
+            return b""
+        if self.fast is None or any(x in text for x in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=2)
-def chunks(path: str) -> Chunks:
-    return Chunks(path)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFrame:
@@ -98,7 +79,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFr
     mark = array("I", [end]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunks(path).encode
+        encode = encoder(path).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
