@@ -6,28 +6,13 @@ import numpy as np
 import xxhash
 
 BASE = 0x9E3779B97F4A7C15
-#: Distinct words whose hashes a worker remembers.
-REMEMBERED = 300_000
+#: Bytes hashed at a time; words of more bytes than LONG are hashed by XXH3, as sums modulo a power of two are weak for long patterns.
+CHUNK, LONG = 1 << 20, 256
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\v\f\r")] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_words = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the 0th .. nth and to the minus 0th .. minus nth, modulo 2 to the 64th."""
     if len(_powers[0]) <= n:
@@ -73,3 +58,24 @@ def first_smallest(values: np.ndarray, width: int) -> np.ndarray:
         at = np.where(values[left] <= values[right], left, right)
         done += step
     return at
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word of a text, from sums of prefixes over its bytes: no object is made for a word."""
+    raw = np.frombuffer(text, np.uint8)
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
+        if ends[j - 1] - starts[i] <= CHUNK:
+            # as 1 to 256, so that every byte counts
+            spans = Spans(raw[starts[i] : ends[j - 1]].astype(np.uint64) + np.uint64(1))
+            out[i:j] = spans.of(starts[i:j] - starts[i], ends[i:j] - starts[i])
+        i = j
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]])
+    return out

@@ -39,20 +39,20 @@ def smallest(spans: Spans, window: int, part: int) -> tuple[np.ndarray, np.ndarr
     return hashes, first_smallest(hashes, window - part + 1)
 
 
-def quarters_of(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Level 1: distinct hashes that stand for full windows, and 1 or 2 if one stands at several places."""
+def quarters_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Level 1: of a text's hashed words, distinct hashes that stand for full windows, and 1 or 2 if one stands at several places."""
     if len(words) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    hashes, at = smallest(Spans(word_hashes(words)), window, max(1, window // 4))
+    hashes, at = smallest(Spans(words), window, max(1, window // 4))
     found, n = np.unique(hashes[np.unique(at)].view(np.int64), return_counts=True)
     return found, np.minimum(n, 2).astype(np.int32)
 
 
-def runs_of(words: list[bytes], window: int, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs_of(words: np.ndarray, window: int, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
     """Level 2: of windows whose quarter is repeated, first and last window of each run, its half window's hash, its words' hash."""
     if len(words) < window or not len(repeated):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    spans = Spans(word_hashes(words))
+    spans = Spans(words)
     quarters, at = smallest(spans, window, max(1, window // 4))
     alive = np.isin(quarters.view(np.int64)[at], repeated)
     halves, at = smallest(spans, window, max(1, window // 2))
@@ -73,9 +73,8 @@ def new_ones(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sort(order[new])
 
 
-def windows_of(words: list[bytes], starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    h = word_hashes(words)
-    a, b = (Spans(x).of(starts, starts + window) for x in (h, mixed(h + np.uint64(0x632BE59BD9B4E019))))
+def windows_of(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (Spans(x).of(starts, starts + window) for x in (words, mixed(words + np.uint64(0x632BE59BD9B4E019))))
     return a.view(np.int64), b.view(np.int64)
 
 
@@ -94,12 +93,13 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), "text")
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        right = right.withColumnRenamed("doc_id", "doc_id_")
+        # the right side has one small row a document; hashed, it spares sorting the texts
+        right = right.withColumnRenamed("doc_id", "doc_id_").hint("shuffle_hash")
         return left.join(right, same(left["doc_id"], right["doc_id_"]), how).drop("doc_id_")
 
     def quarters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [quarters_of((t or "").encode().split(), window) for t in batch.column("text").to_pylist()]
+            found = [quarters_of(word_hashes((t or "").encode()), window) for t in batch.column("text").to_pylist()]
             if found:
                 doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
                 yield rows(QUARTERS, doc, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
@@ -117,7 +117,7 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
         for batch in batches:
             found, counts = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                first, last, h, r = runs_of((text or "").encode().split(), window, of(batch, "quarters", i))
+                first, last, h, r = runs_of(word_hashes((text or "").encode()), window, of(batch, "quarters", i))
                 new = new_ones(h, r)
                 found.append((first[new], last[new], h[new], r[new]))
                 counts.append(len(new))
@@ -153,7 +153,7 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
             for i, text in enumerate(batch.column("text").to_pylist()):
                 starts = candidates(batch, i)[1]
                 if len(starts):
-                    a, b = windows_of(text.encode().split(), starts, window)
+                    a, b = windows_of(word_hashes(text.encode()), starts, window)
                     new = new_ones(a, b)
                     for x, y in zip(out, (starts[new], a[new], b[new])):
                         x.append(y)
@@ -176,17 +176,20 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
         for batch in batches:
             n, gone, digest, left = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                words = (text or "").encode().split()
-                first, last, h, r = runs_of(words, window, of(batch, "quarters", i))
-                steps = np.zeros(len(words) + 1, np.int64)
+                raw = (text or "").encode()
+                words, quarters = raw.split(), of(batch, "quarters", i)
+                hashed = word_hashes(raw) if len(quarters) else np.zeros(0, np.uint64)
+                first, last, h, r = runs_of(hashed, window, quarters)
+                removed = 0
                 if len(first):
+                    steps = np.zeros(len(words) + 1, np.int64)
                     old = np.ones(len(first), bool)
                     old[new_ones(h, r)] = False
                     repeated, starts = candidates(batch, i)
                     own = starts[:0]
                     if len(starts):
                         inside = np.ones(len(starts), bool)
-                        inside[new_ones(*windows_of(words, starts, window))] = False
+                        inside[new_ones(*windows_of(hashed, starts, window))] = False
                         own = starts[inside]
                     listed = batch.column("windows")[i].values
                     if listed is None:
@@ -197,8 +200,8 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
                     for a, b in ((first[old], last[old]), (repeated[:, 0], repeated[:, 1]), (single, single)):
                         np.add.at(steps, a, 1)
                         np.add.at(steps, b + window, -1)
-                stay = np.cumsum(steps[:-1]) == 0
-                removed = len(words) - int(stay.sum())
+                    stay = np.cumsum(steps[:-1]) == 0
+                    removed = len(words) - int(stay.sum())
                 rest = b" ".join(compress(words, stay.tolist()) if removed else words)
                 n.append(len(words))
                 gone.append(removed)
