@@ -39,12 +39,17 @@ def smallest(spans: Spans, window: int, part: int) -> tuple[np.ndarray, np.ndarr
     return hashes, first_smallest(hashes, window - part + 1)
 
 
+def shortened(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(16)).view(np.int64)
+
+
 def quarters_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Level 1: of a text's hashed words, distinct hashes that stand for full windows, and 1 or 2 if one stands at several places."""
     if len(words) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
     hashes, at = smallest(Spans(words), window, max(1, window // 4))
-    found, n = np.unique(hashes[np.unique(at)].view(np.int64), return_counts=True)
+    # 48 bits: collisions only let a window go on to the next level, and shorter keys make smaller shuffles
+    found, n = np.unique(shortened(hashes[np.unique(at)]), return_counts=True)
     return found, np.minimum(n, 2).astype(np.int32)
 
 
@@ -54,7 +59,7 @@ def runs_of(words: np.ndarray, window: int, repeated: np.ndarray) -> tuple[np.nd
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     spans = Spans(words)
     quarters, at = smallest(spans, window, max(1, window // 4))
-    alive = np.isin(quarters.view(np.int64)[at], repeated)
+    alive = np.isin(shortened(quarters)[at], repeated)
     halves, at = smallest(spans, window, max(1, window // 2))
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (alive[1:] != alive[:-1]))))
     last = np.append(first[1:], len(at)) - 1
@@ -126,6 +131,8 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
                 yield rows(RUNS, *keys, *(pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*found), list(RUNS)[2:])))
 
     level2 = map_arrow(docs.where("quarters IS NOT NULL"), runs, "doc_id long, version int, first int, last int, half long, run long")
+    # never null; said here, so that Spark infers no other filters below the joins and shuffles per_run once for both of its uses
+    level2 = level2.where("half IS NOT NULL AND run IS NOT NULL")
     per_run = level2.groupBy("half", "run").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     # uses all columns of per_run, so that Spark shuffles it once for both
     several = per_run.groupBy("half").agg(F.count(F.lit(1)).alias("n_runs"), F.max("n").alias("most"), F.max(F.coalesce("least", F.lit(0))).alias("lowest"))
