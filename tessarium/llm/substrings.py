@@ -29,7 +29,7 @@ from tessarium.llm.common import map_arrow, rows, same, stored
 from tessarium.llm.hashing import Spans, first_smallest, mixed, word_hashes
 
 QUARTERS = pa.schema([("doc_id", pa.int64()), ("quarter", pa.int64()), ("n", pa.int32())])
-RUNS = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("half", pa.int64()), ("run", pa.int64())])
+RUNS = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("span", pa.int64()), ("half", pa.int64()), ("run", pa.int64())])
 WINDOWS = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("first", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -124,13 +124,14 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
             for i, text in enumerate(batch.column("text").to_pylist()):
                 first, last, h, r = runs_of(word_hashes((text or "").encode()), window, of(batch, "quarters", i))
                 new = new_ones(h, r)
-                found.append((first[new], last[new], h[new], r[new]))
+                # first and last in one number make shorter rows
+                found.append((first[new] | (last[new] - first[new]) << 32, h[new], r[new]))
                 counts.append(len(new))
             if counts:
                 keys = [batch.column(c).take(pa.array(np.repeat(np.arange(len(counts)), counts))) for c in ("doc_id", "version")]
                 yield rows(RUNS, *keys, *(pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*found), list(RUNS)[2:])))
 
-    level2 = map_arrow(docs.where("quarters IS NOT NULL"), runs, "doc_id long, version int, first int, last int, half long, run long")
+    level2 = map_arrow(docs.where("quarters IS NOT NULL"), runs, "doc_id long, version int, span long, half long, run long")
     # never null; said here, so that Spark infers no other filters below the joins and shuffles per_run once for both of its uses
     level2 = level2.where("half IS NOT NULL AND run IS NOT NULL")
     per_run = level2.groupBy("half", "run").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
@@ -139,8 +140,8 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
     several = several.where(f"n_runs > 1 AND most > 0 AND lowest + 0 >= {-(1 << 63) + 1}").select("half", "n_runs")
     per_run = per_run.join(several, "half", "left").where("n > 1 OR n_runs IS NOT NULL").select("half", "run", "least", F.col("n_runs").isNotNull().alias("several"))
     later = F.coalesce(F.col("doc_id") > F.col("least"), F.col("least").isNotNull())
-    flagged = level2.join(per_run, ["half", "run"]).select("doc_id", "version", "first", "last", later.alias("repeated"), "several").where("repeated OR several")
-    flagged = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("version", "first", "last", "repeated")).alias("runs"))
+    flagged = level2.join(per_run, ["half", "run"]).select("doc_id", "version", "span", later.alias("repeated"), "several").where("repeated OR several")
+    flagged = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("version", "span", "repeated")).alias("runs"))
 
     def candidates(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Of row i: first and last of its repeated runs, and the windows that level 3 has to look at."""
@@ -148,7 +149,9 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
         if spans is None or not len(spans):
             return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         mine = spans.field("version").to_numpy() == batch.column("version")[i].as_py()
-        both = np.stack([spans.field(c).to_numpy() for c in ("first", "last")], 1)
+        span = spans.field("span").to_numpy()
+        first = span & 0xFFFFFFFF
+        both = np.stack([first, first + (span >> 32)], 1)
         again = spans.field("repeated").to_numpy(zero_copy_only=False)
         repeated, open_ = both[mine & again].astype(np.int64), both[mine & ~again].astype(np.int64)
         return repeated, ranges(open_[:, 0], open_[:, 1])
