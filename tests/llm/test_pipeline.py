@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline
-from tessarium.llm import quality_rules, secret_scan
+from tessarium.llm import near_copies, quality_rules, secret_scan, simhash
 
 TABLE = "/root/testdata/sf0.001"
 
@@ -17,3 +19,37 @@ def test_stages_and_run(spark):
     assert all(b <= a for a, b in zip(ids, ids[1:])) and ids[3] == ids[4] == ids[5]
     assert not any(secret_scan.base_spans(r.text) for r in seen[4].collect())
     assert corpus_pipeline.run(spark, TABLE).count() == seen[-1].count()
+
+
+def near_copies_by_hand(texts: list) -> set:
+    """Places of the first text of each component of pairs of similarity 0.8."""
+    sets = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            label[i] = min(label[j] for j, b in enumerate(sets) if a == b or len(a & b) >= 0.8 * len(a | b))
+            label[i] = label[label[i]]
+    return {i for i, x in enumerate(label) if i == x}
+
+
+def test_near_dedup_joins_all_pairs_of_similarity_08(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    r = random.Random(8)
+    texts = [None, "", "one", "One", "a b c d"]
+    for _ in range(8):
+        base = [f"w{r.randrange(9999)}" for _ in range(r.choice([40, 120, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(14):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), max(1, len(copy) * r.randrange(1, 5) // 100)):
+                copy[at] = f"x{r.randrange(9999)}"
+            texts.append(" ".join(copy))
+    r.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = near_copies_by_hand(texts)
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, TABLE).collect()} == want
+    # op4's fingerprints within 4 bits join fewer of them
+    assert simhash.near_duplicates(docs).where("doc_id = component_id").count() > len(want)
