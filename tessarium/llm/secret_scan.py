@@ -73,13 +73,13 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, path: str, pattern: str, ratio: float = 2.2, mark: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, path: str, pattern: str, ratio: float = 2.2, mark: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans; with a mark also clean_text, in which the mark replaces each secret.
 
-    ratio: characters per token under which a string counts as random.
+    ratio: characters per token under which a string counts as random. Carried columns, all strings, stay beside their row.
     """
     fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:3]), ("base_sha256", pa.string()), ("spans", pa.string())]
-    schema = pa.schema(fields + [("clean_text", pa.string())] * (mark is not None))
+    schema = pa.schema(fields + [("clean_text", pa.string())] * (mark is not None) + [(c, pa.string()) for c in carried])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(path, pattern)
@@ -94,6 +94,6 @@ def scan(docs: DataFrame, path: str, pattern: str, ratio: float = 2.2, mark: str
                     column.append(x)
                 if mark is not None:
                     clean.append(redacted(text, spans, mark) if spans else raw)
-            yield rows(schema, batch.column("doc_id"), *out, *([clean] if mark is not None else []))
+            yield rows(schema, batch.column("doc_id"), *out, *([clean] if mark is not None else []), *(batch.column(c) for c in carried))
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", clean_text string" * (mark is not None))
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", clean_text string" * (mark is not None) + "".join(f", {c} string" for c in carried))

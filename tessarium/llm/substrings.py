@@ -90,12 +90,13 @@ def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)]))
 
 
-def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
+def cut(docs: DataFrame, window: int = 20, texts: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row; with texts=True also kept_text.
 
-    kept_text is the text itself if nothing goes, else the kept words joined by single spaces (null stays null).
+    kept_text is the text itself if nothing goes, else the kept words joined by single spaces (null stays null). Carried columns, all
+    strings, stay beside their row.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), "text", *carried)
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         # the right side has one small row a document; hashed, it spares sorting the texts
@@ -179,7 +180,7 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
     per_window = level3.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = level3.join(per_window, ["a", "b"]).where(later).groupBy("doc_id").agg(F.collect_list(F.struct("version", "first")).alias("windows"))
 
-    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts
+    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts + [(c, pa.string()) for c in carried]
     schema = pa.schema(fields)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +218,6 @@ def cut(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
                 gone.append(removed)
                 digest.append(hashlib.sha256(rest).hexdigest())
                 left.append(rest.decode() if removed else text)
-            yield rows(schema, batch.column("doc_id"), n, gone, digest, *([left] if texts else []))
+            yield rows(schema, batch.column("doc_id"), n, gone, digest, *([left] if texts else []), *(batch.column(c) for c in carried))
 
-    return map_arrow(joined(joined(docs, flagged, "left"), again, "left"), kept, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    return map_arrow(joined(joined(docs, flagged, "left"), again, "left"), kept, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts + "".join(f", {c} string" for c in carried))

@@ -53,3 +53,22 @@ def test_near_dedup_joins_all_pairs_of_similarity_08(spark, monkeypatch):
     assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, TABLE).collect()} == want
     # op4's fingerprints within 4 bits join fewer of them
     assert simhash.near_duplicates(docs).where("doc_id = component_id").count() > len(want)
+
+
+def test_rows_of_equal_or_null_doc_id_stay_apart(spark):
+    r = random.Random(11)
+    prose = lambda: " ".join(f"w{r.randrange(9999)}" for _ in range(60))
+    copied, named = prose(), [prose() for _ in range(3)]
+    nameless = [prose() for _ in range(4)]
+    rows = [(5, named[0], "en", "a"), (5, named[1], "fr", "b"), (5, named[1], "fr", "b"), (2, copied, "en", "c"), (5, copied + " more", "de", "d"), (9, named[2], "en", "e")]
+    rows += [(None, t, "en", f"n{i}") for i, t in enumerate(nameless)] + [(None, nameless[0] + " more", "en", "n9"), (None, None, "en", "f"), (None, named[2], "en", "g")]
+    docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, TABLE).cache()
+    found = [(x.doc_id, x.text) for x in kept.collect()]
+    texts = [t for i, t in found if i is None]
+    assert sorted(((i, t) for i, t in found if i is not None)) == sorted([(5, named[0]), (5, named[1]), (2, copied), (9, named[2])])
+    assert len(texts) == 5 and None in texts and set(nameless[1:]) < set(texts) and len({nameless[0], nameless[0] + " more"} & set(texts)) == 1
+    # the stages after it give each row its own text, language and source, once
+    key = lambda t: sorted(map(repr, t.select("doc_id", "text", "lang", "source", "n_chars").collect()))
+    rest = key(kept.where("text IS NOT NULL"))
+    assert key(corpus_pipeline.substring_dedup(spark, kept, TABLE)) == rest and key(corpus_pipeline.secrets(spark, kept.where("text IS NOT NULL"), TABLE)) == rest
