@@ -25,21 +25,39 @@ from tessarium.llm.training import Adam, sample, sigmoid
 BUCKETS, DIMENSIONS, STEPS, RATE = 1 << 18, 4, 80, 0.05
 #: Averages are scaled up before the softmax; a penalty on squares, and words of fewer documents left out, keep rare words from being learnt by heart.
 SCALE, PENALTY, LEAST_DOCUMENTS = 100.0, 1e-4, 4
-#: Words whose sums a worker remembers, and characters of a word that make n-grams.
-REMEMBERED, WORD_CHARS = 300_000, 64
+#: Words whose sums a worker remembers, bytes of a word up to which it is remembered, and n-grams of a longer word hashed at a time.
+REMEMBERED, WORD_CHARS, GRAMS = 300_000, 64, 1 << 16
+#: The table of CRC-32, as zlib has it.
+CRC = np.array([zlib.crc32(bytes([255 - i])) ^ 0xFF000000 for i in range(256)], np.uint32)
 
 
 def plain(word: bytes) -> bytes:
     """Lower case, without punctuation at the ends."""
-    return word.lower().strip(b".,;:!?\"'()[]|*%&$#")[:WORD_CHARS]
+    return word.lower().strip(b".,;:!?\"'()[]|*%&$#")
 
 
 def bag_size(word: bytes) -> int:
     return 1 + sum(max(0, len(word) + 3 - n) for n in (3, 4, 5))
 
 
-def subwords(word: bytes) -> list[int]:
+def long_subwords(word: bytes) -> Iterator[np.ndarray]:
+    """subwords() of a long word, some at a time: the CRC of all n-grams at once, byte by byte."""
+    w = b"<" + word + b">"
+    yield np.array([zlib.crc32(w + b"*") & (BUCKETS - 1)])
+    raw = np.frombuffer(w, np.uint8)
+    for a in range(0, len(raw), GRAMS):
+        crc = np.full(min(GRAMS, len(raw) - a), 0xFFFFFFFF, np.uint32)
+        for k in range(5):
+            crc = crc[: len(raw) - a - k]
+            crc = CRC[(crc ^ raw[a + k : a + k + len(crc)]) & 255] ^ (crc >> np.uint32(8))
+            if k >= 2:
+                yield (~crc & np.uint32(BUCKETS - 1)).astype(np.int64)
+
+
+def subwords(word: bytes) -> list[int] | np.ndarray:
     """Buckets of a plain word's bag: the word and its n-grams, ends marked."""
+    if len(word) > WORD_CHARS:
+        return np.concatenate(list(long_subwords(word)))
     w = b"<" + word + b">"
     grams = [w + b"*", *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))]
     return [zlib.crc32(g) & (BUCKETS - 1) for g in grams]
@@ -106,7 +124,9 @@ def scored(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "to
             def __missing__(self, word: bytes) -> complex:
                 if len(self) >= REMEMBERED:
                     self.clear()
-                bag = subwords(plain(word))
+                if len(short := plain(word)) > WORD_CHARS:
+                    return complex(sum(weights[bag].sum() for bag in long_subwords(short)), bag_size(short))
+                bag = subwords(short)
                 found = complex(weights[bag].sum(), len(bag))
                 if len(word) <= WORD_CHARS:
                     self[word] = found

@@ -238,3 +238,17 @@ def test_classifiers(spark, module, label):
     assert found["score"].between(0, 1).all() and len(found) == 601
     nothing = module.scored(table, labels.limit(0), fold(3) != 1)
     assert nothing.agg(F.max("score")).first()[0] < 0.01 and module.scored(table.limit(0), labels, fold(3) != 1).count() == 0
+
+
+def test_toxicity_scores_long_words_whole(spark):
+    r = random.Random(6)
+    for n in (65, 66, 300, 70_000):
+        word = bytes(r.randrange(97, 256) for _ in range(n))
+        w = b"<" + word + b">"
+        grams = [w + b"*", *(w[i : i + k] for k in (3, 4, 5) for i in range(len(w) - k + 1))]
+        assert sorted(toxicity.subwords(word)) == sorted(zlib.crc32(g) & (toxicity.BUCKETS - 1) for g in grams) and len(grams) == toxicity.bag_size(word)
+    table, labels = labelled(spark, "wickedly")
+    run = "on_the_an_re_" * 8
+    texts = [(10_001, run), (10_002, run + "wickedly_" * 20)]
+    found = {x.doc_id: x.score for x in toxicity.scored(table.union(spark.createDataFrame(texts, table.schema)), labels, fold(3) != 1).where("doc_id > 10000").collect()}
+    assert found[10_002] > found[10_001] + 0.05
