@@ -80,7 +80,10 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, pivot
                 yield rows(grouped, batch.column("vec_id"), batch.column("v"), at.astype(np.int32), far)
 
     cells = checkpointed(map_arrow(whole_numbers(vectors.select("vec_id", "embedding"), scale, dims), assign, "vec_id long, v binary, cell int, far double"))
+    # with the number of rows of its own vec_id, none of which is a candidate
     queries = cells.where(query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    own = cells.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
+    queries = queries.join(own, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
     # at most as many rows as pivots
     summary = {r[0]: r[1:] for r in cells.groupBy("cell").agg(F.count(F.lit(1)), F.max("far")).collect()}
     size = np.array([summary.get(c, (0, 0.0))[0] for c in range(len(P))])
@@ -102,8 +105,9 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, pivot
             others = np.where(ids[None, :] == q_ids[:, None], -np.inf, dots)
             least = np.sort(others, 1)[:, -k] if len(P) >= k else np.full(len(Q), -np.inf)
             low, order = dots - slack, np.argsort(slack - dots, 1)
-            enough = (np.cumsum(size[order], 1) > k).argmax(1)
-            bound = np.where(size.sum() > k, np.take_along_axis(low, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0], -np.inf)
+            needed = k + batch.column("own").to_numpy()
+            enough = (np.cumsum(size[order], 1) >= needed[:, None]).argmax(1)
+            bound = np.where(size.sum() >= needed, np.take_along_axis(low, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0], -np.inf)
             least = np.maximum(least, bound) - 1e-6
             i, c = np.nonzero((dots + slack >= least[:, None]) & (size > 0))
             times = n_blocks[c]
@@ -112,7 +116,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, pivot
             part = (q_ids[i] * 0x9E3779B1 >> 16) % n_queries
             yield rows(replica, c.astype(np.int32), block.astype(np.int32), part.astype(np.int32), q_ids[i], [raw[j] for j in i], least[i])
 
-    asked = map_arrow(queries.select("vec_id", "v"), replicate, "cell int, block int, part int, query_id long, q binary, least double")
+    asked = map_arrow(queries.select("vec_id", "v", "own"), replicate, "cell int, block int, part int, query_id long, q binary, least double")
     blocks = F.element_at(F.array(*(F.lit(int(n)) for n in n_blocks)), F.col("cell") + 1)
     data = cells.select("cell", F.pmod(F.xxhash64("vec_id", "v"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("part"), "vec_id", "v")
 

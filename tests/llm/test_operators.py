@@ -252,3 +252,17 @@ def test_toxicity_scores_long_words_whole(spark):
     texts = [(10_001, run), (10_002, run + "wickedly_" * 20)]
     found = {x.doc_id: x.score for x in toxicity.scored(table.union(spark.createDataFrame(texts, table.schema)), labels, fold(3) != 1).where("doc_id > 10000").collect()}
     assert found[10_002] > found[10_001] + 0.05
+
+
+def test_voronoi_with_every_row_twice(spark):
+    rng = np.random.default_rng(0)
+    for _ in range(6):
+        # tight cells far apart, so that the groups' lower bounds bind
+        vectors = [(i, (3.0 * np.eye(8)[i % 8] * (1 + i // 8) + rng.normal(size=8) / 50).tolist()) for i in range(16)]
+        whole = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in vectors] * 2
+        want = []
+        for i, q in whole[:16]:
+            best = sorted((-int(q @ v), j) for j, v in whole if j != i)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+        found = voronoi.top_k(spark.createDataFrame(vectors * 2, "vec_id long, embedding array<double>"), F.lit(True))
+        assert sorted(map(tuple, found.collect())) == sorted(want)
