@@ -266,3 +266,15 @@ def test_voronoi_with_every_row_twice(spark):
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
         found = voronoi.top_k(spark.createDataFrame(vectors * 2, "vec_id long, embedding array<double>"), F.lit(True))
         assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_random_letters_of_one_case_are_secrets():
+    tokens = secret_scan.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    r = random.Random(12)
+    caught = 0
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for n in (20, 24, 32, 40):
+            caught += sum(secret_scan.random_spans("".join(r.choices(letters, k=n)), tokens, 2.2) == [(0, 3, n)] for _ in range(100))
+    assert caught >= 0.97 * 800
+    kept = ["internationalization", "some_long_identifier_name_2", "someLongIdentifierName2", "12345678901234567890", "123e4567-1234-1234-1234-123456789012"]
+    assert not any(secret_scan.random_spans(x, tokens, 2.2) for x in kept)
