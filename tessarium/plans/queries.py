@@ -251,9 +251,16 @@ def dup_pairs_slug(spark, sf_dir):
 
 @query("WITH e_ AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM e_ x JOIN e_ y ON x.label = y.label AND x.vec_id < y.vec_id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.35")
 def dup_pairs_cosine(spark, sf_dir):
+    """Pages of one type only, as the reference does unless told otherwise; a label stands for a type."""
     return search.similar_pairs(_vectors(spark, sf_dir), 0.35, "label")
 
 
+@query("WITH e_ AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM e_ x JOIN e_ y ON x.vec_id < y.vec_id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.35")
+def dup_pairs_cosine_all(spark, sf_dir):
+    """All pages, across types too."""
+    return search.similar_pairs(_vectors(spark, sf_dir), 0.35)
+
+
 @query()
 def winner_suggestion(spark, sf_dir):
     names = _names(spark, sf_dir)

@@ -39,6 +39,11 @@ def test_query(spark, duck, name):
         assert sorted(found.columns) == sorted(want.columns) and plain(found) == plain(want)
 
 
+def test_similar_pairs_of_all_labels(spark):
+    one, all_ = ({(r.a, r.b) for r in registry.QUERIES[name](spark, TABLE.replace("0.001", "0.01")).collect()} for name in ("dup_pairs_cosine", "dup_pairs_cosine_all"))
+    assert one < all_ and len(all_) > 5 * len(one)
+
+
 def test_similarity_is_by_common_subsequences():
     def slow(a, b):
         row = [0] * (len(b) + 1)
