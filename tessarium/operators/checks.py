@@ -53,7 +53,10 @@ def contradictions(pages: DataFrame) -> DataFrame:
 
 
 def run_all(pages: DataFrame, edges: DataFrame, now: Column, required: list[str]) -> DataFrame:
-    """All checks as one tall table."""
+    """Five checks as one tall table: broken links, orphans, dormant pages, missing fields, stubs.
+
+    Duplicates, index drift, contradictions and pages promoted by an update are not among them.
+    """
     found = [
         links.broken(edges, pages).select(F.lit("broken link").alias("check"), F.col("src").cast("string").alias("page_id"), F.concat_ws(" ", F.col("dst").cast("string"), "reason").alias("detail")),
         links.orphans(pages, edges).where(~F.col("type").isin("source", "index") & ~F.col("status").isin("deprecated", "archived")).select(F.lit("orphan"), F.col("page_id").cast("string"), F.lit("")),
