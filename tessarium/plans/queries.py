@@ -302,7 +302,7 @@ def alias_exact_link(spark, sf_dir):
 @query()
 def alias_fuzzy_topk(spark, sf_dir):
     spans = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("span_id"), F.lower("n_name").alias("text"))
-    aliases = read(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("alias"), F.col("p_size").alias("page_id"))
+    aliases = read(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_size").alias("page_id"))
     return linking.fuzzy(spans, aliases, 5, 40.0)
 
 

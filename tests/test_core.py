@@ -44,6 +44,13 @@ def test_similar_pairs_of_all_labels(spark):
     assert one < all_ and len(all_) > 5 * len(one)
 
 
+def test_fuzzy_aliases_are_whole_names(spark, tmp_path):
+    spark.createDataFrame([(1, "NEW ZEALAND")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(7, "new zealand"), (8, "new york")], "p_size int, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    found = {r.page_id: r.score for r in registry.QUERIES["alias_fuzzy_topk"](spark, str(tmp_path)).collect()}
+    assert found[7] == 100 and found.get(8, 0) < 100
+
+
 def test_similarity_is_by_common_subsequences():
     def slow(a, b):
         row = [0] * (len(b) + 1)
