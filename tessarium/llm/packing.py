@@ -29,6 +29,8 @@ from tokenizers import Tokenizer
 from tessarium.llm.common import checkpointed, map_arrow, rows, texts
 
 BLOCK = 50_000
+#: Stands for gaps that no open sequence has.
+NEVER = np.iinfo(np.int64).max
 #: How byte-level tokenizers of this kind split texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -95,20 +97,20 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFr
 
 
 def placed(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
-    """Sequence number and offset for each length, in the order given."""
+    """Sequence number and offset for each length, in the order given; a full sequence is closed and no longer counts."""
     counts = np.zeros(size + 1, np.int64)  # of open sequences by gap
     open_: list[list[int]] = [[] for _ in range(size + 1)]
     sequence, offset, made = [], [], 0
     for s in lengths:
-        # growth of half the sum of squares if a gap h becomes h - s; a closed sequence has no gap
-        grown = 1 - counts[s:size]
-        grown[1:] += counts[1 : size - s]
+        # growth of the sum of squares if a gap h becomes h - s: one sequence less at h, one more at h - s; a closed one has no gap
+        grown = 2 * (1 - counts[s:size])
+        grown[1:] += 2 * counts[1 : size - s]
         if len(grown):
             grown[0] -= 1
-            grown[counts[s:size] == 0] = np.iinfo(np.int64).max
-        new = counts[size - s] + (s < size)
+            grown[counts[s:size] == 0] = NEVER
+        new = 2 * counts[size - s] + 1 if s < size else 0
         best = int(grown.argmin()) if len(grown) else -1
-        if best >= 0 and grown[best] <= new and counts[s + best]:
+        if best >= 0 and grown[best] <= new:
             gap = s + best
             number = open_[gap].pop()
             counts[gap] -= 1

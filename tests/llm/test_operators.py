@@ -177,6 +177,28 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_placements_minimise_the_sum_of_squares():
+    """Each placement against the sums of squares of all choices, of equal ones the smallest gap."""
+    r = random.Random(13)
+    for _ in range(200):
+        size = r.choice([7, 30, 64])
+        lengths = [r.randrange(1, size + 1) for _ in range(120)]
+        sequence, offset = packing.placed(lengths, size)
+        gaps: dict[int, int] = {}
+        for s, number, at in zip(lengths, sequence, offset):
+            sums = {}
+            for gap in {g for g in gaps.values() if g >= s} | {size}:
+                counts = Counter(g for g in gaps.values() if g)
+                if gap < size:
+                    counts[gap] -= 1
+                if gap > s:
+                    counts[gap - s] += 1
+                sums[gap] = sum(n * n for n in counts.values())
+            best = min(sums, key=lambda g: (sums[g], g))
+            assert gaps.get(number, size) == best and at == size - best
+            gaps[number] = best - s
+
+
 def test_warc(spark):
     pages = [(3, "http://a", "<p>x"), (1, None, "<p>x"), (2, "http://b\r\nX: y", None), (5, "u", ""), (7, "u", "é" * 100000), (8, "u", "only")]
     table = spark.createDataFrame(pages, "page_id long, url string, html string")
