@@ -239,6 +239,48 @@ def test_voronoi(spark):
     assert voronoi.top_k(table.where("vec_id IN (0, 1)"), F.col("vec_id") % 50 == 0).count() == 1
 
 
+def brute_top(vectors: list, asked, k: int = 5) -> list:
+    dims = max(len(v) for _, v in vectors)
+    whole = [(i, np.floor(256 * np.pad(np.array(v, float), (0, dims - len(v)))).astype(np.int64)) for i, v in vectors]
+    want = []
+    for i in sorted({i for i, _ in whole if asked(i)}):
+        q = min((v.astype("<f8").tobytes(), n) for n, (j, v) in enumerate(whole) if j == i)[1]
+        best = sorted((-int(whole[q][1] @ v), j) for j, v in whole if j != i)[:k]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(want)
+
+
+def test_voronoi_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 4
+    clustered = [(i, (centres[i % 40] + rng.normal(size=16) / 20).tolist()) for i in range(4000)]
+    report: dict = {}
+    table = spark.createDataFrame(clustered, "vec_id long, embedding array<double>").repartition(4)
+    found = voronoi.top_k(table, F.col("vec_id") % 10 == 0, report=report)
+    assert sorted(map(tuple, found.collect())) == brute_top(clustered, lambda i: i % 10 == 0)
+    # cells that no query needs are not sent at all
+    assert report["plan"].met < 0.4 * 400 * 4000 and report["plan"].sent < 0.4 * 4000
+    mixed = [(i, rng.normal(size=16).tolist()) for i in range(600)]
+    table = spark.createDataFrame(mixed, "vec_id long, embedding array<double>")
+    found = voronoi.top_k(table, F.col("vec_id") % 10 == 0, report=report)
+    assert sorted(map(tuple, found.collect())) == brute_top(mixed, lambda i: i % 10 == 0)
+
+
+def test_voronoi_splits_hot_cells(spark, monkeypatch):
+    monkeypatch.setattr(voronoi, "ROWS", 50)
+    monkeypatch.setattr(voronoi, "QUERIES", 20)
+    monkeypatch.setattr(voronoi, "GRAINS", (20, 5))
+    rng = np.random.default_rng(6)
+    vectors = [(i, [1.0, 2.0, 3.0, 4.0] if i % 3 else rng.normal(size=4).tolist()) for i in range(500)]
+    # ids that repeat, vectors of other lengths, and clashing columns
+    vectors += [(5, rng.normal(size=4).tolist()) for _ in range(30)] + [(600 + i, rng.normal(size=2).tolist()) for i in range(20)] + [(700, [])]
+    table = spark.createDataFrame([(i, v, 1.0, 2) for i, v in vectors] + [(None, [9.0] * 4, 1.0, 2)], "vec_id long, embedding array<double>, score double, cell int")
+    report: dict = {}
+    found = voronoi.top_k(table, F.col("vec_id") % 2 == 0, report=report)
+    assert sorted(map(tuple, found.collect())) == brute_top(vectors, lambda i: i % 2 == 0)
+    assert report["plan"].parts.max() > 1 and report["plan"].slices.max() > 1
+
+
 def labelled(spark, mark: str):
     r = random.Random(4)
     word = lambda: "".join(r.choice(["th", "er", "on", "an", "re"]) for _ in range(3))
