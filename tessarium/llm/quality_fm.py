@@ -5,7 +5,7 @@ Each feature has a weight and a short vector; every pair of features interacts b
 (3,000 good and 1,500 bad rows at most); every row is scored by its whole text.
 
 Null and empty texts have structure statistics of zero. If a class is missing from the sample, all rows score the sample's share (0 for no labels).
-Repeated rows score alike. Only the text is scored; other columns don't matter.
+Repeated rows score alike; repeated labels of a doc_id count once, differing ones not at all. Only the text is scored; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -97,9 +97,12 @@ def score(model: dict, text: str) -> float:
     return float(sigmoid(model["w0"] + x @ model["w"][at] + s @ model["ws"] + pairs))
 
 
-def scored(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality") -> DataFrame:
-    """doc_id, score: the chance of label 1; fitted on rows of labels that are allowed."""
-    model = fit(*sample(docs, labels, label, allowed, (3000, 1500)))
+def scored(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", sample_rows: tuple[int, int] = (3000, 1500), sample_chars: int = 100_000) -> DataFrame:
+    """doc_id, score: the chance of label 1; fitted on rows of labels that are allowed.
+
+    sample_rows: documents of label 1 and of label 0 that it is fitted on at most. sample_chars: longer texts are not among them (all are scored).
+    """
+    model = fit(*sample(docs, labels, label, allowed, sample_rows, sample_chars))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

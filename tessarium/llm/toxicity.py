@@ -5,7 +5,7 @@ they come from. A document is the average of its bags; embeddings and softmax ar
 zero. The model is fitted on a bounded sample (1,500 toxic and 4,500 other rows at most) and every row is scored by its whole text.
 
 Null and empty texts score the sample's share of toxic rows. If a class is missing from the sample, all rows score that share (0 for no
-labels). Repeated rows score alike. Only the text is scored; other columns don't matter.
+labels). Repeated rows score alike; repeated labels of a doc_id count once, differing ones not at all. Only the text is scored; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -114,9 +114,12 @@ def fit(documents: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
     return weights, float(b[1] - b[0])
 
 
-def scored(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic") -> DataFrame:
-    """doc_id, score: the chance of label 1; fitted on rows of labels that are allowed."""
-    weights, bias = fit(*sample(docs, labels, label, allowed, (1500, 4500)))
+def scored(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", sample_rows: tuple[int, int] = (1500, 4500), sample_chars: int = 100_000) -> DataFrame:
+    """doc_id, score: the chance of label 1; fitted on rows of labels that are allowed.
+
+    sample_rows: documents of label 1 and of label 0 that it is fitted on at most. sample_chars: longer texts are not among them (all are scored).
+    """
+    weights, bias = fit(*sample(docs, labels, label, allowed, sample_rows, sample_chars))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

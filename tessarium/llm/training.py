@@ -6,22 +6,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longer texts are not among the rows that a model is fitted on.
-SAMPLE_CHARS = 100_000
-
-
 def fold(modulus: int) -> Column:
     """crc32 of doc_id as text, modulo a number."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: tuple[int, int]) -> tuple[list[str], np.ndarray]:
-    """Texts and labels (0 or 1) of at most ``rows`` allowed rows of label 1 and of label 0, in an order given by hashes of doc_id."""
-    ordered = labels.where(allowed & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id")
+def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: tuple[int, int], chars: int) -> tuple[list[str], np.ndarray]:
+    """Texts and labels (0 or 1) of at most ``rows`` allowed documents of label 1 and of label 0, in an order given by hashes of doc_id.
+
+    Repeated labels of a doc_id count once, and not at all if they differ; of repeated rows of a doc_id the smallest hash of a text counts. A text of
+    more than ``chars`` characters is left out, so the sample may be smaller; both limits bound what the driver holds.
+    """
+    known = labels.where(allowed & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("_other")).where("label = _other")
+    ordered = known.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ordered.where("label = 1").limit(rows[0]).unionByName(ordered.where("label = 0").limit(rows[1]))
     # the chosen ids are a bounded table: at most sum(rows)
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.length("text") <= SAMPLE_CHARS)
-    got = sorted((r["doc_id"], r["label"], r["text"]) for r in found.collect())
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.length("text") <= chars)
+    # one text a document, before anything reaches the driver
+    found = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    got = sorted((r[0], r[1], r[2]) for r in found.select("doc_id", "label", "least.text").collect())
     return [t for _, _, t in got], np.array([y for _, y, _ in got], np.float64)
 
 
