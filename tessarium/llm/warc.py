@@ -7,14 +7,14 @@ successful attempts are read, so lost executors and repeated attempts leave noth
 
 Of pages with equal payloads of at least ``least`` bytes, that with the smallest page_id is the response and the others revisit it. Rows that
 repeat this page_id are responses too. A null html is an empty payload; a null page_id orders after all others; a null url
-gives no target. An empty table gives no records. Other columns don't matter.
+gives no target. An empty table gives no records. Other columns don't matter. A record that isn't framed, has no length or fails its
+digests raises BadRecord and ends the job: a reader that went on could not know where the next record begins.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarium.llm.common import checkpointed, map_arrow, rows
+from tessarium.llm.common import checkpointed, map_arrow, rows, shared_folder, stored, with_hot
 
 CHUNK = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,7 +66,10 @@ def members(stream) -> Iterator[bytes]:
                 raise BadRecord("the archive ends inside a record")
             return
         unpack = unpack or zlib.decompressobj(31)
-        out.append(unpack.decompress(data))
+        try:
+            out.append(unpack.decompress(data))
+        except zlib.error as error:
+            raise BadRecord(f"no gzip member: {error}") from error
         rest = b""
         if unpack.eof:
             yield b"".join(out)
@@ -80,6 +83,8 @@ def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
     if not found or not version.startswith("WARC/"):
         raise BadRecord("no record begins here")
     headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    if not headers.get("content-length", "").isdigit() or "warc-type" not in headers:
+        raise BadRecord("a record without Content-Length or WARC-Type")
     n = int(headers["content-length"])
     block = rest[:n]
     if len(block) != n or rest[n:] != b"\r\n\r\n":
@@ -99,7 +104,7 @@ def page_of(urn: str | None) -> int | None:
 
 def folder(spark, path: str | None) -> str:
     """A new folder below the given one, or below the shared checkpoint folder."""
-    base = path or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="warc")
+    base = path or shared_folder(spark)
     return f"{base.rstrip('/')}/warc-{uuid.uuid4().hex}"
 
 
@@ -110,9 +115,12 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 def write(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFrame:
     """Write archives; a table of their files: file, n_records."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    pages = pages.withColumn("key", F.unhex(F.sha2("html", 256)))
-    first = pages.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    dealt = pages.join(first, "key", "left")
+    # two hashes: the first is the join's key, the second is compared besides, as with_hot() needs a long one
+    digest = F.unhex(F.sha2("html", 256))
+    pages = pages.withColumn("key", F.xxhash64(digest)).withColumn("whole", digest)
+    first = pages.groupBy("key", "whole").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("whole", "first")).alias("of"))
+    dealt = with_hot(pages, stored(first), "key", "n", ("of",)).withColumn("first", F.get(F.filter("of", lambda x: x["whole"] == F.col("whole")), F.lit(0))["first"])
     revisit = F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull()) & (F.octet_length("html") >= least)
     dealt = dealt.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"))
     target = folder(pages.sparkSession, path)

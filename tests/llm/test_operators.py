@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessarium.llm import packing, quality_fm, quality_rules, secret_scan, simhash, spm, substrings, toxicity, voronoi, warc
+from tessarium.llm import common, packing, quality_fm, quality_rules, secret_scan, simhash, spm, substrings, toxicity, training, voronoi, warc
 from tessarium.llm.training import fold
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, piece string"
@@ -89,7 +89,12 @@ def test_substrings(docs, empty, spark):
     assert substrings.cut(empty).count() == 0
     # rows that repeat a doc_id don't remove each other's words
     twice = docs.where("doc_id = 5").union(docs.where("doc_id = 5"))
-    assert [r.n_removed for r in substrings.cut(twice).collect()] == [0, 0] or brute_cut([(5, TEXTS[5])])[5][1] > 0
+    alone = brute_cut([(5, TEXTS[5])])[5]
+    assert [tuple(r[1:]) for r in substrings.cut(twice).collect()] == [alone, alone]
+    nameless = [(None, TEXTS[5]), (3, TEXTS[5]), (None, None)]
+    found = {(x.doc_id, x.n_words): x.n_removed for x in substrings.cut(spark.createDataFrame(nameless, "doc_id long, text string")).collect()}
+    n = alone[0]
+    assert found == {(3, n): alone[1], (None, n): n, (None, 0): 0}
     r = random.Random(3)
     noisy = [(i, " ".join(r.choice("abc") for _ in range(r.randrange(60)))) for i in range(40)]
     found = substrings.cut(spark.createDataFrame(noisy, "doc_id long, text string"), 8)
@@ -128,7 +133,8 @@ def test_simhash(docs, empty, spark):
     r = random.Random(9)
     centre = [r.getrandbits(63) for _ in range(20)]
     values = sorted({c ^ sum(1 << b for b in r.sample(range(63), r.randrange(4))) for c in centre for _ in range(25)})
-    links = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 4).collect()
+    table = spark.createDataFrame([(v,) for v in values], "fp long")
+    links = simhash.links(table, 4).collect()
     assert all((a ^ b).bit_count() <= 4 for a, b in links) and len(links) <= 60 * len(values)
 
     def classes(pairs):
@@ -146,7 +152,32 @@ def test_simhash(docs, empty, spark):
             groups[find(v)].add(v)
         return {frozenset(g) for g in groups.values()}
 
-    assert classes(links) == classes([(a, b) for a in values for b in values if (a ^ b).bit_count() <= 4])
+    want = classes([(a, b) for a in values for b in values if (a ^ b).bit_count() <= 4])
+    assert classes(links) == want
+    # any size of the table gives the same classes, with fewer segments
+    ways = [simhash.segments(4, n) for n in (1000, 10**8, 10**11)]
+    assert [len(w) for w in ways] == [4, 3, 2] and all(sum(r + 1 for _, _, r in w) == 5 and sum(b for _, b, _ in w) == 64 for w in ways)
+    assert all(classes(simhash.links(table, 4, w).collect()) == want for w in ways[1:])
+    assert [sum(r + 1 for _, _, r in simhash.segments(k, 10)) for k in range(8)] == list(range(1, 9))
+
+
+def test_simhash_of_hot_groups_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 2)
+    r = random.Random(15)
+    texts = ["hot text of many copies here"] * 200 + [None, ""] * 30 + [" ".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(40)] + ["w " * 30_000]
+    rows = [(None if i % 50 == 49 else i // 2, t, "x") for i, t in enumerate(texts)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
+    fps = [brute_simhash(t) for t in texts]
+    label = list(range(len(rows)))
+    for _ in range(3):
+        for i, a in enumerate(fps):
+            label[i] = min(label[j] for j, b in enumerate(fps) if (a ^ b).bit_count() <= 4)
+    least = {}
+    for (doc, _, _), x in zip(rows, label):
+        if doc is not None:
+            least[x] = min(least.get(x, doc), doc)
+    want = Counter((doc, f"{f:016x}", least.get(x)) for (doc, _, _), f, x in zip(rows, fps, label))
+    assert Counter(map(tuple, found)) == want
 
 
 def test_quality_rules(docs, empty):
@@ -159,6 +190,9 @@ def test_quality_rules(docs, empty):
         lines = [x for x in text.split("\n") if words_of(x)]
         assert (m.n_words, m.word_chars, m.n_symbols) == (len(words), sum(len(w.decode()) for w in words), sum(map(text.count, "#*$%&|<>")))
         assert (m.n_dup_lines, m.n_repeat_words) == (len(lines) - len(set(lines)), len(covered))
+        share = max(len(words), 1)
+        passed = len(words) >= 10 and len(covered) / share <= 0.2 and 2 <= m.word_chars / share <= 15 and m.n_symbols / share <= 0.1 and m.n_dup_lines / max(len(lines), 1) <= 0.3
+        assert row._kept == (passed and (len(words) < 50 or len({w.decode() for w in words} & set(quality_rules.STOP_WORDS)) >= 2))
         assert row._failed == (len(words) < 10 or 100 * len(covered) > 20 * len(words)) and not (row._failed and row._kept)
     assert quality_rules.judged(empty).count() == 0
 
@@ -218,9 +252,78 @@ def test_warc(spark):
     assert next(warc.members(__import__("io").BytesIO(good + good)))
     with pytest.raises(warc.BadRecord):
         list(warc.members(__import__("io").BytesIO(good[:-9])))
-    raw = next(warc.members(__import__("io").BytesIO(good))).replace(b"payload\r", b"paxload\r")
+    raw = next(warc.members(__import__("io").BytesIO(good)))
+    for bad in (raw.replace(b"payload\r", b"paxload\r"), raw.replace(b"Content-Length", b"Content-Size", 1).replace(b"Content-Length", b"Content-Size"), b"garbage", raw[:-1]):
+        with pytest.raises(warc.BadRecord):
+            warc.parsed(bad)
     with pytest.raises(warc.BadRecord):
-        warc.parsed(raw)
+        list(warc.members(__import__("io").BytesIO(b"no gzip member")))
+
+
+def test_warc_of_hot_payloads_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 1)
+    pages = [(i, "u", "hot") for i in range(200)] + [(300 + i, "u", f"<p>{i // 2}") for i in range(40)] + [(300, "v", "<p>0"), (None, "u", "hot"), (None, None, None), (400, "u", "long" * 500_000)]
+    table = spark.createDataFrame([(*p, "a", 1) for p in pages], "page_id long, url string, html string, key string, n int")
+    first = {}
+    for i, _, html in sorted(pages, key=lambda p: (p[0] is None, p[0] or 0)):
+        first.setdefault(html or "", i)
+    want = Counter((i, len((h or "").encode()), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""]) for i, _, h in pages)
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(warc.write(table)).collect()) == want
+
+
+def test_samples_are_bounded_and_repeats_count_once(spark):
+    docs = spark.createDataFrame([(1, "a")] * 300 + [(2, "b"), (2, "c"), (3, "d"), (4, "e" * 50), (5, None), (None, "f")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (4, 1), (5, 0), (5, None), (6, 1), (None, 1)], "doc_id long, toxic int")
+    texts, y = training.sample(docs, labels, "toxic", F.lit(True), (10, 10), 40)
+    assert len(texts) == 3 and texts[0] == "a" and texts[1] in "bc" and texts[2] == "" and y.tolist() == [1, 0, 0]
+    assert len(training.sample(docs, labels, "toxic", F.lit(True), (1, 1), 40)[0]) <= 2
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_fm])
+def test_classifiers_on_odd_rows(spark, module):
+    table, labels = labelled(spark, "wickedly")
+    long = "on an " * 200_000
+    odd = spark.createDataFrame([(1, long), (1, long), (None, "wickedly"), (None, None), (7, "")], table.schema).withColumn("score", F.lit("x")).withColumn("label", F.lit(3))
+    twice = labels.union(labels)
+    found = sorted(map(tuple, module.scored(odd, twice, fold(3) != 1).collect()), key=repr)
+    assert [x[0] for x in found] == [1, 1, 7, None, None] and found[0] == found[1] and all(0 <= x[1] <= 1 for x in found)
+
+
+def test_linear_time_scores_equal_the_sum_over_pairs():
+    r, rng = random.Random(16), np.random.default_rng(3)
+    texts = [" ".join(r.choice("abcdefgh") * r.randrange(1, 4) for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    model = quality_fm.fit(texts, rng.integers(0, 2, 60).astype(float))
+    for text in texts[:10]:
+        at, x, s = quality_fm.features(text)
+        s = np.clip((np.array(s) - model["mean"]) / model["spread"], -4, 4)
+        value, vectors = np.concatenate((x, s)), np.concatenate((model["v"][at], model["vs"]))
+        pairs = sum(value[i] * value[j] * (vectors[i] @ vectors[j]) for i in range(len(value)) for j in range(i))
+        z = model["w0"] + x @ model["w"][at] + s @ model["ws"] + pairs
+        assert abs(quality_fm.score(model, text) - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_misspellings_share_vectors():
+    a, b, c = (set(toxicity.subwords(w)) for w in (b"wickedly", b"wickedlyy", b"internal"))
+    assert len(a & b) > len(a) / 2 and len(a & c) < 2
+
+
+def test_folders_for_other_machines_must_be_shared(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def __getattr__(self, name):
+            return getattr(spark.sparkContext, name)
+
+    class Session:
+        sparkContext = Context()
+
+    if spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return
+    made = common.shared_folder(spark)
+    assert common.shared_folder(Session()) == made
+    monkeypatch.setattr(Context, "_jsc", type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})(), raising=False)
+    with pytest.raises(ValueError):
+        common.shared_folder(Session())
 
 
 def test_voronoi(spark):
