@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -37,3 +37,13 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
             known[pair] = similarity(*(" ".join(sorted(x.split())) for x in pair))
         out.append(known[pair])
     return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(IntegerType())
+def best_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The best Indel similarity over two lists of names, without regard to case, as a whole number."""
+
+    def one(a, b) -> int:
+        return max((int(similarity(x.lower(), y.lower()) + 1e-9) for x in (a if a is not None else ()) for y in (b if b is not None else ())), default=0)
+
+    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="int32")

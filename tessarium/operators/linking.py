@@ -1,20 +1,146 @@
-"""Mentions in texts: resolving spans to pages and inserting links."""
+"""Mentions in texts: finding spans, resolving them to pages, inserting links, and what stays open."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessarium.functions import markdown
+from tessarium.functions import text as tx
 from tessarium.functions.fuzzy import token_sort_ratio
+from tessarium.operators import duplicates, search
 
-#: Cosines from which a link counts as high, medium, or pending.
+#: Cosines from which a link counts as high, medium, or pending (fixed values).
 HIGH, MEDIUM, PENDING = 0.75, 0.60, 0.50
-#: Places that never hold links: code fences, code, links, headings, HTML, URLs.
-UNSAFE = r"(?s)```.*?```|`[^`\n]*`|\[\[.*?\]\]|!?\[[^\]]*\]\([^)]*\)|(?m:^#{1,6}\s.*$)|<[^>]+>|https?://\S+"
+#: Pages that a span is compared with, and the name's score from which they are (fixed values).
+SHORTLIST, NAME_SCORE = 10, 60.0
 
 
-def bucket(cosine: Column) -> Column:
-    return F.when(cosine >= HIGH, "high").when(cosine >= MEDIUM, "medium").when(cosine >= PENDING, "pending").otherwise("drop")
+def bucket(cosine: Column, high: float = HIGH, medium: float = MEDIUM, pending: float = PENDING) -> Column:
+    return F.when(cosine >= high, "high").when(cosine >= medium, "medium").when(cosine >= pending, "pending").otherwise("drop")
+
+
+def alias_table(pages: DataFrame) -> DataFrame:
+    """alias, page_id: titles and aliases of active pages (page_id, title, aliases, status, pos) in lower case; of equal ones the last page's counts."""
+    names = pages.where("status = 'active'").select("page_id", "pos", F.posexplode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n", "alias"))
+    return names.where("alias IS NOT NULL").groupBy(F.lower("alias").alias("alias")).agg(F.max_by("page_id", F.struct("pos", "n")).alias("page_id"))
+
+
+def find_by_alias(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """name, page_id: for names the first page (by pos) that bears one as its title or alias, whatever its status, without regard to case."""
+    held = pages.select("page_id", "pos", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
+    first = held.groupBy(F.lower("alias").alias("k")).agg(F.min_by("page_id", "pos").alias("page_id"))
+    return names.withColumn("k", F.lower("name")).join(first, "k").drop("k")
+
+
+def mentions(pages: DataFrame, aliases: DataFrame, longest: int = 5) -> DataFrame:
+    """page_id, text, label, start, end: where pages (page_id, body) mention a name, by an equi-join of word sequences with aliases (alias, label).
+
+    Of overlapping mentions those within an earlier or longer one are left out. Other finders' spans, such as a tagger's, can be united with these.
+    """
+    spans = pages.select("page_id", F.explode(markdown.word_spans(F.col("body"), F.lit(longest))).alias("x")).select("page_id", "x.*")
+    named = spans.join(aliases.select(F.lower("alias").alias("k"), "label").distinct(), F.lower("text") == F.col("k")).drop("k")
+    before = Window.partitionBy("page_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return named.withColumn("_b", F.max("end").over(before)).where(F.col("_b").isNull() | (F.col("_b") < F.col("end"))).drop("_b")
+
+
+def deduplicated(spans: DataFrame) -> DataFrame:
+    """Of spans of the same place one: the first that isn't a mere concept, else the first (by pos)."""
+    order = Window.partitionBy("page_id", "start", "end").orderBy(F.col("label") == "CONCEPT", "pos")
+    return spans.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def in_safe_place(start: Column, end: Column, zones: Column) -> Column:
+    return F.exists(zones, lambda z: (z["s"] <= start) & (end <= z["e"]))
+
+
+def linkable(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """Spans that may become links: outside code, links, headings and the like, and no stop words; stub pages have none. They carry their context."""
+    zones = pages.where(F.coalesce("status", F.lit("active")) != "stub").select("page_id", "body", markdown.safe_ranges("body").alias("zones"))
+    found = deduplicated(spans).join(zones, "page_id").where(in_safe_place(F.col("start"), F.col("end"), F.col("zones")))
+    plain = F.trim(F.lower("text"))
+    return found.where(~plain.isin(*tx.LINK_STOP_WORDS) & (plain != "")).withColumn("context", context(F.col("body"), F.col("start"), F.col("end"))).drop("body", "zones")
+
+
+def shortlist(texts: DataFrame, aliases: DataFrame, k: int = SHORTLIST, least: float = NAME_SCORE) -> DataFrame:
+    """text, page_id, score, rank: of distinct texts (text) the k pages whose best alias (alias, page_id) is most similar, as whole numbers."""
+    asked, known = texts.select(F.trim(F.lower("text")).alias("a")).distinct(), aliases.select(F.trim(F.lower("alias")).alias("b")).distinct()
+    near = duplicates.near_texts(asked, known, least).withColumn("score", F.floor(token_sort_ratio("a", "b") + 1e-9).cast("int")).where(F.col("score") >= least)
+    # the k * 3 best aliases are looked at
+    near = near.selectExpr("*", "row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n").where(F.col("n") <= k * search.OVERSHOOT)
+    best = near.join(aliases.select(F.trim(F.lower("alias")).alias("b"), "page_id").distinct(), "b").groupBy(F.col("a").alias("text"), "page_id").agg(F.max("score").alias("score"))
+    return best.selectExpr("*", "row_number() OVER (PARTITION BY text ORDER BY score DESC, page_id) AS rank").where(F.col("rank") <= k)
+
+
+def resolved(spans: DataFrame, aliases: DataFrame, vectors: DataFrame, embed, k: int = SHORTLIST, least: float = NAME_SCORE) -> DataFrame:
+    """Spans with target, score, method and cosine: of a name's own page, else of the shortlisted page whose vector (page_id, v) is nearest to that of the
+    span's context; embed makes a vector column from a text column. Spans without such a page stay, without target."""
+    spans = spans.withColumn("k", F.trim(F.lower("text")))
+    own = spans.join(aliases.select(F.col("alias").alias("k"), F.col("page_id").alias("target")), "k", "left")
+    done = own.where("target IS NOT NULL").withColumns({"score": F.lit(100), "method": F.lit("exact"), "cosine": F.lit(None).cast("double")})
+    rest = own.where("target IS NULL").drop("target")
+    near = rest.join(shortlist(rest.select(F.col("k").alias("text")), aliases, k, least).select(F.col("text").alias("k"), F.col("page_id").alias("target"), "score", "rank"), "k")
+    near = near.join(vectors.select(F.col("page_id").alias("target"), "v").where("v IS NOT NULL"), "target").withColumn("q", embed(F.col("context")))
+    near = near.withColumn("cosine", tx.dot(F.col("v"), F.col("q")) / (tx.norm(F.col("v")) * tx.norm(F.col("q")) + 1e-12))
+    best = Window.partitionBy("page_id", "start", "end").orderBy(F.desc("cosine"), "rank")
+    near = near.withColumn("_n", F.row_number().over(best)).where("_n = 1").withColumn("method", F.lit("hybrid"))
+    columns = ["page_id", "text", "label", "start", "end", "pos", "target", "score", "method", "cosine"]
+    open_ = rest.join(near.select("page_id", "start", "end"), ["page_id", "start", "end"], "left_anti").withColumns({"target": F.lit(None).cast(aliases.schema["page_id"].dataType), "score": F.lit(None).cast("int"), "method": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
+    return done.select(columns).unionByName(near.select(columns)).unionByName(open_.select(columns))
+
+
+def decided(spans: DataFrame, high: float = HIGH, medium: float = MEDIUM, pending: float = PENDING) -> DataFrame:
+    """Resolved spans with their bucket and action: link (the first high or medium one of a target in a page), pending, self, again (its target is linked
+    before), or open. A text that is handled anywhere in a page isn't open elsewhere in it."""
+    level = F.when(F.col("method") == "exact", "high").when(F.col("target").isNull(), "drop").otherwise(bucket(F.col("cosine"), high, medium, pending))
+    spans = spans.withColumn("bucket", level)
+    first = F.min(F.when(F.col("bucket").isin("high", "medium"), F.struct("start", "pos"))).over(Window.partitionBy("page_id", "target"))
+    here = F.struct("start", "pos")
+    action = (
+        F.when(F.col("target").isNull(), "open")
+        .when(F.col("target") == F.col("page_id"), "self")
+        .when(here == first, "link")
+        .when(here > first, "again")
+        .when(F.col("bucket") == "pending", "pending")
+        .otherwise("open")
+    )
+    spans = spans.withColumn("action", action)
+    handled = F.max(F.col("action") != "open").over(Window.partitionBy("page_id", F.lower("text")))
+    return spans.withColumn("action", F.when((F.col("action") == "open") & handled, "handled").otherwise(F.col("action")))
+
+
+def link_all(pages: DataFrame, spans: DataFrame, aliases: DataFrame, vectors: DataFrame, embed, high: float = HIGH, medium: float = MEDIUM, pending: float = PENDING, least: float = NAME_SCORE) -> tuple[DataFrame, DataFrame]:
+    """Pages (page_id, body, status) with links put in, and all decided spans; spans have page_id, text, label, start, end, pos."""
+    found = decided(resolved(linkable(spans, pages), aliases, vectors, embed, least=least), high, medium, pending)
+    links = found.where("action = 'link'").groupBy("page_id").agg(F.collect_list(F.struct("start", "end", "target")).alias("_spans"))
+    body = F.when(F.col("_spans").isNotNull(), insert_links(F.col("body"), F.col("_spans"))).otherwise(F.col("body"))
+    return pages.join(links, "page_id", "left").withColumn("body", body).drop("_spans"), found
+
+
+def pending_links(found: DataFrame, now: Column) -> DataFrame:
+    """Rows of the list of links to be reviewed."""
+    return found.where("action = 'pending'").select(F.col("page_id").alias("source_page"), F.col("text").alias("matched_text"), F.col("target").alias("candidate_page_id"), "score", "label", F.round("cosine", 4).alias("cosine_score"), now.alias("added_at"))
+
+
+def pending_filtered(items: DataFrame, least: float) -> DataFrame:
+    """Pending links from a cosine on; those without one stay."""
+    return items.where(F.col("cosine_score").isNull() | (F.col("cosine_score") >= least))
+
+
+def apply_pending(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """Pages with accepted links at the first place of their text, in the list's order (pos)."""
+    mine = items.groupBy(F.col("source_page").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("matched_text", F.lit("")).alias("m"), F.coalesce("candidate_page_id", F.lit("")).alias("c")))).alias("_items"))
+    body = F.aggregate(F.coalesce("_items", F.array().cast("array<struct<pos:bigint,m:string,c:string>>")), F.col("body"), lambda text, i: tx.with_pending_link(text, i["m"], i["c"]))
+    return pages.join(mine, "page_id", "left").withColumn("body", body).drop("_items")
+
+
+def stubs(found: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
+    """Stub pages for texts that nothing resolves: one per slug (the first in order), unless the page exists."""
+    order = Window.partitionBy("slug").orderBy("page_id", "start", "pos")
+    open_ = found.where("action = 'open'").withColumn("slug", tx.slug(F.col("text"))).where("slug <> ''").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    kind = F.when(F.col("label").isin("PERSON", "ORG", "GPE", "PRODUCT"), "entity").otherwise("concept")
+    new = open_.select(F.concat(tx.directory_of(kind), F.lit("/"), "slug").alias("page_id"), F.col("text").alias("title"), kind.alias("type"), F.lit("stub").alias("status"), F.concat(F.lit("Stub page for "), "text", F.lit(".")).alias("summary"), F.array(F.lower("text")).alias("aliases"), F.lit("low").alias("confidence"), F.concat(F.lit("# "), "text", F.lit("\n\n*Stub — awaiting content.*\n")).alias("body"), now.alias("created"))
+    return new.join(pages.select("page_id"), "page_id", "left_anti")
 
 
 def exact(spans: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -23,18 +149,10 @@ def exact(spans: DataFrame, aliases: DataFrame) -> DataFrame:
     return spans.withColumn("k", F.lower(F.trim("text"))).join(names, "k").drop("k")
 
 
-def fuzzy(spans: DataFrame, aliases: DataFrame, k: int = 10, least: float = 60.0) -> DataFrame:
-    """span_id, page_id, score, rank: the k pages whose best alias is most similar. Candidates share a first letter or a length class
-    within which the similarity can reach the least score."""
-    ratio = (200 - least) / least
-    size = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(float(ratio)))).cast("int")
-    texts = spans.where("length(text) > 0").select(F.lower("text").alias("text")).distinct()
-    a = texts.withColumn("class", F.explode(F.array(size("text") - 1, size("text"), size("text") + 1)))
-    b = aliases.where("length(alias) > 0").select(F.lower("alias").alias("alias"), "page_id").distinct().withColumn("class", size("alias"))
-    scored = a.join(b, "class").select("text", "page_id", F.floor(token_sort_ratio("text", "alias") + 1e-9).cast("int").alias("score")).where(F.col("score") >= least)
-    best = scored.groupBy("text", "page_id").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "page_id"))).where(F.col("rank") <= k)
-    return spans.withColumn("text", F.lower("text")).join(ranked, "text").select("span_id", "page_id", "score", "rank")
+def fuzzy(spans: DataFrame, aliases: DataFrame, k: int = SHORTLIST, least: float = NAME_SCORE) -> DataFrame:
+    """span_id, page_id, score, rank: the k pages whose best alias is most similar to each span (span_id, text)."""
+    ranked = shortlist(spans, aliases, k, least)
+    return spans.withColumn("text", F.trim(F.lower("text"))).join(ranked, "text").select("span_id", "page_id", "score", "rank")
 
 
 def first_mentions(spans: DataFrame) -> DataFrame:
@@ -44,15 +162,19 @@ def first_mentions(spans: DataFrame) -> DataFrame:
 
 
 def merged_ranges(ranges: Column) -> Column:
-    """Overlapping ranges of an array of struct(s, e) as one, in order."""
-    empty = F.array().cast("array<struct<s:int,e:int>>")
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (r["s"] <= F.get(acc, F.size(acc) - 1)["e"]), joined).otherwise(F.concat(acc, F.array(r)))
-
-    return F.aggregate(F.sort_array(ranges), empty, lambda acc, r: F.when(F.size(acc) == 0, F.array(r)).otherwise(step(acc, r)))
+    """Overlapping ranges of an array of struct(s, e) as one, in order: a range begins where no earlier one reaches; each step looks at one number."""
+    ordered = F.sort_array(ranges)
+    reach = F.aggregate(ordered, F.struct(F.array().cast("array<int>").alias("all"), F.lit(None).cast("int").alias("top")), lambda a, r: F.struct(F.concat(a["all"], F.array(a["top"])).alias("all"), F.greatest(a["top"], r["e"]).alias("top")), lambda a: F.concat(a["all"], F.array(a["top"])))
+    marked = F.struct(ordered.alias("r"), reach.alias("t"))
+
+    def islands(x: Column) -> Column:
+        # places of ranges that begin an island, and one past the last
+        begins = F.filter(F.transform(x["r"], lambda r, i: F.when(F.get(x["t"], i).isNull() | (r["s"] > F.get(x["t"], i)), i)), lambda i: i.isNotNull())
+        ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins), F.lit(1))), F.array(F.size(x["r"])))
+        return F.zip_with(begins, ends, lambda i, j: F.struct(F.get(x["r"], i)["s"].alias("s"), F.get(x["t"], j).alias("e")))
+
+    # a one-element array binds the sorted ranges to a name, so that they're made once
+    return F.when(F.size(ranges) == 0, F.array().cast("array<struct<s:int,e:int>>")).otherwise(F.get(F.transform(F.array(marked), islands), F.lit(0)))
 
 
 def free_ranges(merged: Column, length: Column) -> Column:

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessarium.functions import text as tx
+from tessarium.functions import markdown
+from tessarium.lineage import checkpointed
 
 
-def edges_of(pages: DataFrame) -> DataFrame:
-    """src, dst of pages (page_id, body): no links to itself, each once."""
-    return pages.select(F.col("page_id").alias("src"), F.explode(tx.wikilinks(F.col("body"))).alias("dst")).where("src <> dst").dropDuplicates(["src", "dst"])
+def edges_of(pages: DataFrame, before: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """src, dst, context of pages (page_id, body): no links in code or to the page itself, each once, with the context of its first place.
+
+    With the edges from before (src, dst, linked_at) also linked_at: theirs, or now for new ones.
+    """
+    found = pages.select(F.col("page_id").alias("src"), F.posexplode(markdown.links(F.col("body"), F.col("page_id").cast("string"))).alias("pos", "l")).select("src", F.col("l.dst").alias("dst"), "pos", F.col("l.context").alias("context"))
+    found = found.groupBy("src", "dst").agg(F.min_by("context", "pos").alias("context"))
+    if before is None:
+        return found
+    return found.join(before.select("src", "dst", "linked_at"), ["src", "dst"], "left").withColumn("linked_at", F.coalesce("linked_at", now))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -32,7 +40,8 @@ def inbound(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
 
 
 def hop_ranking(edges: DataFrame, seeds: DataFrame, pages: DataFrame, n: int) -> DataFrame:
-    """Targets of the seeds' links that aren't seeds themselves, by number of links and then the newest page."""
+    """Targets of the seeds' links that aren't seeds themselves, by number of links and then the newest page; without retired pages, sources and indexes."""
+    pages = pages.where(~F.coalesce("status", F.lit("")).isin("deprecated", "archived") & ~F.coalesce("type", F.lit("")).isin("source", "index"))
     targets = outbound(edges, seeds).join(seeds.select(F.col("node").alias("dst")), "dst", "left_anti").groupBy("dst").agg(F.count(F.lit(1)).alias("n_links"))
     return targets.join(pages, targets["dst"] == pages["page_id"]).select("dst", "n_links", "modified").orderBy(F.desc("n_links"), F.desc("modified"), "dst").limit(n)
 
@@ -46,24 +55,91 @@ def broken(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Links to pages that are missing or retired, with the reason; links from retired pages don't count."""
     known = pages.select("page_id", "status")
     out = edges.join(known.select(F.col("page_id").alias("src"), F.col("status").alias("src_status")), "src", "left").join(known.select(F.col("page_id").alias("dst"), F.col("status").alias("dst_status")), "dst", "left")
-    retired = F.col("dst_status").isin("deprecated", "archived")
+    retired = ~F.col("dst_status").isin("active", "stub", "dormant")
     out = out.where(~F.coalesce(F.col("src_status").isin("deprecated", "archived"), F.lit(False)) & (F.col("dst_status").isNull() | retired))
     return out.select("src", "dst", F.when(F.col("dst_status").isNull(), "missing").otherwise(F.col("dst_status")).alias("reason"))
 
 
 def path_lengths(edges: DataFrame, start, depth: int) -> DataFrame:
-    """node, hops: undirected shortest paths from a node up to a depth; a frontier at a time, each once."""
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = edges.sparkSession.range(1).select(F.lit(start).cast(edges.schema["src"].dataType).alias("node"), F.lit(0).alias("hops"))
+    """node, hops: undirected shortest paths from a node up to a depth; a frontier at a time, each written before the next."""
+    return _search(edges, start, depth).select("node", "hops")
+
+
+def _search(edges: DataFrame, start, depth: int, target=None) -> DataFrame:
+    """node, hops, before: the smallest neighbour on a shortest path back to the start; ends where nothing new or the target is found."""
+    kind = edges.schema["src"].dataType
+    both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    seen = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("before"))
     frontier = seen
     for hop in range(1, depth + 1):
-        frontier = both.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
+        reached = both.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("before"))
+        frontier = checkpointed(reached.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "before"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
+        if target is not None and not frontier.where(F.col("node") == target).isEmpty():
+            break
     return seen
 
 
+def path(edges: DataFrame, start, target, depth: int = 32) -> list | None:
+    """The nodes of a shortest undirected path, or None; of several the one that goes back by smallest nodes."""
+    if start == target:
+        known = edges.where((F.col("src") == start) | (F.col("dst") == start))
+        return None if known.isEmpty() else [start]
+    found = _search(edges, start, depth, target)
+    out, at = [], target
+    # at most depth lookups, each of one row
+    for _ in range(depth + 1):
+        row = found.where(F.col("node") == at).select("before").first()
+        if row is None:
+            return None
+        out.append(at)
+        if row[0] is None:
+            return out[::-1]
+        at = row[0]
+    return None
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: each node with the smallest one of its component. Labels fall to the smallest neighbour's, then to that one's label, until none changes."""
+    both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("other"))
+        lower = labels.join(near, "node").select("node", F.least("root", "other").alias("via"), F.col("root").alias("old"))
+        jumped = lower.join(labels.select(F.col("node").alias("via"), F.col("root").alias("far")), "via", "left")
+        new = checkpointed(jumped.select("node", F.least("via", F.coalesce("far", "via")).alias("root"), "old"))
+        if new.where("root <> old").isEmpty():
+            return new.select("node", "root")
+        labels = new.select("node", "root")
+
+
 def nested(edges: DataFrame) -> DataFrame:
-    """page_id, with sorted lists of its inbound and outbound pages."""
-    into = edges.groupBy(F.col("dst").alias("page_id")).agg(F.sort_array(F.collect_set("src")).alias("inbound"))
-    out = edges.groupBy(F.col("src").alias("page_id")).agg(F.sort_array(F.collect_set("dst")).alias("outbound"))
-    return into.join(out, "page_id", "full_outer")
+    """page_id, with sorted lists of its inbound and outbound pages; where edges have linked_at, also the latest one."""
+    dated = "linked_at" in edges.columns
+    into = edges.groupBy(F.col("dst").alias("page_id")).agg(F.sort_array(F.collect_set("src")).alias("inbound"), *([F.max("linked_at").alias("_i")] if dated else []))
+    out = edges.groupBy(F.col("src").alias("page_id")).agg(F.sort_array(F.collect_set("dst")).alias("outbound"), *([F.max("linked_at").alias("_o")] if dated else []))
+    both = into.join(out, "page_id", "full_outer")
+    return both.withColumn("last_linked_at", F.greatest("_i", "_o")).drop("_i", "_o") if dated else both
+
+
+def page_links(edges: DataFrame, pages: DataFrame, page_id) -> DataFrame:
+    """direction, page_id, title of a page's links both ways; the id stands for a missing title."""
+    out = edges.where(F.col("src") == page_id).select(F.lit("outbound").alias("direction"), F.col("dst").alias("page_id"))
+    into = edges.where(F.col("dst") == page_id).select(F.lit("inbound").alias("direction"), F.col("src").alias("page_id"))
+    return out.unionByName(into).join(pages.select("page_id", "title"), "page_id", "left").select("direction", "page_id", F.coalesce("title", F.col("page_id").cast("string")).alias("title"))
+
+
+def counted(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pages with inbound and outbound counts, 0 for those without links."""
+    counts = degrees(edges).withColumnRenamed("node", "page_id")
+    return pages.drop("inbound", "outbound").join(counts, "page_id", "left").fillna(0, ["inbound", "outbound"])
+
+
+def preview(edges: DataFrame, pages: DataFrame, n: int = 3) -> DataFrame:
+    """page_id, inbound, shown: titles of the first few pages that link to each, and how many more there are."""
+    titled = edges.join(pages.select(F.col("page_id").alias("src"), "title"), "src", "left")
+    ranked = titled.selectExpr("dst AS page_id", "src", "title", "row_number() OVER (PARTITION BY dst ORDER BY src) AS n", "count(*) OVER (PARTITION BY dst) AS inbound").where(F.col("n") <= n)
+    listed = ranked.groupBy("page_id", "inbound").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("src", F.coalesce("title", F.col("src").cast("string")).alias("t")))), lambda x: x["t"]), ", ").alias("shown"))
+    return listed.select("page_id", "inbound", F.when(F.col("inbound") > n, F.concat("shown", F.lit(", and "), (F.col("inbound") - n).cast("string"), F.lit(" more"))).otherwise(F.col("shown")).alias("shown"))

@@ -2,61 +2,272 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessarium.functions import text as tx
+from tessarium.functions.stems import stem as stem_of
 
 K1, B, LEAST_IDF, RRF = 1.2, 0.75, 1e-6, 60
-#: Rows of one side of a block pair.
+#: Candidates of each lane for each result wanted.
+OVERSHOOT = 3
+#: Rows of one side of a block pair; a left side of so many rows at most is broadcast.
 BLOCK = 4096
+#: Queries times phrases up to which their weights are sent to all tasks (8 bytes each).
+SENT = 4_000_000
+#: The row of a document that tells its length stands under this term.
+LENGTH = ""
+TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def stemmed(word: bytes) -> str:
+    return stem_of(word.decode("latin-1")).encode("latin-1").decode("utf-8", "replace")
+
 
+class Vocabulary(dict):
+    """Numbers of words, and the terms that they stand for; equal terms share a number."""
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, doc, tf, dl: one row for each distinct word of a document, made within the row, without a shuffle."""
-    split = docs.select(F.col(doc).alias("doc"), tx.tokens(F.coalesce(text, F.lit(""))).alias("w"))
-    return split.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    def __init__(self, stem: bool):
+        super().__init__()
+        self.stem, self.numbers, self.terms = stem, {}, []
 
+    def __missing__(self, word: bytes) -> int:
+        term = stemmed(word) if self.stem else word.decode("utf-8", "replace")
+        if (number := self.numbers.setdefault(term, len(self.terms))) == len(self.terms):
+            self.terms.append(term)
+        self[word] = number
+        return number
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, scope: DataFrame | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """query_id, doc, score, rank for queries (query_id, question). Any term matches. scope (doc) limits results, not statistics.
 
-    Only postings of the queries' terms are shuffled; the statistics are one row.
+def postings(docs: DataFrame, doc: str = "doc_id", fields: tuple[str, ...] = ("text",), stem: bool = False) -> DataFrame:
+    """doc, term, tf, at: one row for each distinct word of a document, and one for its length, made in one pass without a shuffle.
+
+    at has the word's places; words of different fields are no neighbours. Write it to a table, bucketed by term, to search it more than once.
+    """
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(stem)
+        for batch in batches:
+            if len(known) > 300_000:
+                known = Vocabulary(stem)
+            codes, places, lengths = [], [], np.zeros(batch.num_rows, np.int64)
+            for i, values in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, len(fields) + 1)))):
+                gap = 0
+                for value in values:
+                    words = TOKEN.findall(value.encode().lower()) if value else ()
+                    codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+                    places.append(np.arange(gap, gap + len(words)))
+                    lengths[i] += len(words)
+                    gap += len(words) + 1
+            if not batch.num_rows:
+                continue
+            row, code, place = np.repeat(np.arange(batch.num_rows), lengths), np.concatenate(codes), np.concatenate(places)
+            key = row * (len(known.terms) + 1) + code
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            n = np.diff(starts, append=len(key))
+            terms = pa.array(known.terms, pa.string()).take(pa.array(code[order][starts]))
+            at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
+            ids = batch.column(0)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[order][starts])), terms, pa.array(n, pa.int32()), at], names=["doc", "term", "tf", "at"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([LENGTH] * len(ids), pa.string()), pa.array(lengths, pa.int32()), pa.array([[]] * len(ids), pa.list_(pa.int32()))], names=["doc", "term", "tf", "at"])
+
+    return docs.select(F.col(doc).alias("doc"), *fields).mapInArrow(run, f"doc {kind}, term string, tf int, at array<int>")
+
+
+@F.pandas_udf(StringType())
+def stemmed_phrase(phrase: pd.Series) -> pd.Series:
+    return phrase.map(lambda p: " ".join(stemmed(w.encode()) for w in p.split(" ")))
+
+
+def forward(docs: DataFrame, phrases: list[str], doc: str, fields: tuple[str, ...], stem: bool) -> DataFrame:
+    """doc, dl, units, tf: each document's length, and of some phrases (words joined by spaces) those that it holds, by number, and how often."""
+    kind = docs.schema[doc].dataType.simpleString()
+    units = [tuple(p.split(" ")) for p in phrases]
+    numbers = {t: i for i, t in enumerate(dict.fromkeys(t for u in units for t in u))}
+    single = np.full(len(numbers) + 1, -1)
+    for i, u in enumerate(units):
+        if len(u) == 1:
+            single[numbers[u[0]]] = i
+    longer = [(i, [numbers[t] for t in u]) for i, u in enumerate(units) if len(u) > 1]
+
+    class Numbers(dict):
+        def __missing__(self, word: bytes) -> int:
+            if len(self) > 300_000:
+                self.clear()
+            found = self[word] = numbers.get(stemmed(word) if stem else word.decode("utf-8", "replace"), -1)
+            return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Numbers()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts, dl, ends = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for i, values in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, len(fields) + 1)))):
+                for value in values:
+                    words = TOKEN.findall(value.encode().lower()) if value else ()
+                    # a place that no word takes ends each field, so that phrases don't run on
+                    parts += [np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.array([-1])]
+                    dl[i] += len(words)
+                    ends[i] += len(words) + 1
+            code, row = np.concatenate(parts), np.repeat(np.arange(batch.num_rows), ends)
+            hits = [(row[at := np.flatnonzero(code >= 0)], single[code[at]])]
+            if longer:
+                order = np.argsort(code, kind="stable")
+                for i, u in longer:
+                    at = order[np.searchsorted(code, u[0], "left", sorter=order) : np.searchsorted(code, u[0], "right", sorter=order)]
+                    for k, c in enumerate(u[1:], 1):
+                        at = at[(at + k < len(code)) & (code[np.minimum(at + k, len(code) - 1)] == c)]
+                    hits.append((row[at], np.full(len(at), i)))
+            rows, unit = (np.concatenate(x) for x in zip(*hits))
+            keys, n = np.unique((rows * len(units) + unit)[unit >= 0], return_counts=True)
+            offsets = np.searchsorted(keys, np.arange(batch.num_rows + 1) * len(units))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (keys % max(len(units), 1), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl, pa.int32()), *lists], names=["doc", "dl", "units", "tf"])
+
+    return docs.select(F.col(doc).alias("doc"), *fields).mapInArrow(run, f"doc {kind}, dl int, units array<int>, tf array<int>")
+
+
+def weights(units: np.ndarray, n_docs: int) -> np.ndarray:
+    """Of phrases in so many documents each."""
+    return np.maximum(np.log((n_docs - units + 0.5) / (units + 0.5)), LEAST_IDF)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, scope: DataFrame | None = None, doc: str = "doc_id", fields: tuple[str, ...] = ("text",), stem: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """query_id, doc, score, rank for queries (query_id, question). Any phrase of a question matches, and counts as often as it stands there.
+
+    scope (doc, or query_id and doc) limits results, not statistics. Documents are read once. If the questions' phrases, counted first, are few
+    enough to be sent to all tasks, each batch of documents is scored as a matrix product and only its best rows go on; otherwise, and for scopes by
+    query, without k, or with an index of postings(), postings are joined with the phrases. Blank questions find nothing.
     """
-    terms = queries.select("query_id", F.explode(tx.query_terms(F.col("question"))).alias("term"))
-    sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tx.tokens(F.coalesce(text, F.lit(""))))).alias("avgdl"))
-    hits = postings(docs, doc, text).join(terms.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = queries.select("query_id", F.explode(tx.query_phrases(F.col("question"))).alias("phrase"))
+    if stem:
+        asked = asked.withColumn("phrase", stemmed_phrase("phrase"))
+    asked = asked.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times")).persist(StorageLevel.MEMORY_AND_DISK)
+    if index is None and k is not None and k > 0 and (scope is None or scope.columns == ["doc"]):
+        n_queries, n_phrases = asked.agg(F.count_distinct("query_id"), F.count_distinct("phrase")).first()
+        if n_queries * n_phrases <= SENT:
+            return _scored(docs, asked.collect(), k, scope, doc, fields, stem, queries.schema["query_id"].dataType.simpleString())
+    return _joined(docs, asked, k, scope, doc, fields, stem, index)
+
+
+def _scored(docs: DataFrame, asked: list, k: int, scope: DataFrame | None, doc: str, fields: tuple[str, ...], stem: bool, kind: str) -> DataFrame:
+    """bm25() for phrases that fit into one matrix (queries x phrases)."""
+    phrases, ids = sorted({r.phrase for r in asked}), sorted({r.query_id for r in asked})
+    at, of = {p: i for i, p in enumerate(phrases)}, {q: i for i, q in enumerate(ids)}
+    held = forward(docs, phrases, doc, fields, stem).persist(StorageLevel.MEMORY_AND_DISK)
+    doc_kind = held.schema["doc"].dataType.simpleString()
+    n_docs, total = held.agg(F.count(F.lit(1)), F.sum(F.col("dl").cast("long"))).first()
+    df = np.zeros(len(phrases))
+    # as many rows as phrases
+    for unit, n in held.select(F.explode("units").alias("u")).groupBy("u").agg(F.count(F.lit(1))).collect():
+        df[unit] = n
+    W = np.zeros((len(phrases), len(ids)))
+    idf = weights(df, n_docs)
+    for r in asked:
+        W[at[r.phrase], of[r.query_id]] = r.times * idf[at[r.phrase]]
+    mean = (total or 0) / max(n_docs, 1) or 1.0
+    if scope is not None:
+        held = held.join(scope, "doc", "left_semi")
+    names = pa.array(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                units, tf = batch.column("units"), batch.column("tf").flatten().to_numpy()
+                row = np.repeat(np.arange(batch.num_rows), np.diff(units.offsets.to_numpy()))
+                dl = batch.column("dl").to_numpy()[row]
+                D = np.zeros((batch.num_rows, len(phrases)))
+                D[row, units.flatten().to_numpy()] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+                S = D @ W
+                bar = np.partition(S, -k, 0)[-k] if len(S) > k else np.zeros(len(ids))
+                # ties of the k-th best stay; what matches nothing scores 0
+                i, j = np.nonzero((S >= bar * (1 - 1e-9) - 1e-9) & (S > 0))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), batch.column("doc").take(pa.array(i)), pa.array(S[i, j])], names=["query_id", "doc", "score"])
+
+    return top(held.mapInArrow(run, f"query_id {kind}, doc {doc_kind}, score double"), k)
+
+
+def _joined(docs: DataFrame, asked: DataFrame, k: int | None, scope: DataFrame | None, doc: str, fields: tuple[str, ...], stem: bool, index: DataFrame | None) -> DataFrame:
+    """bm25() for any number of phrases, by joins of postings."""
+    phrases = asked.select("phrase").distinct().withColumn("words", F.split("phrase", " "))
+    wanted = phrases.select(F.explode("words").alias("term")).union(phrases.sparkSession.createDataFrame([(LENGTH,)], "term string")).distinct()
+    source = index if index is not None else postings(docs, doc, fields, stem)
+    hits = source.join(wanted, "term", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    lengths = hits.where(F.col("term") == LENGTH).select("doc", F.col("tf").alias("dl"))
+    sizes = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    found = hits.where(F.col("term") != LENGTH).select("doc", F.col("term").alias("phrase"), "tf")
+    # the queries are read once more, to see whether a phrase of several words is among them
+    if not phrases.where(F.size("words") > 1).isEmpty():
+        parts = phrases.where(F.size("words") > 1).select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("i", "term"))
+        starts = hits.join(parts, "term").select("doc", "phrase", "n", "i", F.explode("at").alias("p")).groupBy("doc", "phrase", "n", (F.col("p") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("seen"))
+        found = found.unionByName(starts.where("seen = n").groupBy("doc", "phrase").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+        found = found.join(phrases.select("phrase"), "phrase", "left_semi")
+    df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weighted = terms.join(df, "term").join(F.broadcast(sizes)).select("query_id", "term", "avgdl", idf.alias("idf"))
+    # one row
+    weighted = asked.join(df, "phrase").join(F.broadcast(sizes)).select("query_id", "phrase", "avgdl", (idf * F.col("times")).alias("weight"))
+    parts = found.join(weighted, "phrase")
     if scope is not None:
-        hits = hits.join(scope, "doc", "left_semi")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.join(weighted, "term").groupBy("query_id", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scores, k)
+        parts = parts.join(scope, [c for c in ("query_id", "doc") if c in scope.columns], "left_semi")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scores = parts.join(lengths, "doc").groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
+    return scores if k is None else top(scores, k)
 
 
 def top(scores: DataFrame, k: int, best: str = "DESC") -> DataFrame:
-    """The k best of each query, ties by id; Spark limits each task's groups before the shuffle."""
-    return scores.selectExpr("*", f"row_number() OVER (PARTITION BY query_id ORDER BY score {best}, doc) AS rank").where(F.col("rank") <= k)
+    """The k best of each query, ties by id; Spark limits each task's groups before the shuffle. None for k <= 0."""
+    return scores.selectExpr("*", f"row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) {best}, doc) AS rank").where(F.col("rank") <= max(k, 0))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
+def usable(vectors: DataFrame) -> DataFrame:
+    """Vectors that can be compared: not null, without null components, of some length."""
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return vectors.where(F.col("v").isNotNull()).where(~F.exists("v", lambda x: x.isNull())).where(square > 0)
+
+
 def block_pairs(left: DataFrame, right: DataFrame, score, keep, schema: str, key: str | None = None) -> DataFrame:
-    """Compare two sets of (id, v) in blocks: score(A, B) is a matrix, keep(ids, ids, scores) gives rows. key limits to equal values."""
-    n = {side: max(1, -(-frame.count() // BLOCK)) for side, frame in (("l", left), ("r", right))}
+    """Compare two sets of (id, v) in blocks: score(A, B) is a matrix, keep(ids, ids, scores) gives rows. key limits to equal values.
+
+    A left side of one block at most, by a count, is broadcast: then the right side is neither shuffled nor repeated. Larger ones meet in pairs of blocks.
+    """
+    counts = [frame.count() for frame in (left, right)]
+    empty = pd.DataFrame(keep(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))))
+    if counts[0] <= BLOCK and not key:
+        rows = left.select("id", "v").collect()
+        ids, A = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+        held = left.sparkSession.sparkContext.broadcast((ids, A))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            mine, vectors = held.value
+            for pdf in batches:
+                if len(pdf) and len(mine):
+                    yield pd.DataFrame(keep(mine, pdf["id"].to_numpy(), score(vectors, _matrix(pdf["v"]))))
+
+        return right.select("id", "v").mapInPandas(run, schema)
+    n = {side: max(1, -(-count // BLOCK)) for side, count in zip("lr", counts)}
     group = ["_l", "_r", *([key] if key else [])]
     a = left.withColumn("_l", F.pmod(F.xxhash64("id"), F.lit(n["l"])).cast("int")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n["r"] - 1))))
     b = right.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(n["r"])).cast("int")).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(n["l"] - 1))))
 
     def solve(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame(keep(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))))
+            return empty
         return pd.DataFrame(keep(x["id"].to_numpy(), y["id"].to_numpy(), score(_matrix(x["v"]), _matrix(y["v"]))))
 
     return a.groupBy(*group).cogroup(b.groupBy(*group)).applyInPandas(solve, schema)
@@ -70,45 +281,67 @@ def l2_matrix(A: np.ndarray, B_: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((A[:, None, :] - B_[None, :, :]) ** 2).sum(2), 0)) if len(A) * len(B_) < 1 << 20 else np.sqrt(np.maximum((A * A).sum(1)[:, None] + (B_ * B_).sum(1) - 2 * A @ B_.T, 0))
 
 
-def nearest(data: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", excluded: Column | None = None, floor: float | None = None) -> DataFrame:
-    """query_id, doc, score, rank: exact nearest vectors (id, v) of each query (id, v), itself left out. Vectors of no length match nothing."""
+def nearest(data: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", excluded: Column | None = None, floor: float | None = None, itself: bool = False) -> DataFrame:
+    """query_id, doc, score, rank: exact nearest vectors (id, v) of each query (id, v); the query's own id is left out unless itself.
+
+    Null vectors and such of no length match nothing. excluded rows don't take part; a floor drops results in the block where they arise.
+    """
     if excluded is not None:
-        data = data.where(~excluded)
+        data = data.where(~F.coalesce(excluded, F.lit(False)))
     sign = -1.0 if metric == "l2" else 1.0
 
     def keep(q: np.ndarray, d: np.ndarray, s: np.ndarray) -> dict:
-        s = np.round(s, 6)
-        s[q[:, None] == d[None, :]] = -sign * np.inf
-        order = np.lexsort((np.broadcast_to(d, s.shape), -sign * s), axis=1)[:, :k] if s.size else np.zeros((0, 0), np.int64)
-        i = np.repeat(np.arange(len(order)), order.shape[1])
-        j = order.ravel()
-        ok = np.isfinite(s[i, j]) if len(i) else np.zeros(0, bool)
-        return {"query_id": q[i[ok]], "doc": d[j[ok]], "score": s[i[ok], j[ok]]} if len(i) else {"query_id": q[:0], "doc": d[:0], "score": np.zeros(0)}
-
-    found = block_pairs(queries.select("id", "v"), data.select("id", "v"), l2_matrix if metric == "l2" else cosine_matrix, keep, "query_id long, doc long, score double")
-    if floor is not None:
-        found = found.where(F.col("score") >= floor)
+        if not s.size or k <= 0:
+            return {"query_id": q[:0].astype(np.int64), "doc": d[:0].astype(np.int64), "score": np.zeros(0)}
+        value = sign * s
+        if not itself:
+            value[q[:, None] == d[None, :]] = -np.inf
+        if floor is not None:
+            value[value < sign * floor] = -np.inf
+        order = np.lexsort((np.broadcast_to(d, s.shape), -np.round(value, 9)), axis=1)[:, :k]
+        i, j = np.repeat(np.arange(len(order)), order.shape[1]), order.ravel()
+        ok = np.isfinite(value[i, j])
+        return {"query_id": q[i[ok]], "doc": d[j[ok]], "score": s[i[ok], j[ok]]}
+
+    found = block_pairs(usable(queries.select("id", "v")), usable(data.select("id", "v")), l2_matrix if metric == "l2" else cosine_matrix, keep, "query_id long, doc long, score double")
     return top(found, k, "ASC" if metric == "l2" else "DESC")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, key: str | None = None) -> DataFrame:
-    """a < b and their cosine, for pairs at or above a threshold, in blocks; with a key, within equal values only."""
-
-    def keep(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> dict:
-        s = np.round(s, 6)
-        i, j = np.nonzero((s >= threshold) & (a[:, None] < b[None, :])) if s.size else (np.zeros(0, np.int64),) * 2
-        return {"a": a[i], "b": b[j], "score": s[i, j] if s.size else np.zeros(0)}
+    """a < b and their cosine, for pairs at or above a threshold, in blocks; with a key, within equal values only. Each pair of blocks is solved once."""
+    vectors = usable(vectors)
+    n = max(1, -(-vectors.count() // BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    group = ["_l", "_r", *([key] if key else [])]
+    # a row of block x stands on the left of pairs (x, y) with y >= x, and on the right of the others; in (x, x) on both sides
+    dealt = vectors.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.withColumn("_l", F.least("_own", "_other")).withColumn("_r", F.greatest("_own", "_other")).select(*group, "_own", "id", "v")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf["_own"].to_numpy() == pdf["_l"].to_numpy()
+        right = pdf["_own"].to_numpy() == pdf["_r"].to_numpy()
+        x, y = pdf[left], pdf[right]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})
+        a, b, s = x["id"].to_numpy(), y["id"].to_numpy(), cosine_matrix(_matrix(x["v"]), _matrix(y["v"]))
+        near = s >= threshold
+        if pdf["_l"].iloc[0] == pdf["_r"].iloc[0]:
+            near &= a[:, None] < b[None, :]
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "score": s[i, j]})
 
-    return block_pairs(vectors, vectors, cosine_matrix, keep, "a long, b long, score double", key)
+    return dealt.groupBy(*group).applyInPandas(solve, "a long, b long, score double").where("a < b")
 
 
-def fused(first: DataFrame, second: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lanes: score, floor, then the k best; ties as in the first lane, then the second."""
+def fused(first: DataFrame, second: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lanes: the fused score, a floor, then the k best; ties as in the first lane, then the second."""
     lanes = first.select("query_id", "doc", F.col("rank").alias("r1"), F.lit(None).cast("int").alias("r2")).unionByName(second.select("query_id", "doc", F.lit(None).cast("int").alias("r1"), F.col("rank").alias("r2")))
     share = F.coalesce(1.0 / (RRF + F.col("r1")), F.lit(0.0)) + F.coalesce(1.0 / (RRF + F.col("r2")), F.lit(0.0))
-    scores = lanes.groupBy("query_id", "doc").agg(F.round(F.sum(share), 9).alias("score"), F.min("r1").alias("r1"), F.min("r2").alias("r2")).where(F.col("score") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("r1"), F.asc_nulls_last("r2"), "doc")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc", "score", "rank")
+    scores = lanes.groupBy("query_id", "doc").agg(F.sum(share).alias("score"), F.min("r1").alias("r1"), F.min("r2").alias("r2"))
+    if least is not None:
+        scores = scores.where(F.col("score") >= least)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc_nulls_last("r1"), F.asc_nulls_last("r2"), "doc")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 0)).select("query_id", "doc", "score", "rank")
 
 
 def within_budget(ranked: DataFrame, cost: Column, budget: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessarium.functions import text as tx
-from tessarium.operators import checks, chunks, duplicates, events as ev, lifecycle, linking, links, search
+from tessarium.operators import checks, chunks, events as ev, lifecycle, linking, links, retrieval, search
 from tessarium.plans import tables as t
 from tessarium.plans.tables import EDGES, EVENTS, NOW, NOW_SECONDS, PAGES, read
 
@@ -34,20 +34,22 @@ _TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQR
 _STOP = ", ".join(f"'{w}'" for w in tx.SEARCH_STOP_WORDS)
 
 
-def _bm25_sql(scope: str = "") -> str:
-    return rf"""d_ AS (SELECT doc_id, lang, {_TOKENS} AS w FROM documents),
-p_ AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl, any_value(lang) AS lang FROM (SELECT doc_id, lang, len(w) AS dl, unnest(w) AS term FROM d_) GROUP BY doc_id, term),
-s_ AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM d_),
-q_ AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark),
-t_ AS (SELECT query_id, q_.term, greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) AS idf, avgdl FROM q_ JOIN (SELECT term, count(*) AS df FROM p_ GROUP BY term) USING (term), s_ WHERE q_.term NOT IN ({_STOP})),
-b_ AS (SELECT query_id, doc_id AS doc, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p_ JOIN t_ USING (term) {scope} GROUP BY ALL)"""
+def _bm25_sql(scope: str = "", question: str = "text", docs: str = "documents", doc: str = "doc_id") -> str:
+    return rf"""d_ AS (SELECT {doc} AS doc_id, {_TOKENS} AS w FROM {docs}), s_ AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM d_),
+raw_ AS (SELECT item_id AS query_id, lower(regexp_replace(unnest(regexp_split_to_array({question}, '\s+')), '[^\p{{L}}\p{{N}}_-]', '', 'g')) AS text FROM benchmark),
+q_ AS (SELECT query_id, words, len(words) AS n, count(*) AS times FROM (SELECT query_id, {_TOKENS} AS words FROM raw_ WHERE text <> '' AND text NOT IN ({_STOP})) WHERE len(words) > 0 GROUP BY ALL),
+one_ AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d_) WHERE term IN (SELECT words[1] FROM q_) GROUP BY doc_id, term),
+p_ AS (SELECT doc_id, [term] AS words, tf, dl FROM one_ WHERE term IN (SELECT words[1] FROM q_ WHERE n = 1)
+ UNION ALL SELECT * FROM (SELECT doc_id, words, len(list_filter(list_filter(range(1, len(w) - len(words) + 2), lambda i: w[i] = words[1]), lambda i: w[i:i + len(words) - 1] = words)) AS tf, len(w) AS dl FROM (SELECT DISTINCT words FROM q_ WHERE n > 1) JOIN one_ ON one_.term = words[1] JOIN d_ USING (doc_id)) WHERE tf > 0),
+t_ AS (SELECT query_id, words, times * greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) AS weight, avgdl FROM q_ JOIN (SELECT words, count(*) AS df FROM p_ GROUP BY words) USING (words), s_),
+b_ AS (SELECT query_id, doc_id AS doc, sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p_ JOIN t_ USING (words) {scope} GROUP BY ALL)"""
 
 
-def _ranked(source: str, k: int, order: str = "score DESC, doc", columns: str = "query_id, doc, score, rank") -> str:
+def _ranked(source: str, k: int, order: str = "round(score, 9) DESC, doc", columns: str = "query_id, doc, score, rank") -> str:
     return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order})::INT AS rank FROM {source}) WHERE rank <= {k}"
 
 
-_KNN = "e_ AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), v_ AS (SELECT q.vec_id AS query_id, c.vec_id AS doc, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM e_ q JOIN e_ c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)"
+_KNN = "e_ AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), v_ AS (SELECT q.vec_id AS query_id, c.vec_id AS doc, list_cosine_similarity(q.v, c.v) AS score FROM e_ q JOIN e_ c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)"
 
 
 def _questions(spark, sf_dir):
@@ -66,39 +68,63 @@ def _asked(spark, sf_dir):
     return _vectors(spark, sf_dir).where("id % 50 = 0")
 
 
-@query(f"WITH {_bm25_sql()}, r_ AS ({_ranked('b_', 10)}) SELECT query_id, doc, score, rank, CASE WHEN length(f) <= 200 THEN f ELSE rtrim(f[1:199], ' ') || '…' END AS snippet FROM (SELECT r_.*, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS f FROM r_ JOIN documents ON doc = doc_id)")
+@query(f"WITH {_bm25_sql()}, r_ AS ({_ranked('b_', 10)}) SELECT query_id, doc, round(score, 6) AS score, rank, CASE WHEN length(f) <= 200 THEN f ELSE rtrim(f[1:199], ' ') || '…' END AS snippet FROM (SELECT r_.*, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS f FROM r_ JOIN documents ON doc = doc_id)")
 def bm25_topk(spark, sf_dir):
     """Best documents for every benchmark text, with snippets."""
     docs = read(spark, sf_dir, "documents")
-    return _lane1(spark, sf_dir).join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("query_id", "doc", "score", "rank", tx.snippet(F.col("text")).alias("snippet"))
+    return _lane1(spark, sf_dir).join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("query_id", "doc", F.round("score", 6).alias("score"), "rank", tx.snippet(F.col("text")).alias("snippet"))
 
 
-@query(f"WITH {_bm25_sql(chr(87) + 'HERE lang = ' + chr(39) + 'fr' + chr(39))} {_ranked('b_', 10)}")
+_ROUND = "query_id, doc, round(score, 6) AS score, rank"
+
+
+def _rounded(frame):
+    return frame.withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_bm25_sql('WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = ' + chr(39) + 'fr' + chr(39) + ')')} {_ranked('b_', 10, columns=_ROUND)}")
 def bm25_scoped(spark, sf_dir):
     """French documents only; statistics stay global."""
     scope = read(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("doc"))
-    return _lane1(spark, sf_dir, scope=scope)
+    return _rounded(_lane1(spark, sf_dir, scope=scope))
+
 
+_PHRASED = r"text || ' ' || regexp_extract(text, '^(\w+)\s+(\w+)', 1) || '-' || regexp_extract(text, '^(\w+)\s+(\w+)', 2)"
 
-@query(f"WITH {_KNN} {_ranked('v_', 10)}")
+
+@query(f"WITH {_bm25_sql(question=_PHRASED)} {_ranked('b_', 10, columns=_ROUND)}")
+def bm25_phrases(spark, sf_dir):
+    """Questions with their first two words once more, joined by a hyphen: a phrase."""
+    two = [F.regexp_extract("text", r"^(\w+)\s+(\w+)", i) for i in (1, 2)]
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" "), two[0], F.lit("-"), two[1]).alias("question"))
+    return _rounded(search.bm25(read(spark, sf_dir, "documents"), asked, 10))
+
+
+@query(f"WITH {_KNN} {_ranked('v_', 10, columns=_ROUND)}")
 def knn_cosine_topk(spark, sf_dir):
-    return search.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir))
+    return _rounded(search.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir)))
+
+
+@query(f"WITH {_KNN} {_ranked('(SELECT * FROM v_ WHERE doc % 3 <> 0 AND score >= 0.1)', 10, columns=_ROUND)}")
+def knn_excluded(spark, sf_dir):
+    """Some vectors excluded by state, and a floor: fewer than k may be left."""
+    return _rounded(search.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), excluded=F.col("id") % 3 == 0, floor=0.1))
 
 
-@query(f"WITH {_KNN.replace('list_cosine_similarity', 'list_distance')} {_ranked('v_', 10, 'score, doc')}")
+@query(f"WITH {_KNN.replace('list_cosine_similarity', 'list_distance')} {_ranked('v_', 10, 'round(score, 9), doc', _ROUND)}")
 def knn_l2_topk(spark, sf_dir):
-    return search.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), metric="l2")
+    return _rounded(search.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), metric="l2"))
 
 
 _LANES = f"""WITH {_bm25_sql()}, {_KNN}, l1 AS ({_ranked('b_', 30)}), l2 AS ({_ranked('v_', 30)}),
-f_ AS (SELECT query_id, doc, round(coalesce(1.0::DOUBLE / (60 + l1.rank), 0) + coalesce(1.0::DOUBLE / (60 + l2.rank), 0), 9) AS score, l1.rank AS r1, l2.rank AS r2 FROM l1 FULL JOIN l2 USING (query_id, doc)),
-h_ AS ({_ranked('f_', 10, 'score DESC, r1 NULLS LAST, r2 NULLS LAST, doc')})"""
+f_ AS (SELECT query_id, doc, coalesce(1.0::DOUBLE / (60 + l1.rank), 0) + coalesce(1.0::DOUBLE / (60 + l2.rank), 0) AS score, l1.rank AS r1, l2.rank AS r2 FROM l1 FULL JOIN l2 USING (query_id, doc)),
+h_ AS ({_ranked('f_', 10, 'round(score, 12) DESC, r1 NULLS LAST, r2 NULLS LAST, doc')})"""
 
 
-@query(f"{_LANES} SELECT * FROM h_")
+@query(f"{_LANES} SELECT query_id, doc, round(score, 9) AS score, rank FROM h_")
 def rrf_hybrid(spark, sf_dir):
     """Words and vectors fused; a vector stands for the document of the same number."""
-    return search.fused(_lane1(spark, sf_dir, 30), search.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), 30))
+    return search.fused(_lane1(spark, sf_dir, 30), search.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), 30)).withColumn("score", F.round("score", 9))
 
 
 @query(f"{_LANES}, c_ AS (SELECT h_.query_id, doc, rank, sum(coalesce(greatest(1, length(text) // 4), 1)) OVER (PARTITION BY h_.query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM h_ LEFT JOIN documents ON doc = doc_id) SELECT * FROM c_ WHERE rank = 1 OR run <= 2000")
@@ -112,13 +138,11 @@ def semantic_topup(spark, sf_dir):
     return search.topped_up(_lane1(spark, sf_dir, 5), search.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), 30), 8)
 
 
-@query(f"WITH {_KNN}, {EDGES} {_ranked('(SELECT * FROM v_ WHERE score >= 0.2 AND NOT EXISTS (SELECT 1 FROM edges_ WHERE src = query_id AND dst = doc OR src = doc AND dst = query_id))', 10)}")
+@query(f"WITH {_KNN}, {EDGES} {_ranked('(SELECT * FROM v_ WHERE score >= 0.2 AND NOT EXISTS (SELECT 1 FROM edges_ WHERE src = query_id AND dst = doc OR src = doc AND dst = query_id))', 10, columns='query_id, doc AS page_id, round(score, 6) AS similarity, rank')}")
 def related_unlinked(spark, sf_dir):
     """Near pages that aren't linked either way."""
-    near = search.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), 1 << 20, floor=0.2).drop("rank")
-    edges = t.edges(spark, sf_dir)
-    both = edges.select(F.col("src").alias("query_id"), F.col("dst").alias("doc")).unionByName(edges.select(F.col("dst").alias("query_id"), F.col("src").alias("doc")))
-    return search.top(near.join(both, ["query_id", "doc"], "left_anti").select("query_id", "doc", "score"), 10)
+    found = retrieval.related(_vectors(spark, sf_dir).withColumnRenamed("id", "page_id"), t.edges(spark, sf_dir), _asked(spark, sf_dir), 10, 0.2)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 _DEGREES = f"WITH {EDGES}, g_ AS (SELECT node, sum(i)::BIGINT AS inbound, sum(o)::BIGINT AS outbound FROM (SELECT src AS node, 0 AS i, 1 AS o FROM edges_ UNION ALL SELECT dst, 1, 0 FROM edges_) GROUP BY node)"
@@ -138,7 +162,7 @@ def _seeds(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("node"))
 
 
-@query(f"WITH {EDGES}, {PAGES} SELECT dst, count(*) AS n_links, any_value(m) AS modified FROM edges_ JOIN pages_ ON dst = page_id WHERE src IN (SELECT item_id FROM benchmark) AND dst NOT IN (SELECT item_id FROM benchmark) GROUP BY dst ORDER BY n_links DESC, modified DESC, dst LIMIT 20")
+@query(f"WITH {EDGES}, {PAGES} SELECT dst, count(*) AS n_links, any_value(m) AS modified FROM edges_ JOIN pages_ ON dst = page_id WHERE status NOT IN ('deprecated', 'archived') AND type NOT IN ('source', 'index') AND src IN (SELECT item_id FROM benchmark) AND dst NOT IN (SELECT item_id FROM benchmark) GROUP BY dst ORDER BY n_links DESC, modified DESC, dst LIMIT 20")
 def link_hop_rank(spark, sf_dir):
     found = links.hop_ranking(t.edges(spark, sf_dir), _seeds(spark, sf_dir), t.pages(spark, sf_dir), 20)
     return found.withColumn("modified", F.unix_timestamp("modified"))
@@ -199,7 +223,7 @@ def month_to_date(spark, sf_dir):
     return ev.month_to_date(t.events(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
-_DORMANT = f"SELECT page_id, floor(({NOW_SECONDS} - m) / 86400)::BIGINT AS age FROM pages_ WHERE status = 'active' AND floor(({NOW_SECONDS} - m) / 86400) > CASE WHEN dormant_window <> 0 THEN dormant_window WHEN type = 'concept' THEN 180 WHEN type = 'entity' THEN 120 WHEN type = 'source' THEN 60 ELSE 90 END"
+_DORMANT = f"SELECT page_id, floor(({NOW_SECONDS} - m) / 86400)::BIGINT AS age FROM pages_ WHERE status = 'active' AND floor(({NOW_SECONDS} - m) / 86400) > CASE WHEN dormant_window <> 0 THEN dormant_window WHEN type = 'entity' THEN 180 WHEN type = 'concept' THEN 120 WHEN type = 'synthesis' THEN 60 ELSE 90 END"
 
 
 @query(f"WITH {PAGES} {_DORMANT}")
@@ -207,7 +231,7 @@ def dormant_candidates(spark, sf_dir):
     return checks.dormant(t.pages(spark, sf_dir), _now()).select("page_id", "age")
 
 
-@query(f"WITH {PAGES} SELECT page_id, m AS modified FROM pages_ WHERE ({NOW_SECONDS} - m) / 86400.0 > 90")
+@query(f"WITH {PAGES} SELECT page_id, m AS modified FROM pages_ WHERE status = 'active' AND ({NOW_SECONDS} - m) / 86400.0 > 90")
 def stale_pages(spark, sf_dir):
     return checks.stale(t.pages(spark, sf_dir), _now()).select("page_id", F.unix_timestamp("modified").alias("modified"))
 
@@ -224,7 +248,7 @@ def missing_fields(spark, sf_dir):
 SELECT 'broken link' AS "check" FROM edges_ LEFT JOIN pages_ a ON src = a.page_id LEFT JOIN pages_ b ON dst = b.page_id WHERE coalesce(a.status, '') <> 'deprecated' AND (b.status IS NULL OR b.status = 'deprecated')
 UNION ALL SELECT 'orphan' FROM pages_ WHERE page_id NOT IN (SELECT dst FROM edges_) AND type NOT IN ('source', 'index') AND status <> 'deprecated'
 UNION ALL SELECT 'dormant' FROM ({_DORMANT}) UNION ALL SELECT 'missing field' FROM ({_MISSING}) UNION ALL SELECT 'stub' FROM pages_ WHERE status = 'stub')
-SELECT "check", count(*) AS n, "check" IN ('stub', 'dormant') AS tracked_only FROM a_ GROUP BY "check" """)
+SELECT "check", count(*) AS n, "check" IN ('stub', 'dormant', 'orphan', 'promoted') AS tracked_only FROM a_ GROUP BY "check" """)
 def lint_totals(spark, sf_dir):
     return checks.totals(checks.run_all(t.pages(spark, sf_dir), t.edges(spark, sf_dir), _now(), ["title", "source"]))
 
@@ -240,35 +264,16 @@ def index_drift(spark, sf_dir):
     return checks.index_drift(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page_id")), read(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("page_id")))
 
 
-def _names(spark, sf_dir):
-    return read(spark, sf_dir, "part").select(tx.slug(F.col("p_name")).alias("name"), F.lit("part").alias("type")).distinct()
-
-
-@query()
-def dup_pairs_slug(spark, sf_dir):
-    return duplicates.name_pairs(_names(spark, sf_dir), 70.0)
-
-
-@query("WITH e_ AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM e_ x JOIN e_ y ON x.label = y.label AND x.vec_id < y.vec_id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.35")
+@query("WITH e_ AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM e_ x JOIN e_ y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.35")
 def dup_pairs_cosine(spark, sf_dir):
     """Pages of one type only, as the reference does unless told otherwise; a label stands for a type."""
-    return search.similar_pairs(_vectors(spark, sf_dir), 0.35, "label")
+    return _rounded(search.similar_pairs(_vectors(spark, sf_dir), 0.35, "label"))
 
 
-@query("WITH e_ AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM e_ x JOIN e_ y ON x.vec_id < y.vec_id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.35")
+@query("WITH e_ AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM e_ x JOIN e_ y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.35")
 def dup_pairs_cosine_all(spark, sf_dir):
     """All pages, across types too."""
-    return search.similar_pairs(_vectors(spark, sf_dir), 0.35)
-
-
-@query()
-def winner_suggestion(spark, sf_dir):
-    names = _names(spark, sf_dir)
-    pages = names.select("name", F.length("name").alias("links"), F.size(F.split("name", "-")).alias("sources"), F.when(F.length("name") % 5 == 0, "stub").otherwise("active").alias("status"))
-    a, b = (pages.select(F.col("name").alias(s), F.struct("*").alias(f"{s}_page")) for s in ("a", "b"))
-    pairs = duplicates.name_pairs(names, 70.0).join(a, "a").join(b, "b")
-    chosen = duplicates.winner(F.col("a_page"), F.col("b_page"), F.col("score") / 100)
-    return pairs.withColumn("w", chosen).select("a", "b", F.round(duplicates.combined_score(F.lit(-1.0), F.col("score")), 6).alias("combined"), "w.*")
+    return _rounded(search.similar_pairs(_vectors(spark, sf_dir), 0.35))
 
 
 @query("SELECT page_id, array_to_string(list(alias ORDER BY pos), ',') AS aliases FROM (SELECT p_size AS page_id, arg_min(p_name, p_partkey) AS alias, min(p_partkey) AS pos FROM part GROUP BY p_size, lower(p_name)) GROUP BY page_id")
@@ -277,10 +282,10 @@ def alias_union(spark, sf_dir):
     return lifecycle.alias_union(rows).withColumn("aliases", F.array_join("aliases", ","))
 
 
-@query("SELECT user_id AS page_id, event_type AS key, array_to_string(list_sort(list(DISTINCT json_extract_string(props, '$.k'))), ',') AS chunk_ids FROM events GROUP BY user_id, event_type")
+@query("SELECT user_id AS page_id, event_type AS key, array_to_string(list(k ORDER BY first_at), ',') AS chunk_ids FROM (SELECT user_id, event_type, json_extract_string(props, '$.k') AS k, min(event_id) AS first_at FROM events GROUP BY ALL) GROUP BY user_id, event_type")
 def source_union(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_type").alias("hash"), F.lit("n").alias("name"), F.array(F.get_json_object("props", "$.k")).alias("chunk_ids"))
-    return lifecycle.source_union(rows).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("pos"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("hash"), F.initcap("event_type").alias("name"), F.array(F.get_json_object("props", "$.k")).alias("chunk_ids"))
+    return lifecycle.source_union(rows).select("page_id", "key", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS source_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM benchmark) GROUP BY 1")
@@ -299,13 +304,6 @@ def alias_exact_link(spark, sf_dir):
     return linking.exact(_spans(spark, sf_dir), aliases)
 
 
-@query()
-def alias_fuzzy_topk(spark, sf_dir):
-    spans = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("span_id"), F.lower("n_name").alias("text"))
-    aliases = read(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_size").alias("page_id"))
-    return linking.fuzzy(spans, aliases, 5, 40.0)
-
-
 @query("SELECT user_id AS page_id, event_type AS target, min(event_id) AS start FROM events GROUP BY ALL")
 def first_mention(spark, sf_dir):
     spans = read(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_type").alias("target"), F.col("event_id").alias("start"), (F.col("event_id") + 5).alias("end"))
@@ -328,7 +326,7 @@ def safe_zone_merge(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT event_id, user_id % 50 AS key, floor(epoch(ts))::BIGINT AS t FROM events WHERE event_type = 'click'), c AS (SELECT user_id % 50 AS key, floor(epoch(ts))::BIGINT AS u, md5(event_id::VARCHAR) AS hash FROM events WHERE event_type <> 'click')
-SELECT event_id, first(hash ORDER BY abs(t - u), hash) AS hash, min(abs(t - u)) AS gap FROM e JOIN c ON e.key = c.key AND abs(t - u) <= 300 GROUP BY event_id""")
+SELECT event_id, first(hash ORDER BY abs(t - u), hash) AS hash, min(abs(t - u)) AS gap FROM e JOIN c ON e.key = c.key AND abs(t - u) < 300 GROUP BY event_id""")
 def event_commit_asof(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 50).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     commits = rows.where("event_type <> 'click'").select("key", "ts", F.md5(F.col("event_id").cast("string").cast("binary")).alias("hash"))
@@ -350,7 +348,7 @@ def slugify(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", tx.slug(F.col("p_name")).alias("slug"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE regexp_replace(regexp_replace(text[1:120], ' [^ ]*$', ''), '[ ,;:.]+$', '') || '…' END AS summary FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) <= 120 THEN text WHEN regexp_replace(regexp_replace(text[1:120], '(?s) [^ ]*$', ''), '[.,;:!?]+$', '') <> '' THEN regexp_replace(regexp_replace(text[1:120], '(?s) [^ ]*$', ''), '[.,;:!?]+$', '') || '…' ELSE text[1:119] || '…' END AS summary FROM documents")
 def summary_render(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", tx.summary(F.col("text")).alias("summary"))
 
@@ -361,11 +359,6 @@ def doc_chunk_ids(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", tx.chunk_id(F.col("h"), F.col("chunk_index")).alias("chunk_id"), tx.token_estimate(F.col("line")).alias("tokens"))
 
 
-@query()
-def paragraph_group(spark, sf_dir):
-    return chunks.chunked(read(spark, sf_dir, "documents").select("doc_id", "text"), 100, 20, "\n")
-
-
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT DISTINCT l_orderkey, 'changed' FROM lineitem WHERE l_quantity > 45")
 def incremental_sync(spark, sf_dir):
     changed = read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("o_orderstatus", F.lit("changed"))
