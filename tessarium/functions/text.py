@@ -95,16 +95,20 @@ def retarget_links(text: Column, old: Column, new: Column) -> Column:
     return F.regexp_replace(text, pattern, F.concat(F.lit("[["), new, F.lit("$1]]")))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), where value is evaluated once however often use refers to it: as the variable of a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def char_bag(text: Column) -> Column:
     """Eight counts of characters by code point modulo 8, scaled to length one: an embedding for tests."""
     slots = F.transform(F.array_remove(F.split(F.lower(text), ""), ""), lambda c: F.ascii(c) % 8)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
+    counts = bound(slots, lambda found: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: F.size(F.filter(found, lambda s: s == d)).cast("double")))
     return scaled(counts)
 
 
 def scaled(vector: Column) -> Column:
-    n = norm(vector)
-    return F.transform(vector, lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    return bound(vector, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -164,7 +168,7 @@ def unfenced(text: Column) -> Column:
 
 
 def thousands(n: Column) -> Column:
-    return F.when(n < 1000, n.cast("string")).otherwise(F.format_string("%.1fk", n / 1000.0))
+    return F.when(n < 1000, n.cast("string")).otherwise(F.format_string("%.1fk", F.bround(n / 1000.0, 1)))
 
 
 def elapsed(seconds: Column) -> Column:

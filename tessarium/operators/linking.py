@@ -79,8 +79,9 @@ def resolved(spans: DataFrame, aliases: DataFrame, vectors: DataFrame, embed, k:
     own = spans.join(aliases.select(F.col("alias").alias("k"), F.col("page_id").alias("target")), "k", "left")
     done = own.where("target IS NOT NULL").withColumns({"score": F.lit(100), "method": F.lit("exact"), "cosine": F.lit(None).cast("double")})
     rest = own.where("target IS NULL").drop("target")
+    rest = rest.withColumn("q", embed(F.col("context")))
     near = rest.join(shortlist(rest.select(F.col("k").alias("text")), aliases, k, least).select(F.col("text").alias("k"), F.col("page_id").alias("target"), "score", "rank"), "k")
-    near = near.join(vectors.select(F.col("page_id").alias("target"), "v").where("v IS NOT NULL"), "target").withColumn("q", embed(F.col("context")))
+    near = near.join(vectors.select(F.col("page_id").alias("target"), "v").where("v IS NOT NULL"), "target")
     near = near.withColumn("cosine", tx.dot(F.col("v"), F.col("q")) / (tx.norm(F.col("v")) * tx.norm(F.col("q")) + 1e-12))
     best = Window.partitionBy("page_id", "start", "end").orderBy(F.desc("cosine"), "rank")
     near = near.withColumn("_n", F.row_number().over(best)).where("_n = 1").withColumn("method", F.lit("hybrid"))

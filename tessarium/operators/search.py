@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StringType
 
 from tessarium.functions import text as tx
 from tessarium.functions.stems import stem as stem_of
@@ -25,7 +26,8 @@ BLOCK = 4096
 SENT = 4_000_000
 #: The row of a document that tells its length stands under this term.
 LENGTH = ""
-TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: ASCII letters in lower case, everything else than letters, digits and bytes beyond ASCII as space: what parts words.
+FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
 
 def stemmed(word: bytes) -> str:
@@ -63,7 +65,7 @@ def postings(docs: DataFrame, doc: str = "doc_id", fields: tuple[str, ...] = ("t
             for i, values in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, len(fields) + 1)))):
                 gap = 0
                 for value in values:
-                    words = TOKEN.findall(value.encode().lower()) if value else ()
+                    words = value.encode().translate(FOLD).split() if value else ()
                     codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
                     places.append(np.arange(gap, gap + len(words)))
                     lengths[i] += len(words)
@@ -100,27 +102,31 @@ def forward(docs: DataFrame, phrases: list[str], doc: str, fields: tuple[str, ..
             single[numbers[u[0]]] = i
     longer = [(i, [numbers[t] for t in u]) for i, u in enumerate(units) if len(u) > 1]
 
-    class Numbers(dict):
+    class Stems(dict):
         def __missing__(self, word: bytes) -> int:
             if len(self) > 300_000:
                 self.clear()
-            found = self[word] = numbers.get(stemmed(word) if stem else word.decode("utf-8", "replace"), -1)
+            found = self[word] = numbers.get(stemmed(word), -1)
             return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Numbers()
+        if stem:
+            numbered = lambda words, get=Stems().__getitem__: map(get, words)
+        else:
+            numbered = lambda words, get={t.encode(): i for t, i in numbers.items()}.get: map(get, words, repeat(-1))
         for batch in batches:
             if not batch.num_rows:
                 continue
             parts, dl, ends = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, values in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, len(fields) + 1)))):
                 for value in values:
-                    words = TOKEN.findall(value.encode().lower()) if value else ()
+                    words = value.encode().translate(FOLD).split() if value else ()
                     # a place that no word takes ends each field, so that phrases don't run on
-                    parts += [np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.array([-1])]
+                    parts += [np.fromiter(numbered(words), np.int64, len(words)), np.array([-1])]
                     dl[i] += len(words)
                     ends[i] += len(words) + 1
             code, row = np.concatenate(parts), np.repeat(np.arange(batch.num_rows), ends)
+            del parts
             hits = [(row[at := np.flatnonzero(code >= 0)], single[code[at]])]
             if longer:
                 order = np.argsort(code, kind="stable")
@@ -157,11 +163,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, scope: DataFra
     if index is None and k is not None and k > 0 and (scope is None or scope.columns == ["doc"]):
         n_queries, n_phrases = asked.agg(F.count_distinct("query_id"), F.count_distinct("phrase")).first()
         if n_queries * n_phrases <= SENT:
-            return _scored(docs, asked.collect(), k, scope, doc, fields, stem, queries.schema["query_id"].dataType.simpleString())
+            return _scored(docs, asked.collect(), k, scope, doc, fields, stem, queries.schema["query_id"].dataType)
     return _joined(docs, asked, k, scope, doc, fields, stem, index)
 
 
-def _scored(docs: DataFrame, asked: list, k: int, scope: DataFrame | None, doc: str, fields: tuple[str, ...], stem: bool, kind: str) -> DataFrame:
+def _scored(docs: DataFrame, asked: list, k: int, scope: DataFrame | None, doc: str, fields: tuple[str, ...], stem: bool, kind: DataType) -> DataFrame:
     """bm25() for phrases that fit into one matrix (queries x phrases)."""
     phrases, ids = sorted({r.phrase for r in asked}), sorted({r.query_id for r in asked})
     at, of = {p: i for i, p in enumerate(phrases)}, {q: i for i, q in enumerate(ids)}
@@ -179,7 +185,7 @@ def _scored(docs: DataFrame, asked: list, k: int, scope: DataFrame | None, doc:
     mean = (total or 0) / max(n_docs, 1) or 1.0
     if scope is not None:
         held = held.join(scope, "doc", "left_semi")
-    names = pa.array(ids)
+    names = pa.array(ids, to_arrow_type(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -196,7 +202,7 @@ def _scored(docs: DataFrame, asked: list, k: int, scope: DataFrame | None, doc:
                 i, j = np.nonzero((S >= bar * (1 - 1e-9) - 1e-9) & (S > 0))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), batch.column("doc").take(pa.array(i)), pa.array(S[i, j])], names=["query_id", "doc", "score"])
 
-    return top(held.mapInArrow(run, f"query_id {kind}, doc {doc_kind}, score double"), k)
+    return top(held.mapInArrow(run, f"query_id {kind.simpleString()}, doc {doc_kind}, score double"), k)
 
 
 def _joined(docs: DataFrame, asked: DataFrame, k: int | None, scope: DataFrame | None, doc: str, fields: tuple[str, ...], stem: bool, index: DataFrame | None) -> DataFrame:
