@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessarium.functions import text as tx
 from tessarium.functions.fuzzy import similarity, token_sort_ratio
+from tessarium.lineage import checkpointed
 from tessarium.operators import duplicates
 
 #: Commits that the engine itself makes; a page last touched by another one was edited by a person (fixed values).
@@ -118,15 +119,13 @@ def merge_plan(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     bad = doubled.select("winner", "loser", fault.alias("fault")).where("fault IS NOT NULL").first()
     if bad:
         raise ValueError(f"{bad.loser} into {bad.winner}: {bad.fault}")
-    ends = pairs
-    # each round doubles the length of the chains that are followed
-    for _ in range(40):
+    ends = checkpointed(pairs)
+    # each round doubles the length of the chains that are followed; a longer one than all pairs make is a circle
+    for _ in range(ends.count().bit_length() + 1):
         on = ends.select(F.col("loser").alias("winner"), F.col("winner").alias("next"))
         if ends.join(on, "winner", "left_semi").isEmpty():
             return ends
-        ends = ends.join(on, "winner", "left").select("loser", F.coalesce("next", "winner").alias("winner"))
-        if not ends.where("loser = winner").isEmpty():
-            break
+        ends = checkpointed(ends.join(on, "winner", "left").select("loser", F.coalesce("next", "winner").alias("winner")))
     raise ValueError("pages are merged in a circle")
 
 
