@@ -15,8 +15,8 @@ LINK_STOP_WORDS = (
     "the a an and or but if then else data model system method approach result results paper study work use used using way case type value values time thing things "
     "part parts example note section figure table chapter this that these those some any all also such more less most least is are was were be been being have has had do does did"
 ).split()
-#: Stands between a page's human and its generated region (fixed value).
-AUTO_MARKER = "<!-- wikiloom:auto -->"
+#: Stands between a page's human and its generated region; set it to the marker of a collection that has another one.
+AUTO_MARKER = "<!-- generated -->"
 #: Directories of page types (fixed values).
 DIRECTORIES = {"entity": "entities", "concept": "concepts", "synthesis": "syntheses", "decision": "decisions", "source": "sources"}
 #: Characters of a context before a link, and around a mention.

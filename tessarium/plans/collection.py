@@ -501,7 +501,7 @@ def _proposals(spark, sf_dir):
     )
 
 
-_M = "'<!-- wikiloom:auto -->'"
+_M = "'<!-- generated -->'"
 _WRITTEN = f"""{_PROPOSALS}, pi_ AS (SELECT *, CASE WHEN intent = 'create' THEN CASE type WHEN 'concept' THEN 'concepts/' ELSE 'entities/' END || replace(slug, ' ', '-') ELSE regexp_replace(regexp_replace(regexp_replace(path, '^/+', ''), '^wiki/', ''), '\\.md$', '') END AS page_id FROM pr_),
 ids_ AS (SELECT page_id FROM wiki_ UNION SELECT page_id FROM pi_),
 cr_ AS (SELECT page_id, arg_min(body, pos) AS body, arg_min(title, pos) AS title, count(*) AS n FROM pi_ WHERE intent = 'create' GROUP BY page_id),

@@ -56,7 +56,7 @@ _WIKI = """SELECT k, base, variant, type, dir, dir || '/' || slug AS page_id, sl
  CASE WHEN variant <> 7 THEN (ascii(substr(base, 1, 1)) * 7 + length(base) * 31) % 100 END AS vec_id,
  '# ' || replace(slug, '-', ' ') || chr(10) || chr(10) || 'The ' || base || ' goes with [[' || dir || '/' || replace(base, ' ', '-') || '|the ' || base || ']] and   [[' || dir || '/' || replace(base, ' ', '-') || 's]].' || chr(10)
  || 'See [[gone/page-' || (k % 7) || ']] and [[concepts/red-bolt]] or [a link](http://x.y/z) now.' || chr(10) || CASE WHEN k % 3 = 0 THEN '`[[code/inline]]`' || chr(10) || '```' || chr(10) || '[[code/fenced]] blue gear' || chr(10) || '```' || chr(10) ELSE '' END
- || 'It beats the blue gear, a Small Ring and the green widgets, the blue gear again.' || chr(10) || CASE WHEN k % 4 = 0 THEN '<!-- wikiloom:auto -->' || chr(10) || chr(10) || 'Made text.' || chr(10) ELSE '' END AS body
+ || 'It beats the blue gear, a Small Ring and the green widgets, the blue gear again.' || chr(10) || CASE WHEN k % 4 = 0 THEN '<!-- generated -->' || chr(10) || chr(10) || 'Made text.' || chr(10) ELSE '' END AS body
 FROM (SELECT *, CASE type WHEN 'entity' THEN 'entities' WHEN 'synthesis' THEN 'syntheses' WHEN 'source' THEN 'sources' ELSE 'concepts' END AS dir,
  CASE variant WHEN 0 THEN replace(base, ' ', '-') WHEN 1 THEN replace(base, ' ', '-') || 's' WHEN 2 THEN replace(base, ' ', '-') || '-kit' WHEN 3 THEN replace(base, ' ', '') WHEN 4 THEN replace(base, ' ', '-steel-')
   WHEN 5 THEN 'big-' || replace(base, ' ', '-') WHEN 6 THEN substr(base, 1, 1) || '-' || replace(substr(base, 2), ' ', '-') ELSE replace(base, ' ', '-x') END AS slug
