@@ -4,7 +4,8 @@ A word is the bag of its whole form and its character 3- to 5-grams, hashed into
 they come from. A document is the average of its bags; embeddings and softmax are fitted together. Buckets never seen in training stay at
 zero. The model is fitted on a bounded sample (1,500 toxic and 4,500 other rows at most) and every row is scored by its whole text.
 
-Null and empty texts score the sample's share of toxic rows. If a class is missing from the sample, all rows score that share (0 for no
+Scores are the chances of label 1 if both labels were equally frequent: the log odds of the sample's share, which its two limits shape, are taken off
+the bias. Null and empty texts score by the bias alone. If a class is missing from the sample, all rows score that share (0 for no
 labels). Repeated rows score alike; repeated labels of a doc_id count once, differing ones not at all. Only the text is scored; other columns don't matter.
 """
 
@@ -82,7 +83,7 @@ class Sums:
 
 
 def fit(documents: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """A weight for each bucket (its embedding times the difference of the softmax rows), and the bias."""
+    """A weight for each bucket (its embedding times the difference of the softmax rows), and the bias at equal odds of the labels."""
     weights = np.zeros(BUCKETS)
     share = labels.mean() if len(labels) else 0.0
     if not 0 < share < 1:
@@ -111,11 +112,11 @@ def fit(documents: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
         back = to_word(to_doc(slope @ W.T, back=True), back=True)
         adam.update(E=(E, back + PENALTY * E), W=(W, X.T @ slope + PENALTY * W), b=(b, slope.sum(0)))
     weights[used] = SCALE * E @ (W[:, 1] - W[:, 0])
-    return weights, float(b[1] - b[0])
+    return weights, float(b[1] - b[0] - np.log(share / (1 - share)))
 
 
 def scored(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", sample_rows: tuple[int, int] = (1500, 4500), sample_chars: int = 100_000) -> DataFrame:
-    """doc_id, score: the chance of label 1; fitted on rows of labels that are allowed.
+    """doc_id, score: the chance of label 1 at equal odds of the labels; fitted on rows of labels that are allowed.
 
     sample_rows: documents of label 1 and of label 0 that it is fitted on at most. sample_chars: longer texts are not among them (all are scored).
     """
