@@ -12,7 +12,6 @@ labels). Repeated rows score alike; repeated labels of a doc_id count once, diff
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,29 +77,45 @@ class Sums:
         other, value, places, starts, n = self.ways[back]
         out = np.zeros((n, table.shape[1]))
         if len(starts):
-            out[places] = np.add.reduceat(value * table[other], starts)
+            terms = table[other]
+            terms *= value
+            out[places] = np.add.reduceat(terms, starts)
         return out
 
 
+def counted(documents: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[bytes, int]]:
+    """Document, word and count of each distinct plain word of a document, in arrays that keep the driver's memory small, and the words' numbers."""
+    ids: dict[bytes, int] = {}
+    words, times = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for text in documents:
+        found, n = np.unique(np.array([ids.setdefault(plain(w), len(ids)) for w in text.encode().split()], np.int32), return_counts=True)
+        words.append(found)
+        times.append(n.astype(np.int32))
+    doc = np.repeat(np.arange(len(documents), dtype=np.int32), [len(w) for w in words[1:]])
+    return doc, np.concatenate(words), np.concatenate(times), ids
+
+
 def fit(documents: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """A weight for each bucket (its embedding times the difference of the softmax rows), and the bias at equal odds of the labels."""
     weights = np.zeros(BUCKETS)
     share = labels.mean() if len(labels) else 0.0
     if not 0 < share < 1:
         return weights, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    counts = [Counter(plain(w) for w in t.encode().split()) for t in documents]
-    seen = Counter(w for c in counts for w in c)
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCUMENTS))}
-    bags = [subwords(w) for w in vocabulary]
-    sizes = np.array([len(b) for b in bags], np.int64)
+    doc, word, times, ids = counted(documents)
+    sizes = np.array([bag_size(w) for w in ids], np.int64)
     # words outside the vocabulary only lengthen the average
-    total = np.array([sum(n * (sizes[vocabulary[w]] if w in vocabulary else bag_size(w)) for w, n in c.items()) + 1e-9 for c in counts])
-    entries = [(d, vocabulary[w], n) for d, c in enumerate(counts) for w, n in c.items() if w in vocabulary]
-    doc, word, times = np.array(entries, np.int64).reshape(-1, 3).T
-    flat = np.concatenate([np.array(b, np.int64) for b in bags]) if bags else np.zeros(0, np.int64)
-    used, local = np.unique(flat, return_inverse=True)
-    to_word = Sums(np.repeat(np.arange(len(bags)), sizes), local, np.ones(len(local)), len(bags), len(used))
-    to_doc = Sums(doc, word, SCALE * times / total[doc], len(counts), len(bags))
+    total = np.bincount(doc, times * sizes[word], len(documents)) + 1e-9
+    seen = np.bincount(word, minlength=len(ids))
+    vocabulary = sorted(w for w, i in ids.items() if seen[i] >= LEAST_DOCUMENTS)
+    place = np.full(len(ids), -1, np.int32)
+    place[[ids[w] for w in vocabulary]] = np.arange(len(vocabulary))
+    del ids
+    known = place[word] >= 0
+    doc, word, times = doc[known], place[word[known]], times[known]
+    bags = [np.array(subwords(w), np.int32) for w in vocabulary]
+    used, local = np.unique(np.concatenate(bags) if bags else np.zeros(0, np.int32), return_inverse=True)
+    to_word = Sums(np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags]), local.astype(np.int32), np.ones(len(local)), len(bags), len(used))
+    to_doc = Sums(doc, word, SCALE * times / total[doc], len(documents), len(bags))
     rng = np.random.default_rng(0)
     E, W, b = np.zeros((len(used), DIMENSIONS)), rng.normal(0, 1, (DIMENSIONS, 2)), np.array([0.0, np.log(share / (1 - share))])
     adam = Adam(RATE)
