@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessarium.llm import packing, quality_fm, quality_rules, secret_scan, simhash, spm, substrings, toxicity, voronoi, warc
+from tessarium.llm import merkle, packing, quality_fm, quality_rules, secret_scan, simhash, spm, substrings, toxicity, voronoi, warc
 from tessarium.llm.common import read
 from tessarium.llm.training import fold
 
@@ -63,6 +63,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir, quality_fm.scored, 4, 2)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(read(spark, sf_dir, "documents"), F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,12 +76,23 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_substring_dedup, op3_secret_scan, op4_simhash, op5_quality_rules, op6_packing, op7_warc, op8_voronoi_knn, op9_toxicity, op10_quality, pipeline)
+    for f in (op1_sentencepiece, op2_substring_dedup, op3_secret_scan, op4_simhash, op5_quality_rules, op6_packing, op7_warc, op8_voronoi_knn, op9_toxicity, op10_quality, op11_merkle, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 
+
+def _field(value: str) -> str:
+    """A field of a leaf: its length in bytes and itself."""
+    return f"coalesce(strlen({value}) || ':' || ({value}), '-')"
+
+
+#: CRC-32 of doc_id's digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: [ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))))"""
+_FIELDS = " || ".join(_field(f"{c}::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars"))
+
 SQL: dict[str, str] = {
     "op2_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -104,4 +120,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5""",
+    "op11_merkle": f"""
+WITH RECURSIVE docs AS (SELECT *, {_FIELDS} AS head, {_CRC} % 2 = 0 AS hit FROM documents),
+leaves AS (SELECT doc_id, source, sha256(head || {_field("text")}) AS leaf, sha256(head || {_field("CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END")}) AS other FROM docs),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+up AS (SELECT tree, 0 AS level, i, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM placed
+       UNION ALL
+       SELECT tree, level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY tree, level, i // 3),
+tops AS (SELECT 0 AS tree, 0 AS level, tree - 1 AS i, d, (SELECT count(DISTINCT tree) FROM placed) AS n FROM up WHERE n = 1
+         UNION ALL
+         SELECT tree, level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY tree, level, i // 3),
+nodes AS (SELECT * FROM up UNION ALL SELECT * FROM tops),
+runs AS (SELECT tree, level, i // 3 AS p, list(d ORDER BY i) AS ds FROM nodes WHERE n > 1 GROUP BY ALL),
+roots AS (SELECT tree, d, level FROM nodes WHERE n = 1),
+walk AS (SELECT doc_id, leaf, tree AS own, tree, 0 AS level, i, other AS folded, '' AS proof FROM placed
+         UNION ALL
+         SELECT w.doc_id, w.leaf, w.own, CASE WHEN r.ds IS NULL THEN 0 ELSE w.tree END, CASE WHEN r.ds IS NULL THEN 0 ELSE w.level + 1 END, CASE WHEN r.ds IS NULL THEN w.own - 1 ELSE w.i // 3 END,
+                CASE WHEN r.ds IS NULL THEN w.folded ELSE sha256(array_to_string(r.ds[:w.i % 3] || [w.folded] || r.ds[w.i % 3 + 2:], '')) END,
+                w.proof || CASE WHEN r.ds IS NULL THEN '' ELSE array_to_string(r.ds[:w.i % 3] || r.ds[w.i % 3 + 2:], '') END
+         FROM walk w LEFT JOIN runs r ON r.tree = w.tree AND r.level = w.level AND r.p = w.i // 3 WHERE w.tree > 0 OR r.ds IS NOT NULL)
+SELECT w.doc_id, w.leaf, s.d AS subroot, t.d AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = t.d AS verified
+FROM walk w JOIN roots s ON s.tree = w.own JOIN roots t ON t.tree = 0 AND w.tree = 0 AND w.level = t.level""",
 }
