@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessarium.llm import merkle, packing, quality_fm, quality_rules, secret_scan, simhash, spm, substrings, toxicity, voronoi, warc
+from tessarium.llm import licenses, merkle, packing, quality_fm, quality_rules, secret_scan, simhash, spm, substrings, toxicity, voronoi, warc
 from tessarium.llm.common import read
 from tessarium.llm.training import fold
 
@@ -68,6 +68,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"), F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_substring_dedup, op3_secret_scan, op4_simhash, op5_quality_rules, op6_packing, op7_warc, op8_voronoi_knn, op9_toxicity, op10_quality, op11_merkle, pipeline)
+    for f in (op1_sentencepiece, op2_substring_dedup, op3_secret_scan, op4_simhash, op5_quality_rules, op6_packing, op7_warc, op8_voronoi_knn, op9_toxicity, op10_quality, op11_merkle, op12_licenses, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
