@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessarium.llm import licenses, merkle, packing, quality_fm, quality_rules, secret_scan, simhash, spm, substrings, toxicity, voronoi, warc
+from tessarium.llm import hard_negatives, licenses, merkle, packing, quality_fm, quality_rules, secret_scan, simhash, spm, substrings, toxicity, voronoi, warc
 from tessarium.llm.common import read
 from tessarium.llm.training import fold
 
@@ -72,6 +72,11 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_substring_dedup, op3_secret_scan, op4_simhash, op5_quality_rules, op6_packing, op7_warc, op8_voronoi_knn, op9_toxicity, op10_quality, op11_merkle, op12_licenses, pipeline)
+    for f in (op1_sentencepiece, op2_substring_dedup, op3_secret_scan, op4_simhash, op5_quality_rules, op6_packing, op7_warc, op8_voronoi_knn, op9_toxicity, op10_quality, op11_merkle, op12_licenses, op13_hard_negatives, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -145,4 +150,12 @@ walk AS (SELECT doc_id, leaf, tree AS own, tree, 0 AS level, i, other AS folded,
          FROM walk w LEFT JOIN runs r ON r.tree = w.tree AND r.level = w.level AND r.p = w.i // 3 WHERE w.tree > 0 OR r.ds IS NOT NULL)
 SELECT w.doc_id, w.leaf, s.d AS subroot, t.d AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = t.d AS verified
 FROM walk w JOIN roots s ON s.tree = w.own JOIN roots t ON t.tree = 0 AND w.tree = 0 AND w.level = t.level""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
