@@ -82,17 +82,26 @@ def wikilinks(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|\n]+)(?:\|[^\]\n]+)?\]\]"), F.lit(1)), F.trim)
 
 
+def quoted(text: Column) -> Column:
+    """A pattern that matches a text as it is."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def replacement(text: Column) -> Column:
+    """A text as it is, in place of a match."""
+    return F.regexp_replace(text, r"([\\$])", r"\\$1")
+
+
 def strip_link(text: Column, target: Column) -> Column:
     """A broken link gives way to what it shows, or to its target."""
-    quoted = F.concat(F.lit(r"\[\[\s*\Q"), target, F.lit(r"\E\s*\]\]"))
-    shown = F.regexp_replace(text, F.concat(F.lit(r"\[\[\s*\Q"), target, F.lit(r"\E\s*\|\s*([^\]\n]*[^\]\s]|)\s*\]\]")), F.lit("$1"))
-    return F.regexp_replace(shown, quoted, F.regexp_replace(target, r"([\\$])", r"\\$1"))
+    shown = F.regexp_replace(text, F.concat(F.lit(r"\[\[\s*"), quoted(target), F.lit(r"\s*\|\s*([^\]\n]*[^\]\s]|)\s*\]\]")), F.lit("$1"))
+    return F.regexp_replace(shown, F.concat(F.lit(r"\[\[\s*"), quoted(target), F.lit(r"\s*\]\]")), replacement(target))
 
 
 def retarget_links(text: Column, old: Column, new: Column) -> Column:
     """Links to one page lead to another; what they show stays."""
-    pattern = F.concat(F.lit(r"\[\[\Q"), old, F.lit(r"\E(\|[^\]]*)?\]\]"))
-    return F.regexp_replace(text, pattern, F.concat(F.lit("[["), new, F.lit("$1]]")))
+    pattern = F.concat(F.lit(r"\[\["), quoted(old), F.lit(r"(\|[^\]]*)?\]\]"))
+    return F.regexp_replace(text, pattern, F.concat(F.lit("[["), replacement(new), F.lit("$1]]")))
 
 
 def bound(value: Column, use) -> Column:

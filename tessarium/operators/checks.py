@@ -92,15 +92,15 @@ TRACKED = ("orphan", "dormant", "stub", "promoted")
 
 
 def run_all(pages: DataFrame, edges: DataFrame, now: Column, required: list[str], pairs: DataFrame | None = None, drift: DataFrame | None = None) -> DataFrame:
-    """All nine checks as one tall table (check, page_id, detail): broken links, duplicates, missing fields, index drift, contradictions, orphans, dormant
+    """All nine checks as one tall table (check, page_id, detail, target; target is a broken link's, else null): broken links, duplicates, missing fields, index drift, contradictions, orphans, dormant
     pages, stubs, pages promoted by an update. pairs are suggestions of duplicates (winner, loser, safe), drift folders; contradictions and
     promoted need their columns."""
 
-    def rows(check: str, frame: DataFrame, page: str, detail: Column) -> DataFrame:
-        return frame.select(F.lit(check).alias("check"), F.col(page).cast("string").alias("page_id"), detail.cast("string").alias("detail"))
+    def rows(check: str, frame: DataFrame, page: str, detail: Column, target: Column = F.lit(None)) -> DataFrame:
+        return frame.select(F.lit(check).alias("check"), F.col(page).cast("string").alias("page_id"), detail.cast("string").alias("detail"), target.cast("string").alias("target"))
 
     found = [
-        rows("broken link", links.broken(edges, pages), "src", F.concat_ws(" ", F.col("dst").cast("string"), "reason")),
+        rows("broken link", links.broken(edges, pages), "src", F.concat_ws(" ", F.col("dst").cast("string"), "reason"), F.col("dst")),
         rows("orphan", orphan_pages(pages, edges), "page_id", F.lit("")),
         rows("dormant", dormant(pages, now), "page_id", F.col("age")),
         rows("missing field", missing_fields(pages, required), "page_id", F.array_join("missing", ",")),
@@ -130,9 +130,9 @@ def health(report: DataFrame) -> DataFrame:
 
 
 def fix_all(pages: DataFrame, report: DataFrame, human: DataFrame, now: Column) -> DataFrame:
-    """Pages with broken links stripped and missing titles, types, states and dates filled in, and what was done: fix is links, header, both,
+    """Pages with broken links of a report (run_all()) stripped and missing titles, types, states and dates filled in, and what was done: fix is links, header, both,
     skipped (the page is a person's: page_id of human) or null. Dormant pages, duplicates and contradictions are left to the user."""
-    broken = report.where("check = 'broken link'").select("page_id", F.substring_index("detail", " ", 1).alias("dst")).distinct().groupBy("page_id").agg(F.sort_array(F.collect_list("dst")).alias("_dst"))
+    broken = report.where("check = 'broken link'").select("page_id", F.col("target").alias("dst")).distinct().groupBy("page_id").agg(F.sort_array(F.collect_list("dst")).alias("_dst"))
     lacking = report.where("check = 'missing field'").select("page_id", F.lit(True).alias("_lacks")).distinct()
     mine = human.select(F.col("page_id").cast("string").alias("page_id"), F.lit(True).alias("_human")).distinct()
     kind = pages.schema["page_id"].dataType

@@ -82,6 +82,15 @@ def root_index(pages: DataFrame) -> DataFrame:
     return listed.select(F.concat(F.lit("# Wiki Index\n\n"), F.array_join(F.transform("x", lambda x: x["part"]), "\n")).alias("body"))
 
 
+def rebuilt_indexes(pages: DataFrame, report: DataFrame) -> DataFrame:
+    """name, body: the index files of folders that drifted in a report (checks.run_all()), and the root index if any did."""
+    drifted = report.where("check = 'index drift'").select(F.col("page_id").alias("folder")).distinct()
+    each = sub_indexes(pages).join(drifted, "folder", "left_semi").select(F.concat("folder", F.lit("/index.md")).alias("name"), "body")
+    # at most one row
+    root = root_index(pages).join(F.broadcast(drifted.limit(1)), how="left_semi").select(F.lit("index.md").alias("name"), "body")
+    return each.unionByName(root)
+
+
 def outcomes(runs: DataFrame) -> DataFrame:
     """outcome, n, created, updated, tokens, cost of a batch (error, chunks_failed and counters): complete, partial or failed."""
     kind = F.when(F.col("error").isNotNull(), "failed").when(F.col("chunks_failed") > 0, "partial").otherwise("complete")

@@ -47,7 +47,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS = "events_ AS (SELECT event_id, ts, user_id, event_type, json_extract_string(props, '$.k')::BIGINT AS tokens, value AS cost FROM events)"
 
 
-#: A collection made of part names: up to eight spellings of each name, with links, code, aliases and states. The text is SQL of both engines.
+#: A collection made of part names: up to eight spellings of each name for every 2,048 parts, whose number is part of the name from the second on, with links,
+#: code, aliases and states. The text is SQL of both engines.
 _WIKI = """SELECT k, base, variant, type, dir, dir || '/' || slug AS page_id, slug, replace(slug, '-', ' ') AS title,
  CASE WHEN k % 11 = 0 THEN 'deprecated' WHEN k % 13 = 1 THEN 'stub' WHEN k % 17 = 2 THEN 'dormant' WHEN k % 19 = 3 THEN 'archived' ELSE 'active' END AS status,
  1704067200 + (k % 400) * 43200 AS m, 1600000000 + (k * 7919 % 50) * 86400 AS c, CASE WHEN k % 3 = 0 THEN 0 ELSE 90 END AS dormant_window,
@@ -61,7 +62,8 @@ FROM (SELECT *, CASE type WHEN 'entity' THEN 'entities' WHEN 'synthesis' THEN 's
  CASE variant WHEN 0 THEN replace(base, ' ', '-') WHEN 1 THEN replace(base, ' ', '-') || 's' WHEN 2 THEN replace(base, ' ', '-') || '-kit' WHEN 3 THEN replace(base, ' ', '') WHEN 4 THEN replace(base, ' ', '-steel-')
   WHEN 5 THEN 'big-' || replace(base, ' ', '-') WHEN 6 THEN substr(base, 1, 1) || '-' || replace(substr(base, 2), ' ', '-') ELSE replace(base, ' ', '-x') END AS slug
  FROM (SELECT *, CASE WHEN length(base) % 4 = 1 THEN 'entity' WHEN length(base) % 4 = 2 THEN 'synthesis' WHEN variant = 7 AND k % 5 = 0 THEN 'source' ELSE 'concept' END AS type
-  FROM (SELECT p_name AS base, p_partkey % 8 AS variant, min(p_partkey) AS k FROM {part} GROUP BY p_name, p_partkey % 8) x) y) z"""
+  FROM (SELECT CASE WHEN part_of > 0 THEN concat(p_name, ' ', cast(part_of AS string)) ELSE p_name END AS base, variant, k
+   FROM (SELECT p_name, p_partkey % 8 AS variant, cast(floor(p_partkey / 2048) AS bigint) AS part_of, min(p_partkey) AS k FROM {part} GROUP BY p_name, p_partkey % 8, cast(floor(p_partkey / 2048) AS bigint)) w) x) y) z"""
 WIKI = "wiki_ AS (" + _WIKI.replace("{part}", "part") + ")"
 
 

@@ -64,7 +64,7 @@ def page_files(spark: SparkSession, folder: str, archive: bool = False) -> DataF
     found = found if archive else found.where(~F.col("path").rlike("/archive/"))
     root = F.lit(re.sub(r"^file:/*", "/", folder).rstrip("/"))
     name = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), r"\.md$", "")
-    return found.select(F.substring(name, F.length(root) + 2, 4096).alias("page_id"), F.col("content").cast("string").alias("body"))
+    return found.select(F.substring(name, F.length(root) + 2, F.length(name)).alias("page_id"), F.col("content").cast("string").alias("body"))
 
 
 def code_text(name: Column, text: Column) -> Column:
