@@ -1,10 +1,11 @@
 """A Merkle manifest of documents, built and verified by supersteps over a table of vertices.
 
 Leaves are digests of whole rows. Each source has a tree in which every ARITY consecutive nodes become one, and the sources' roots form another one above
-them. In a superstep upward each node sends its digest to its parent; a parent that has its children's messages hashes them and is a node of the next
-superstep, and a node that is alone in its tree is that tree's root. Supersteps downward send each node the siblings on its way to the root:
-a parent adds its children's siblings to its own path. One message serves a whole run of children. Leaves fold their path, so that a changed row
-shows without any other row being read.
+them. Vertices are dealt out in blocks of consecutive nodes, as many as stand below one node some levels further up. In a superstep upward each node
+sends its digest to its block; parents whose children are complete hash them and forward the digest, within the block until one node is left, which
+then sends it to the next block. A block that is its whole tree ends at the tree's root. Supersteps downward send each block the siblings on
+its top node's way to the root, and each node in it puts its own siblings before them. Leaves fold their path, so that a changed row shows without any
+other row being read.
 
 Rows are numbered within their source by a sort over ranges, so that a source which holds most rows is spread over tasks; the driver sees one summary of
 constant size a task. Every superstep upward is written below the checkpoint folder, and downward all but the last.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from tessarium.llm.common import checkpointed, shared_folder, stored
 
 ARITY, SIZE = 3, 32
+#: Levels that a superstep climbs.
+HEIGHT = 4
 #: Nodes that a task of a superstep has, about.
 NODES = 16384
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -44,16 +47,15 @@ def hashed(digests: bytes) -> bytes:
     return hashlib.sha256(digests.hex().encode()).digest()
 
 
-def levels(nodes: int) -> int:
-    """Supersteps until one node is left, that in which it finds itself alone included."""
+def supersteps(nodes: int, block: int) -> int:
     n = 1
-    while nodes > 1:
-        nodes, n = -(-nodes // ARITY), n + 1
+    while nodes >= block:
+        nodes, n = -(-nodes // block), n + 1
     return n
 
 
-def tasks(nodes: int, level: int) -> int:
-    return max(1, -(-nodes // ARITY**level // NODES))
+def tasks(nodes: int, block: int, step: int) -> int:
+    return max(1, -(-nodes // block**step // NODES))
 
 
 def kept(rdd: RDD, spark: SparkSession) -> RDD:
@@ -104,48 +106,68 @@ def numbered(ordered: DataFrame) -> tuple[RDD, int, int, int]:
     return rows.mapPartitionsWithIndex(number), tree + 1, largest, total
 
 
-def alone(run: tuple[tuple[int, int], bytes]) -> bool:
-    """A run of one node that is its level's first: the root of its tree."""
-    return run[0][1] == 0 and len(run[1]) == SIZE
+def whole(number: int, digests: bytes, height: int) -> bool:
+    """Whether a block of some nodes is its whole tree: only a last block isn't full."""
+    return number == 0 and len(digests) < SIZE * ARITY**height
 
 
-def rise(nodes: RDD, largest: int, total: int, spark: SparkSession) -> tuple[list[RDD], RDD]:
-    """The runs ((tree, parent's number), digests) of each level, and the roots (tree, (level, digest)), of nodes ((tree, number), digest)."""
-    runs, roots = [], []
-    for level in range(levels(largest)):
-        messages = nodes.map(lambda x: ((x[0][0], x[0][1] // ARITY), (x[0][1] % ARITY, x[1])))
-        runs.append(kept(messages.groupByKey(tasks(total, level)).mapValues(lambda got: b"".join(d for _, d in sorted(got))), spark))
-        roots.append(runs[-1].filter(alone).map(lambda x, level=level: (x[0][0], (level, x[1]))))
-        nodes = runs[-1].filter(lambda x: not alone(x)).mapValues(hashed)
-    return runs, spark.sparkContext.union(roots)
+def climbed(number: int, digests: bytes, height: int) -> list[bytes]:
+    """The levels of a block, from its nodes to its top node."""
+    out, all_ = [digests], whole(number, digests, height)
+    while len(out[-1]) > SIZE if all_ else len(out) <= height:
+        out.append(b"".join(hashed(out[-1][i : i + ARITY * SIZE]) for i in range(0, len(out[-1]), ARITY * SIZE)))
+    return out
 
 
-def step(place: int, run: bytes) -> bytes:
+def rise(nodes: RDD, largest: int, total: int, height: int, spark: SparkSession) -> tuple[list[RDD], RDD]:
+    """The blocks ((tree, number), digests) of each superstep, and the roots (tree, (superstep, digest)), of nodes ((tree, number), digest)."""
+    block, blocks, roots = ARITY**height, [], []
+    for step in range(supersteps(largest, block)):
+        messages = nodes.map(lambda x: ((x[0][0], x[0][1] // block), (x[0][1] % block, x[1])))
+        blocks.append(kept(messages.groupByKey(tasks(total, block, step)).mapValues(lambda got: b"".join(d for _, d in sorted(got))), spark))
+        roots.append(blocks[-1].filter(lambda x: whole(x[0][1], x[1], height)).map(lambda x, step=step: (x[0][0], (step, climbed(x[0][1], x[1], height)[-1]))))
+        nodes = blocks[-1].filter(lambda x: not whole(x[0][1], x[1], height)).map(lambda x: (x[0], climbed(x[0][1], x[1], height)[-1]))
+    return blocks, spark.sparkContext.union(roots)
+
+
+def step_of(place: int, run: bytes) -> bytes:
     """One level of a path: the place and the number of nodes in one byte, then the other nodes' digests."""
     return bytes([place * (ARITY + 1) + len(run) // SIZE]) + run[: SIZE * place] + run[SIZE * place + SIZE :]
 
 
-def below(run: tuple) -> Iterator[tuple]:
-    """Messages of one run to the nodes in it: ((tree, number), (root, path)); a root has no siblings."""
-    (tree, parent), (digests, came) = run
-    for nodes in digests:
-        for root, path in came:
-            if alone(((tree, parent), nodes)):
-                yield (tree, 0), (root, path)
-            else:
-                for place in range(len(nodes) // SIZE):
-                    yield (tree, ARITY * parent + place), (root, step(place, nodes) + path)
+def path_within(levels: list[bytes], place: int) -> bytes:
+    """The way of one of a block's nodes to its top node."""
+    out = []
+    for level in levels[:-1]:
+        run = place // ARITY * ARITY * SIZE
+        out.append(step_of(place % ARITY, level[run : run + ARITY * SIZE]))
+        place //= ARITY
+    return b"".join(out)
+
+
+def below(height: int) -> Callable[[tuple], Iterator[tuple]]:
+    """Messages of one block to the nodes in it: ((tree, number), (root, path))."""
+
+    def sent(block: tuple) -> Iterator[tuple]:
+        (tree, number), (nodes, came) = block
+        for digests in nodes:
+            levels = climbed(number, digests, height)
+            for root, path in came:
+                for place in range(len(digests) // SIZE):
+                    yield (tree, ARITY**height * number + place), (root, path_within(levels, place) + path)
+
+    return sent
 
 
-def descend(runs: list[RDD], starts: RDD, total: int, spark: SparkSession) -> RDD:
-    """((tree, run's number), (root, path)) for the runs of leaves; starts (tree, (level, root, path)) are the trees' roots with the path above them."""
+def descend(blocks: list[RDD], starts: RDD, total: int, height: int, spark: SparkSession) -> RDD:
+    """((tree, block's number), (root, path)) for the blocks of leaves; starts (tree, (superstep, root, path)) are the trees' roots with the path above them."""
     came = None
-    for level in reversed(range(len(runs))):
-        begun = starts.filter(lambda x, level=level: x[1][0] == level).map(lambda x: ((x[0], 0), x[1][1:]))
+    for step in reversed(range(len(blocks))):
+        begun = starts.filter(lambda x, step=step: x[1][0] == step).map(lambda x: ((x[0], 0), x[1][1:]))
         came = begun if came is None else came.union(begun)
-        if level:
-            came = runs[level].cogroup(came, tasks(total, level)).flatMap(below)
-            came = kept(came, spark) if level > 1 else came
+        if step:
+            came = blocks[step].cogroup(came, tasks(total, ARITY**height, step)).flatMap(below(height))
+            came = kept(came, spark) if step > 1 else came
     return came
 
 
@@ -168,12 +190,12 @@ def siblings(path: bytes) -> bytes:
     return b"".join(out)
 
 
-def manifest(docs: DataFrame, changed: Column) -> DataFrame:
+def manifest(docs: DataFrame, changed: Column, height: int = HEIGHT) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256 of every row as it is, folded_root and verified of the row with another text.
 
     changed: the text that a row has when it's verified.
     """
-    spark = docs.sparkSession
+    spark, block = docs.sparkSession, ARITY**height
     fields = [F.col(f) for f in FIELDS]
     leaf = digest(fields)
     other = F.when(F.col("text").eqNullSafe(changed), leaf).otherwise(digest([*fields[:-1], changed]))
@@ -185,25 +207,24 @@ def manifest(docs: DataFrame, changed: Column) -> DataFrame:
     vertices, trees, largest, total = numbered(checkpointed(ordered.select(key.alias("key"), "doc_id", "leaf", "other")))
     if not total:
         return spark.createDataFrame([], RESULT)
-    runs, subroots = rise(vertices.mapValues(lambda x: x[1]), largest, total, spark)
+    blocks, subroots = rise(vertices.mapValues(lambda x: x[1]), largest, total, height, spark)
     subroots = kept(subroots, spark)
-    top, above = rise(subroots.map(lambda x: ((0, x[0]), x[1][1])), trees, trees, spark)
-    ((_, (height, root)),) = above.collect()
-    to_runs = descend(top, spark.sparkContext.parallelize([(0, (height, b"", b""))], 1), trees, spark)
-    # at the lowest level a message is for a run of roots of sources, or for the only source
-    paths = top[0].cogroup(to_runs, tasks(trees, 0)).flatMap(below).map(lambda x: (x[0][1], x[1][1]))
-    starts = kept(subroots.join(paths, tasks(trees, 0)).mapValues(lambda x: (*x[0], x[1])), spark)
-    came = descend(runs, starts, total, spark)
-
-    def proved(run: tuple) -> Iterator[tuple]:
-        (tree, parent), (leaves, came) = run
+    top, above = rise(subroots.map(lambda x: ((0, x[0]), x[1][1])), trees, trees, height, spark)
+    ((_, (last, root)),) = above.collect()
+    came = descend(top, spark.sparkContext.parallelize([(0, (last, b"", b""))], 1), trees, height, spark)
+    paths = top[0].cogroup(came, tasks(trees, block, 0)).flatMap(below(height)).map(lambda x: (x[0][1], x[1][1]))
+    starts = kept(subroots.join(paths, tasks(trees, block, 0)).mapValues(lambda x: (*x[0], x[1])), spark)
+    came = descend(blocks, starts, total, height, spark)
+
+    def proved(found: tuple) -> Iterator[tuple]:
+        (_, number), (leaves, came) = found
         leaves = sorted(leaves, key=lambda x: x[0])
-        nodes = b"".join(x[2] for x in leaves)
+        levels = climbed(number, b"".join(x[2] for x in leaves), height)
         for subroot, path in came:
             for place, doc, leaf, other in leaves:
-                own = path if alone(((tree, parent), nodes)) else step(place, nodes) + path
+                own = path_within(levels, place) + path
                 folded = fold(other, own)
                 yield doc, leaf.hex(), subroot.hex(), root.hex(), hashed(siblings(own)).hex(), folded.hex(), folded == root
 
-    by_run = vertices.map(lambda x: ((x[0][0], x[0][1] // ARITY), (x[0][1] % ARITY, *x[1])))
-    return spark.createDataFrame(by_run.cogroup(came, tasks(total, 0)).flatMap(proved), RESULT, verifySchema=False)
+    by_block = vertices.map(lambda x: ((x[0][0], x[0][1] // block), (x[0][1] % block, *x[1])))
+    return spark.createDataFrame(by_block.cogroup(came, tasks(total, block, 0)).flatMap(proved), RESULT, verifySchema=False)

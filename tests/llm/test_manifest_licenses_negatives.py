@@ -61,10 +61,10 @@ def expected(rows) -> list[tuple]:
     return out
 
 
-def manifest(spark, rows) -> Counter:
+def manifest(spark, rows, height=merkle.HEIGHT) -> Counter:
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
-    found = merkle.manifest(docs, F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+    found = merkle.manifest(docs, F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")), height)
     assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     return Counter(map(tuple, found.collect()))
 
@@ -76,15 +76,15 @@ def rows_of(n: int, seed: int) -> list[tuple]:
     return [(r.choice([None, i, i, i]), r.choice(sources), r.choice([None, "en"]), r.choice([None, i, -1]), r.choice(texts), "l", "k", 0.5) for i in range(n)]
 
 
-@pytest.mark.parametrize("nodes", [merkle.NODES, 4])
-def test_manifest_equals_whole_levels(spark, monkeypatch, nodes):
+@pytest.mark.parametrize(("nodes", "height"), [(merkle.NODES, merkle.HEIGHT), (4, 1), (4, 2)])
+def test_manifest_equals_whole_levels(spark, monkeypatch, nodes, height):
     monkeypatch.setattr(merkle, "NODES", nodes)
     rows = rows_of(120, 3)
     rows += rows[:40] + [rows[0]] * 30
-    assert manifest(spark, rows) == Counter(expected(rows))
+    assert manifest(spark, rows, height) == Counter(expected(rows))
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 28])
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 28, 81, 82])
 def test_manifest_of_small_trees(spark, n):
     one = [(i, "s", "en", 1, f"t\n{i}", "", "", 0.0) for i in range(n)]
     assert manifest(spark, one) == Counter(expected(one))
@@ -92,17 +92,17 @@ def test_manifest_of_small_trees(spark, n):
 
 def test_manifest_of_as_many_sources_as_rows_and_of_none(spark):
     rows = [(i, f"s{i:02}", "en", 1, f"t\n{i}", "", "", 0.0) for i in range(11)]
-    assert manifest(spark, rows) == Counter(expected(rows))
+    assert manifest(spark, rows) == manifest(spark, rows, 1) == Counter(expected(rows))
     assert not manifest(spark, [])
 
 
 def test_proofs_fold_to_the_root_only_unchanged():
     run = b"".join(hashlib.sha256(bytes([i])).digest() for i in range(3))
     for place in range(3):
-        own, path = run[32 * place : 32 * place + 32], merkle.step(place, run)
+        own, path = run[32 * place : 32 * place + 32], merkle.step_of(place, run)
         assert merkle.fold(own, path) == merkle.hashed(run) != merkle.fold(bytes(32), path)
         assert len(merkle.siblings(path)) == 64
-    assert merkle.fold(run[:32], merkle.step(0, run[:32])) == merkle.hashed(run[:32])
+    assert merkle.fold(run[:32], merkle.step_of(0, run[:32])) == merkle.hashed(run[:32])
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
