@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word operation a character."""
+def places_of(a: str) -> dict[str, int]:
+    """Where each character stands, as bits."""
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
+    return places
+
+
+def common_subsequence(a: str, b: str, places: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, one machine word operation a character; places are those of a."""
+    places = places_of(a) if places is None else places
     full = (1 << len(a)) - 1
     free = full
     for c in b:
@@ -20,8 +26,8 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - free.bit_count()
 
 
-def similarity(a: str, b: str) -> float:
-    return 200.0 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
+def similarity(a: str, b: str, places: dict[str, int] | None = None) -> float:
+    return 200.0 * common_subsequence(a, b, places) / (len(a) + len(b)) if a or b else 100.0
 
 
 @F.pandas_udf(DoubleType())

@@ -1,4 +1,4 @@
-"""Markdown in Arrow batches: code, links with their contexts, ranges where links may stand, named spans."""
+"""Markdown in Arrow batches: code, links with their contexts, ranges where links may stand."""
 
 from __future__ import annotations
 
@@ -27,7 +27,6 @@ UNSAFE = (
     re.compile(r"<(pre|code|script|style)[^>]*>.*?</\1>", re.S | re.I),
     re.compile(r"^#{1,6}.*$", re.M),
 )
-WORD = re.compile(r"\w+(?:[-'’]\w+)*")
 
 
 def without_code(body: str) -> str:
@@ -58,17 +57,6 @@ def safe_of(body: str | None) -> list[tuple[int, int]]:
     return out + [(at, len(text))] * (at < len(text))
 
 
-def spans_of(body: str | None, longest: int) -> list[tuple[str, int, int]]:
-    """Sequences of up to some words on one line, with their places."""
-    words = [m.span() for m in WORD.finditer(body or "")]
-    out = []
-    for i, (start, _) in enumerate(words):
-        for n in range(longest):
-            if i + n < len(words) and "\n" not in body[start : (end := words[i + n][1])]:
-                out.append((body[start:end], start, end))
-    return out
-
-
 @F.pandas_udf(StringType())
 def blanked(body: pd.Series) -> pd.Series:
     return body.map(lambda x: None if x is None else without_code(x))
@@ -82,8 +70,3 @@ def links(body: pd.Series, page: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(StructType().add("s", IntegerType()).add("e", IntegerType())))
 def safe_ranges(body: pd.Series) -> pd.Series:
     return body.map(lambda x: [{"s": s, "e": e} for s, e in safe_of(x)])
-
-
-@F.pandas_udf(ArrayType(StructType().add("text", StringType()).add("start", IntegerType()).add("end", IntegerType())))
-def word_spans(body: pd.Series, longest: pd.Series) -> pd.Series:
-    return pd.Series([[{"text": t, "start": s, "end": e} for t, s, e in spans_of(b, n)] for b, n in zip(body, longest)])

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessarium.functions import markdown
+from tessarium.functions import markdown, names
 from tessarium.functions import text as tx
-from tessarium.functions.fuzzy import token_sort_ratio
-from tessarium.operators import duplicates, search
+from tessarium.lineage import checkpointed
+from tessarium.operators import name_index, search
 
 #: Cosines from which a link counts as high, medium, or pending (fixed values).
 HIGH, MEDIUM, PENDING = 0.75, 0.60, 0.50
 #: Pages that a span is compared with, and the name's score from which they are (fixed values).
 SHORTLIST, NAME_SCORE = 10, 60.0
+#: Characters of names that one automaton holds.
+AUTOMATON = 1_000_000
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string())]))
 
 
 def bucket(cosine: Column, high: float = HIGH, medium: float = MEDIUM, pending: float = PENDING) -> Column:
@@ -33,15 +42,100 @@ def find_by_alias(pages: DataFrame, names: DataFrame) -> DataFrame:
     return names.withColumn("k", F.lower("name")).join(first, "k").drop("k")
 
 
-def mentions(pages: DataFrame, aliases: DataFrame, longest: int = 5) -> DataFrame:
-    """page_id, text, label, start, end: where pages (page_id, body) mention a name, by an equi-join of word sequences with aliases (alias, label).
+def gazetteer(pages: DataFrame) -> DataFrame:
+    """alias, label: titles and aliases of active pages (title, aliases, status, type); ORG for those of an entity, else CONCEPT."""
+    held = pages.where("status = 'active'").select(F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"), "type")
+    return held.where("alias <> ''").groupBy("alias").agg(F.when(F.max(F.col("type") == "entity"), "ORG").otherwise("CONCEPT").alias("label"))
+
 
-    Of overlapping mentions those within an earlier or longer one are left out. Other finders' spans, such as a tagger's, can be united with these.
+def mentions(pages: DataFrame, aliases: DataFrame, characters: int = AUTOMATON, groups: int | None = None) -> DataFrame:
+    """page_id, text, label, start, end: where pages (page_id, body) mention a name (alias, label), without regard to case, from word to word.
+
+    One pass of an automaton over each body finds names of any length; of overlapping ones the longest stays, then the first. Names of at most some
+    characters in all, by a sum, are sent to every task, and bodies aren't shuffled. More names are dealt out by their first word, each part with an
+    automaton of its own, and a body goes to the parts of its words; groups: tasks among which a part's bodies are dealt. Empty names and bodies
+    match nothing; of a name's labels the greatest counts that isn't CONCEPT.
     """
-    spans = pages.select("page_id", F.explode(markdown.word_spans(F.col("body"), F.lit(longest))).alias("x")).select("page_id", "x.*")
-    named = spans.join(aliases.select(F.lower("alias").alias("k"), "label").distinct(), F.lower("text") == F.col("k")).drop("k")
-    before = Window.partitionBy("page_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    return named.withColumn("_b", F.max("end").over(before)).where(F.col("_b").isNull() | (F.col("_b") < F.col("end"))).drop("_b")
+    spark = pages.sparkSession
+    label = F.coalesce(F.max(F.when(F.col("label") != "CONCEPT", F.col("label"))), F.lit("CONCEPT"))  # spellings meet in the automaton
+    known = aliases.where("alias <> ''").groupBy("alias").agg(label.alias("label"))
+    bodies = pages.select("page_id", "body").where("body <> ''")
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, spans array<struct<start:int,end:int,label:string,text:string>>"
+    total = known.agg(F.sum(F.length("alias"))).first()[0] or 0
+    if total <= characters:
+        # bounded by the sum
+        held, token = spark.sparkContext.broadcast([tuple(r) for r in known.collect()]), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = names.built(token, held.value)
+            for batch in batches:
+                yield _spans(batch.column("page_id"), [names.apart(found.find(b)) for b in batch.column("body").to_pylist()])
+
+        spans = bodies.mapInArrow(run, schema)
+    else:
+        spans = _by_parts(bodies, known, -(-total // max(characters, 1)), groups or int(spark.conf.get("spark.sql.shuffle.partitions")), schema)
+    return spans.select("page_id", F.explode("spans").alias("x")).select("page_id", "x.text", "x.label", "x.start", "x.end")
+
+
+def _spans(pages: pa.Array, found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pages, pa.array([[dict(zip(("start", "end", "label", "text"), x)) for x in xs] for xs in found], SPANS)], names=["page_id", "spans"])
+
+
+def _by_parts(bodies: DataFrame, known: DataFrame, parts: int, groups: int, schema: str) -> DataFrame:
+    """Spans of names that don't fit one automaton: rows are ordered by part, names before bodies, so that a task holds one part's automaton at a time."""
+
+    @F.pandas_udf("int")
+    def part_of(name: pd.Series) -> pd.Series:
+        return name.map(lambda x: names.part_of(names.first_word(names.folded(x)), parts))
+
+    @F.pandas_udf("array<int>")
+    def parts_of(body: pd.Series) -> pd.Series:
+        return body.map(lambda x: names.parts_of(x, parts))
+
+    kind = bodies.schema["page_id"].dataType
+    mine = known.select(part_of("alias").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("page_id"), F.col("alias").alias("text"), "label")
+    theirs = bodies.select(F.explode(parts_of("body")).alias("part"), F.pmod(F.xxhash64("page_id"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("kind"), "page_id", F.col("body").alias("text"), F.lit(None).cast("string").alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, found = None, [], None
+        for batch in batches:
+            at, out = [], []
+            for i, (part, group, which, text, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "group", "kind", "text", "label")))):
+                if key != (part, group):
+                    key, rows, found = (part, group), [], None
+                if which == 0:
+                    rows.append((text, label))
+                else:
+                    found = found or names.Names(rows)
+                    at.append(i)
+                    out.append(found.find(text))
+            yield _spans(batch.column("page_id").take(pa.array(at, pa.int64())), out)
+
+    dealt = mine.unionByName(theirs).repartition(parts * groups, "part", "group").sortWithinPartitions("part", "group", "kind")
+    partial = dealt.mapInArrow(run, schema).where(F.size("spans") > 0)
+
+    @F.pandas_udf(partial.schema["spans"].dataType)
+    def apart(spans: pd.Series) -> pd.Series:
+        return spans.map(lambda xs: [dict(zip(("start", "end", "label", "text"), x)) for x in names.apart([tuple(y[c] for c in ("start", "end", "label", "text")) for y in xs])])
+
+    # a page's spans are bounded by its body
+    return partial.groupBy("page_id").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumn("spans", apart("spans"))
+
+
+def proper_names(pages: DataFrame) -> DataFrame:
+    """page_id, text, label, start, end: runs of capitalised words of pages (page_id, body), as concepts: what a finder without a model can tell."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+    def found(body: pd.Series) -> pd.Series:
+        return body.map(lambda b: [{"start": s, "end": e, "text": b[s:e]} for s, e in names.proper_runs(b)] if b else [])
+
+    return pages.select("page_id", F.explode(found("body")).alias("x")).select("page_id", "x.text", F.lit("CONCEPT").alias("label"), "x.start", "x.end")
+
+
+def candidates(pages: DataFrame, *found: DataFrame) -> DataFrame:
+    """Spans of several finders, with pos by their order, for link_all(); without finders those of the pages' own names and of proper_names()."""
+    found = found or (mentions(pages, gazetteer(pages)), proper_names(pages))
+    return reduce(DataFrame.unionByName, (f.select("page_id", "text", "label", "start", "end").withColumn("pos", F.lit(i)) for i, f in enumerate(found)))
 
 
 def deduplicated(spans: DataFrame) -> DataFrame:
@@ -64,37 +158,44 @@ def linkable(spans: DataFrame, pages: DataFrame) -> DataFrame:
 
 def shortlist(texts: DataFrame, aliases: DataFrame, k: int = SHORTLIST, least: float = NAME_SCORE) -> DataFrame:
     """text, page_id, score, rank: of distinct texts (text) the k pages whose best alias (alias, page_id) is most similar, as whole numbers."""
-    asked, known = texts.select(F.trim(F.lower("text")).alias("a")).distinct(), aliases.select(F.trim(F.lower("alias")).alias("b")).distinct()
-    near = duplicates.near_texts(asked, known, least).withColumn("score", F.floor(token_sort_ratio("a", "b") + 1e-9).cast("int")).where(F.col("score") >= least)
     # the k * 3 best aliases are looked at
-    near = near.selectExpr("*", "row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n").where(F.col("n") <= k * search.OVERSHOOT)
+    near = name_index.nearest_names(texts.select(F.trim(F.lower("text")).alias("a")), aliases.select(F.trim(F.lower("alias")).alias("b")), k * search.OVERSHOOT, least)
     best = near.join(aliases.select(F.trim(F.lower("alias")).alias("b"), "page_id").distinct(), "b").groupBy(F.col("a").alias("text"), "page_id").agg(F.max("score").alias("score"))
     return best.selectExpr("*", "row_number() OVER (PARTITION BY text ORDER BY score DESC, page_id) AS rank").where(F.col("rank") <= k)
 
 
 def resolved(spans: DataFrame, aliases: DataFrame, vectors: DataFrame, embed, k: int = SHORTLIST, least: float = NAME_SCORE) -> DataFrame:
     """Spans with target, score, method and cosine: of a name's own page, else of the shortlisted page whose vector (page_id, v) is nearest to that of the
-    span's context; embed makes a vector column from a text column. Spans without such a page stay, without target."""
+    span's context; embed makes a vector column from a text column. Spans without such a page stay, without target.
+
+    Distinct texts are resolved once; spans meet them in one join, each text's shortlist being an array of at most k pages with their vectors.
+    """
     spans = spans.withColumn("k", F.trim(F.lower("text")))
-    own = spans.join(aliases.select(F.col("alias").alias("k"), F.col("page_id").alias("target")), "k", "left")
-    done = own.where("target IS NOT NULL").withColumns({"score": F.lit(100), "method": F.lit("exact"), "cosine": F.lit(None).cast("double")})
-    rest = own.where("target IS NULL").drop("target")
-    rest = rest.withColumn("q", embed(F.col("context")))
-    near = rest.join(shortlist(rest.select(F.col("k").alias("text")), aliases, k, least).select(F.col("text").alias("k"), F.col("page_id").alias("target"), "score", "rank"), "k")
-    near = near.join(vectors.select(F.col("page_id").alias("target"), "v").where("v IS NOT NULL"), "target")
-    near = near.withColumn("cosine", tx.dot(F.col("v"), F.col("q")) / (tx.norm(F.col("v")) * tx.norm(F.col("q")) + 1e-12))
-    best = Window.partitionBy("page_id", "start", "end").orderBy(F.desc("cosine"), "rank")
-    near = near.withColumn("_n", F.row_number().over(best)).where("_n = 1").withColumn("method", F.lit("hybrid"))
-    columns = ["page_id", "text", "label", "start", "end", "pos", "target", "score", "method", "cosine"]
-    open_ = rest.join(near.select("page_id", "start", "end"), ["page_id", "start", "end"], "left_anti").withColumns({"target": F.lit(None).cast(aliases.schema["page_id"].dataType), "score": F.lit(None).cast("int"), "method": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
-    return done.select(columns).unionByName(near.select(columns)).unionByName(open_.select(columns))
+    own = spans.select("k").distinct().join(aliases.select(F.col("alias").alias("k"), F.col("page_id").alias("own")), "k", "left")
+    near = shortlist(own.where("own IS NULL").select(F.col("k").alias("text")), aliases, k, least).select(F.col("text").alias("k"), F.col("page_id").alias("target"), "score", "rank")
+    near = near.join(vectors.where("v IS NOT NULL").select(F.col("page_id").alias("target"), "v"), "target")
+    listed = near.groupBy("k").agg(F.collect_list(F.struct("rank", "target", "score", "v")).alias("near"))
+    found = spans.join(own.join(listed, "k", "left"), "k").withColumn("q", F.when(F.col("near").isNotNull(), embed(F.col("context"))))
+    size = F.col("q_norm")
+
+    def scored(x: Column) -> Column:
+        cosine = tx.dot(x["v"], F.col("q")) / (tx.norm(x["v"]) * size + 1e-12)
+        return F.struct(cosine.alias("cosine"), (-x["rank"]).alias("order"), x["target"].alias("target"), x["score"].alias("score"))
+
+    found = found.withColumn("q_norm", tx.norm(F.col("q"))).withColumn("best", F.array_max(F.transform("near", scored)))
+    is_own = F.col("own").isNotNull()
+    return found.select(
+        "page_id", "text", "label", "start", "end", "pos", F.coalesce("own", F.col("best")["target"]).alias("target"), F.when(is_own, F.lit(100)).otherwise(F.col("best")["score"]).alias("score"),
+        F.when(is_own, "exact").when(F.col("best").isNotNull(), "hybrid").alias("method"), F.when(~is_own, F.col("best")["cosine"]).alias("cosine"),
+    )
 
 
 def decided(spans: DataFrame, high: float = HIGH, medium: float = MEDIUM, pending: float = PENDING) -> DataFrame:
     """Resolved spans with their bucket and action: link (the first high or medium one of a target in a page), pending, self, again (its target is linked
     before), or open. A text that is handled anywhere in a page isn't open elsewhere in it."""
     level = F.when(F.col("method") == "exact", "high").when(F.col("target").isNull(), "drop").otherwise(bucket(F.col("cosine"), high, medium, pending))
-    spans = spans.withColumn("bucket", level)
+    # all windows are by page and something else
+    spans = spans.withColumn("bucket", level).repartition("page_id")
     first = F.min(F.when(F.col("bucket").isin("high", "medium"), F.struct("start", "pos"))).over(Window.partitionBy("page_id", "target"))
     here = F.struct("start", "pos")
     action = (
@@ -110,9 +211,12 @@ def decided(spans: DataFrame, high: float = HIGH, medium: float = MEDIUM, pendin
     return spans.withColumn("action", F.when((F.col("action") == "open") & handled, "handled").otherwise(F.col("action")))
 
 
-def link_all(pages: DataFrame, spans: DataFrame, aliases: DataFrame, vectors: DataFrame, embed, high: float = HIGH, medium: float = MEDIUM, pending: float = PENDING, least: float = NAME_SCORE) -> tuple[DataFrame, DataFrame]:
-    """Pages (page_id, body, status) with links put in, and all decided spans; spans have page_id, text, label, start, end, pos."""
-    found = decided(resolved(linkable(spans, pages), aliases, vectors, embed, least=least), high, medium, pending)
+def link_all(pages: DataFrame, spans: DataFrame | None, aliases: DataFrame, vectors: DataFrame, embed, high: float = HIGH, medium: float = MEDIUM, pending: float = PENDING, least: float = NAME_SCORE) -> tuple[DataFrame, DataFrame]:
+    """Pages (page_id, body, status) with links put in, and all decided spans; spans have page_id, text, label, start, end, pos, and are those of
+    candidates() if None is given, for which pages need title, aliases and type too."""
+    spans = candidates(pages) if spans is None else spans
+    # written once each: spans serve texts and places, decisions serve bodies and whatever the caller makes of them
+    found = checkpointed(decided(resolved(checkpointed(linkable(spans, pages)), aliases, vectors, embed, least=least), high, medium, pending))
     links = found.where("action = 'link'").groupBy("page_id").agg(F.collect_list(F.struct("start", "end", "target")).alias("_spans"))
     body = F.when(F.col("_spans").isNotNull(), insert_links(F.col("body"), F.col("_spans"))).otherwise(F.col("body"))
     return pages.join(links, "page_id", "left").withColumn("body", body).drop("_spans"), found

@@ -16,6 +16,7 @@ from pyspark.sql.types import DataType, StringType
 
 from tessarium.functions import text as tx
 from tessarium.functions.stems import stem as stem_of
+from tessarium.operators import cells
 
 K1, B, LEAST_IDF, RRF = 1.2, 0.75, 1e-6, 60
 #: Candidates of each lane for each result wanted.
@@ -237,14 +238,31 @@ def top(scores: DataFrame, k: int, best: str = "DESC") -> DataFrame:
     return scores.selectExpr("*", f"row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) {best}, doc) AS rank").where(F.col("rank") <= max(k, 0))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.float64)
+def _matrix(column, dims: int | None = None) -> np.ndarray:
+    """Vectors as rows; shorter ones count as followed by zeros."""
+    rows = [np.asarray(v, np.float64) for v in column]
+    out = np.zeros((len(rows), max([dims or 0, *map(len, rows)])))
+    for i, v in enumerate(rows):
+        out[i, : len(v)] = v
+    return out
+
+
+def _matrices(left, right) -> tuple[np.ndarray, np.ndarray]:
+    A, B_ = _matrix(left), _matrix(right)
+    dims = max(A.shape[1], B_.shape[1])
+    return np.pad(A, ((0, 0), (0, dims - A.shape[1]))), np.pad(B_, ((0, 0), (0, dims - B_.shape[1])))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Vectors that can be compared: not null, without null components, of some length."""
+    """Vectors that can be compared: not null, of finite components, of some length."""
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return vectors.where(F.col("v").isNotNull()).where(~F.exists("v", lambda x: x.isNull())).where(square > 0)
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
+    return vectors.where(F.col("v").isNotNull()).where(finite).where(square > 0)
+
+
+def _ids(values: list) -> np.ndarray:
+    """Numbers, or whatever else can be ordered."""
+    return np.array(values, object if values and not isinstance(values[0], int) else np.int64)
 
 
 def block_pairs(left: DataFrame, right: DataFrame, score, keep, schema: str, key: str | None = None) -> DataFrame:
@@ -253,17 +271,16 @@ def block_pairs(left: DataFrame, right: DataFrame, score, keep, schema: str, key
     A left side of one block at most, by a count, is broadcast: then the right side is neither shuffled nor repeated. Larger ones meet in pairs of blocks.
     """
     counts = [frame.count() for frame in (left, right)]
-    empty = pd.DataFrame(keep(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))))
+    empty = pd.DataFrame(keep(_ids([]), _ids([]), np.zeros((0, 0))))
     if counts[0] <= BLOCK and not key:
         rows = left.select("id", "v").collect()
-        ids, A = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-        held = left.sparkSession.sparkContext.broadcast((ids, A))
+        held = left.sparkSession.sparkContext.broadcast((_ids([r[0] for r in rows]), _matrix([r[1] for r in rows])))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             mine, vectors = held.value
             for pdf in batches:
                 if len(pdf) and len(mine):
-                    yield pd.DataFrame(keep(mine, pdf["id"].to_numpy(), score(vectors, _matrix(pdf["v"]))))
+                    yield pd.DataFrame(keep(mine, pdf["id"].to_numpy(), score(*_matrices(vectors, pdf["v"]))))
 
         return right.select("id", "v").mapInPandas(run, schema)
     n = {side: max(1, -(-count // BLOCK)) for side, count in zip("lr", counts)}
@@ -274,7 +291,7 @@ def block_pairs(left: DataFrame, right: DataFrame, score, keep, schema: str, key
     def solve(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return empty
-        return pd.DataFrame(keep(x["id"].to_numpy(), y["id"].to_numpy(), score(_matrix(x["v"]), _matrix(y["v"]))))
+        return pd.DataFrame(keep(x["id"].to_numpy(), y["id"].to_numpy(), score(*_matrices(x["v"], y["v"]))))
 
     return a.groupBy(*group).cogroup(b.groupBy(*group)).applyInPandas(solve, schema)
 
@@ -290,7 +307,8 @@ def l2_matrix(A: np.ndarray, B_: np.ndarray) -> np.ndarray:
 def nearest(data: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", excluded: Column | None = None, floor: float | None = None, itself: bool = False) -> DataFrame:
     """query_id, doc, score, rank: exact nearest vectors (id, v) of each query (id, v); the query's own id is left out unless itself.
 
-    Null vectors and such of no length match nothing. excluded rows don't take part; a floor drops results in the block where they arise.
+    Vectors that are null, have null or non-finite components, or have no length match nothing; shorter ones count as followed by zeros. Ids may be
+    of any type that has an order. excluded rows don't take part; a floor drops results in the block where they arise.
     """
     if excluded is not None:
         data = data.where(~F.coalesce(excluded, F.lit(False)))
@@ -298,7 +316,7 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cos
 
     def keep(q: np.ndarray, d: np.ndarray, s: np.ndarray) -> dict:
         if not s.size or k <= 0:
-            return {"query_id": q[:0].astype(np.int64), "doc": d[:0].astype(np.int64), "score": np.zeros(0)}
+            return {"query_id": q[:0], "doc": d[:0], "score": np.zeros(0)}
         value = sign * s
         if not itself:
             value[q[:, None] == d[None, :]] = -np.inf
@@ -309,34 +327,72 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cos
         ok = np.isfinite(value[i, j])
         return {"query_id": q[i[ok]], "doc": d[j[ok]], "score": s[i[ok], j[ok]]}
 
-    found = block_pairs(usable(queries.select("id", "v")), usable(data.select("id", "v")), l2_matrix if metric == "l2" else cosine_matrix, keep, "query_id long, doc long, score double")
+    found = block_pairs(usable(queries.select("id", "v")), usable(data.select("id", "v")), l2_matrix if metric == "l2" else cosine_matrix, keep, f"query_id {queries.schema['id'].dataType.simpleString()}, doc {data.schema['id'].dataType.simpleString()}, score double")
     return top(found, k, "ASC" if metric == "l2" else "DESC")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str | None = None) -> DataFrame:
-    """a < b and their cosine, for pairs at or above a threshold, in blocks; with a key, within equal values only. Each pair of blocks is solved once."""
-    vectors = usable(vectors)
-    n = max(1, -(-vectors.count() // BLOCK))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    group = ["_l", "_r", *([key] if key else [])]
-    # a row of block x stands on the left of pairs (x, y) with y >= x, and on the right of the others; in (x, x) on both sides
-    dealt = vectors.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.withColumn("_l", F.least("_own", "_other")).withColumn("_r", F.greatest("_own", "_other")).select(*group, "_own", "id", "v")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf["_own"].to_numpy() == pdf["_l"].to_numpy()
-        right = pdf["_own"].to_numpy() == pdf["_r"].to_numpy()
-        x, y = pdf[left], pdf[right]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})
-        a, b, s = x["id"].to_numpy(), y["id"].to_numpy(), cosine_matrix(_matrix(x["v"]), _matrix(y["v"]))
-        near = s >= threshold
-        if pdf["_l"].iloc[0] == pdf["_r"].iloc[0]:
-            near &= a[:, None] < b[None, :]
-        i, j = np.nonzero(near)
-        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "score": s[i, j]})
-
-    return dealt.groupBy(*group).applyInPandas(solve, "a long, b long, score double").where("a < b")
+def angles(A: np.ndarray, B_: np.ndarray) -> np.ndarray:
+    """Between rows of length one."""
+    return np.arccos(np.clip(A @ B_.T, -1, 1))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, key: str | None = None, report: dict | None = None) -> DataFrame:
+    """a < b and their cosine, for pairs of vectors (id, v) at or above a threshold; with a key, of equal values only (null equals nothing).
+
+    Angles obey the triangle inequality, so a vector visits only blocks of cells (see cells) that reach within the threshold's angle of it, each pair
+    of blocks from one side. Ids may be of any type that has an order; rows of equal id are no pair. A report gets the pairs met and all pairs.
+    """
+    vectors = usable(vectors).where(F.col("id").isNotNull())
+    kind = vectors.schema["id"].dataType.simpleString()
+    schema = f"a {kind}, b {kind}, score double"
+    dims = vectors.agg(F.max(F.size("v"))).first()[0] or 1
+
+    def unit(values: list) -> np.ndarray:
+        X = _matrix(values, dims)
+        return X / np.linalg.norm(X, axis=1, keepdims=True)
+
+    names = ["id", "v", *([key] if key else [])]
+    placed, of = cells.celled(vectors.select(*names), "v", cells.Space(unit, angles), F.xxhash64("id"))
+    if of is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    # a little more for rounding
+    wide = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    home = placed.withColumn("_block", cells.own_block(of, F.xxhash64("id", F.monotonically_increasing_id()))).select(*names, "_block")
+    home = cells.checkpointed(home) if of.parts.max() > 1 else home
+
+    @F.pandas_udf("array<int>")
+    def later(v: pd.Series, own: pd.Series) -> pd.Series:
+        X = unit(list(v))
+        visits = of.visits(angles(X, of.pivots) <= wide + of.radius) if len(X) else []
+        return pd.Series([b[b > o].tolist() for b, o in zip(visits, own)], dtype=object)
+
+    visitors = home.withColumn("_block", F.explode(later("v", "_block")))
+
+    none = pd.DataFrame({"a": _ids([]), "b": _ids([]), "score": np.zeros(0)})
+
+    def pairs(x: pd.DataFrame, y: pd.DataFrame, itself: bool) -> pd.DataFrame:
+        near = cosine_matrix(*_matrices(x["v"], y["v"]))
+        ok = near >= threshold
+        if key:
+            ok &= x[key].to_numpy()[:, None] == y[key].to_numpy()[None, :]
+        if itself:
+            ok &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+        i, j = np.nonzero(ok)
+        a, b = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+        if not len(a):
+            return none
+        first = a < b
+        return pd.DataFrame({"a": np.where(first, a, b), "b": np.where(first, b, a), "score": near[i, j]})
+
+    def solve(x: pd.DataFrame, y: pd.DataFrame, first: bool) -> pd.DataFrame:
+        sides = [(y, False)] if len(x) and len(y) else []
+        sides += [(x, True)] if first and len(x) else []
+        return pd.concat([pairs(x, s, itself) for s, itself in sides]) if sides else none
+
+    if report is not None:
+        n = int(of.size.sum())
+        report["all"] = n * (n - 1) // 2
+    return cells.met(home, visitors, solve, schema, F.xxhash64("id", F.monotonically_increasing_id()), report).where("a < b")
 
 
 def fused(first: DataFrame, second: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:

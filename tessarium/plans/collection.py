@@ -391,6 +391,14 @@ def _bag(x: str) -> str:
     return f"list_transform(range(8), lambda d: len(list_filter(string_split(lower({x}), ''), lambda ch: ch <> '' AND ascii(ch) % 8 = d))::DOUBLE)"
 
 
+_GAZETTEER = """gz_ AS (SELECT lower(a) AS alias, CASE WHEN bool_or(type = 'entity') THEN 'ORG' ELSE 'CONCEPT' END AS label FROM (SELECT type, unnest([title, alias1, alias2]) AS a FROM wiki_ WHERE status = 'active') WHERE a <> '' GROUP BY 1),
+at_ AS (SELECT page_id, label, alias, unnest(list_filter(range(1, length(body) - length(alias) + 2), lambda p: substr(lower(body), p::INT, length(alias)) = alias)) AS p, body FROM wiki_ JOIN gz_ ON contains(lower(body), alias)),
+whole_ AS (SELECT page_id, label, (p - 1)::INT AS s, (p - 1 + length(alias))::INT AS e, body FROM at_ WHERE NOT regexp_matches(substr(body, greatest(p - 2, 0)::INT, least(2, p - 1)::INT), '(\\w|\\w[-''])$') AND NOT regexp_matches(substr(body, (p + length(alias))::INT, 2), '^(\\w|[-'']\\w)')),
+sorted_ AS (SELECT page_id, any_value(body) AS body, list({'s': s, 'e': e, 'label': label} ORDER BY s - e, s) AS l FROM whole_ GROUP BY page_id),
+apart_ AS (SELECT page_id, body, unnest(list_reduce(list_prepend([]::STRUCT(s INT, e INT, label VARCHAR)[], list_transform(l, lambda x: [x])), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN a ELSE list_concat(a, x) END)) AS x FROM sorted_),
+mention_ AS (SELECT page_id, substr(body, x.s + 1, x.e - x.s) AS text, x.label AS label, x.s AS start, x.e AS "end" FROM apart_)"""
+
+
 # the context and the page's own bag give the cosine; 8 slots make all texts alike, so the limits are high
 _HIGH, _MEDIUM, _LOW = 0.9975, 0.995, 0.985
 _LINKED = f"""{_ALIASES}, {_FOUND}, spans_ AS (SELECT d.*, lower(trim(text)) AS t, w.body, w.k FROM dedup_ d JOIN wiki_ w USING (page_id) WHERE w.status <> 'stub' AND lower(text) NOT IN ('the') AND start >= strpos(w.body, 'It beats') - 1),
@@ -429,6 +437,18 @@ def link_all(spark, sf_dir):
     return _linked(spark, sf_dir)[0].select("page_id", "body")
 
 
+_LINKED_NAMES = _LINKED.replace(_FOUND, f"""{_GAZETTEER}, dedup_ AS (SELECT page_id, text, label, start, "end", 0 AS pos FROM mention_)""")
+
+
+@query(f"{W}, {_LINKED_NAMES} SELECT page_id, text, start, target, method, bucket, action, round(cosine, 6) AS cosine FROM dec_")
+def link_decisions_of_names(spark, sf_dir):
+    """From names in bodies to decisions, without spans from outside."""
+    pages = t.wiki(spark, sf_dir)
+    found = linking.candidates(pages, linking.mentions(pages, linking.gazetteer(pages))).join(pages.select("page_id", F.instr("body", "It beats").alias("b")), "page_id").where("start > b - 2").drop("b")
+    vectors = pages.select("page_id", _embed(F.col("body")).alias("v"))
+    return linking.link_all(pages.select("page_id", "body", "status"), found, linking.alias_table(pages), vectors, _embed, _HIGH, _MEDIUM, _LOW)[1].select("page_id", "text", "start", "target", "method", "bucket", "action", F.round("cosine", 6).alias("cosine"))
+
+
 @query(f"{W}, {_LINKED} SELECT page_id AS source_page, text AS matched_text, target AS candidate_page_id, label, round(cosine, 4) AS cosine_score FROM dec_ WHERE action = 'pending'")
 def pending_links(spark, sf_dir):
     return linking.pending_links(_linked(spark, sf_dir)[1], _now()).drop("score", "added_at")
@@ -440,6 +460,26 @@ def stub_creation(spark, sf_dir):
     return linking.stubs(_linked(spark, sf_dir)[1], t.wiki(spark, sf_dir), _now()).select("page_id", "title", "type", "summary")
 
 
+@query(f'{W}, {_GAZETTEER} SELECT page_id, text, label, start, "end" FROM mention_')
+def mention_spans(spark, sf_dir):
+    """Where bodies name pages by title or alias, the longest names first."""
+    pages = t.wiki(spark, sf_dir)
+    return linking.mentions(pages, linking.gazetteer(pages))
+
+
+@query(f'{W}, {_GAZETTEER} SELECT page_id, text, label, start, "end" FROM mention_')
+def mention_spans_by_parts(spark, sf_dir):
+    """The same with names in many automata, as for more names than one holds."""
+    pages = t.wiki(spark, sf_dir)
+    return linking.mentions(pages, linking.gazetteer(pages), characters=2000, groups=2)
+
+
+@query()
+def proper_name_spans(spark, sf_dir):
+    """Runs of capitalised words in documents; a test compares them with a plain scan."""
+    return linking.proper_names(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("body")))
+
+
 @query(f"WITH s_ AS (SELECT event_id % 700 AS page_id, (event_id * 31 % 50)::INT AS start, (event_id * 31 % 50 + 5)::INT AS \"end\", CASE WHEN event_type = 'click' THEN 'CONCEPT' ELSE upper(event_type) END AS label, event_id AS pos FROM events) SELECT page_id, start, \"end\", label, pos FROM s_ QUALIFY row_number() OVER (PARTITION BY page_id, start, \"end\" ORDER BY label = 'CONCEPT', pos) = 1")
 def span_dedup(spark, sf_dir):
     """Of spans of one place the first that isn't a mere concept."""
