@@ -1,7 +1,8 @@
 """Joins of points that lie near each other in a metric space, by cells around pivots.
 
-A bounded sample of points gives pivots, and each point belongs to the cell of its nearest one. By the triangle inequality a point x has no partner
-within a distance in a cell whose pivot is farther from x than that distance and the cell's radius together. Neighbouring cells form blocks of
+A bounded sample of points gives pivots, and each point belongs to a cell of its nearest one: the inner one, or the outer one if it is unusually
+far from it, so that a few stray points don't widen a cell. By the triangle inequality a point x has no partner within a distance in a cell
+all of whose points are nearer to, or farther from, the pivot than x by more than that distance. Neighbouring cells form blocks of
 about BLOCK points, which stay at home; a point visits the blocks in which a partner can lie. A block that many visit is given to
 several tasks. The driver holds pivots, and a few numbers a cell and a block.
 """
@@ -21,14 +22,17 @@ from tessarium.lineage import checkpointed
 
 #: Points of a block, its visitors in one task, the least and most pivots, and points sampled for each.
 BLOCK, VISITORS, PIVOTS, SAMPLED = 4096, 4096, (16, 1024), 4
+#: Times the usual distance from a pivot beyond which a point is in the outer cell.
+STRAY = 1.5
 
 
 @dataclass
 class Cells:
-    """Pivots in coordinates, and of each cell its size, radius, and greatest length; blocks: a cell's first block and their number, a block's cells."""
+    """Pivots in coordinates, and of each cell its size, its points' least and greatest distance, and greatest length; blocks: a cell's first block and their number, a block's cells."""
 
     pivots: np.ndarray
     size: np.ndarray
+    least: np.ndarray
     radius: np.ndarray
     longest: np.ndarray
     first: np.ndarray = field(default=None)
@@ -50,14 +54,19 @@ class Cells:
         self.n_blocks = block + (held > 0)
 
     def order(self) -> list[int]:
-        """Pivots, each followed by the nearest one left."""
-        left, at, out = np.ones(len(self.size), bool), 0, []
-        for _ in range(len(self.size)):
+        """Inner cells, each followed by that of the nearest pivot left, then outer ones in the same order."""
+        n = len(self.size) // 2
+        left, at, out = np.ones(n, bool), 0, []
+        for _ in range(n):
             left[at] = False
             out.append(at)
-            d = np.abs(self.pivots - self.pivots[at]).sum(1)
+            d = np.abs(self.pivots[:n] - self.pivots[at]).sum(1)
             at = int(np.where(left, d, np.inf).argmin())
-        return out
+        return out + [c + n for c in out]
+
+    def within(self, distance: np.ndarray, wide) -> np.ndarray:
+        """Which cells can hold a partner within some distance, by rows of distances to pivots."""
+        return (distance <= wide + self.radius) & (self.least <= wide + distance)
 
     def visits(self, near: np.ndarray) -> list[np.ndarray]:
         """Blocks of each row of a matrix that tells which cells can hold a partner."""
@@ -90,22 +99,26 @@ def celled(points: DataFrame, value: str, space: Space, sample: Column) -> tuple
         return points.withColumn("_cell", F.lit(0)), None
     wanted = min(max(int(n**0.5), PIVOTS[0]), PIVOTS[1])
     chosen = points.orderBy(sample, value).limit(SAMPLED * wanted).select(value).collect()
-    pivots = spread(space.coordinates([r[0] for r in chosen]), wanted, space)
+    sampled = space.coordinates([r[0] for r in chosen])
+    pivots = spread(sampled, wanted, space)
+    away = space.distance(sampled, pivots).min(1)
+    cut = STRAY * float(np.median(away[away > 0])) if (away > 0).any() else np.inf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             X = space.coordinates(batch.column(value).to_pylist()) if batch.num_rows else np.zeros((0, pivots.shape[1]))
             d = space.distance(X, pivots)
             at = d.argmin(1) if len(d) else np.zeros(0, np.int64)
-            more = [pa.array(at, pa.int32()), pa.array(d[np.arange(len(at)), at], pa.float64()), pa.array(space.length(X), pa.float64())]
+            far = d[np.arange(len(at)), at]
+            more = [pa.array(at + len(pivots) * (far > cut), pa.int32()), pa.array(far, pa.float64()), pa.array(space.length(X), pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_cell", "_far", "_long"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
     placed = checkpointed(points.mapInArrow(run, f"{kinds}, _cell int, _far double, _long double"))
-    # at most as many rows as pivots
-    found = {r[0]: r[1:] for r in placed.groupBy("_cell").agg(F.count(F.lit(1)), F.max("_far"), F.max("_long")).collect()}
-    size, radius, longest = (np.array([found.get(c, (0, 0.0, 0.0))[i] for c in range(len(pivots))], np.float64) for i in range(3))
-    return placed, Cells(pivots, size, radius + 1e-9, longest)
+    # at most twice as many rows as pivots
+    found = {r[0]: r[1:] for r in placed.groupBy("_cell").agg(F.count(F.lit(1)), F.min("_far"), F.max("_far"), F.max("_long")).collect()}
+    size, least, radius, longest = (np.array([found.get(c, (0, 0.0, 0.0, 0.0))[i] for c in range(2 * len(pivots))], np.float64) for i in range(4))
+    return placed, Cells(np.concatenate([pivots, pivots]), size, least - 1e-9, radius + 1e-9, longest)
 
 
 def own_block(cells: Cells, salt: Column) -> Column:

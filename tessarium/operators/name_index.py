@@ -97,7 +97,7 @@ def nearest_names(texts: DataFrame, names: DataFrame, k: int, least: float, repo
         n = X.sum(1)[:, None]
         # a partner is not longer than this, nor than the cell's longest
         longest = np.minimum(of.longest[None, :], n * (200 - bar) / bar)
-        near = apart(X, of.pivots) - of.radius <= (1 - bar / 100) * (n + longest) + 1e-6
+        near = of.within(apart(X, of.pivots), (1 - bar / 100) * (n + longest) + 1e-6)
         return pd.Series([b[~np.isin(b, list(s))].tolist() for b, s in zip(of.visits(near), seen)], dtype=object)
 
     def solve(x: pd.DataFrame, y: pd.DataFrame, first: bool) -> pd.DataFrame:

@@ -8,7 +8,6 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -16,6 +15,7 @@ from pyspark.sql.types import DataType, StringType
 
 from tessarium.functions import text as tx
 from tessarium.functions.stems import stem as stem_of
+from tessarium.lineage import checkpointed
 from tessarium.operators import cells
 
 K1, B, LEAST_IDF, RRF = 1.2, 0.75, 1e-6, 60
@@ -25,6 +25,8 @@ OVERSHOOT = 3
 BLOCK = 4096
 #: Queries times phrases up to which their weights are sent to all tasks (8 bytes each).
 SENT = 4_000_000
+#: Different phrases of questions up to which documents are scored as rows of a matrix (8 bytes each, 1,024 rows at a time).
+PHRASES = 20_000
 #: The row of a document that tells its length stands under this term.
 LENGTH = ""
 #: ASCII letters in lower case, everything else than letters, digits and bytes beyond ASCII as space: what parts words.
@@ -51,7 +53,7 @@ class Vocabulary(dict):
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", fields: tuple[str, ...] = ("text",), stem: bool = False) -> DataFrame:
-    """doc, term, tf, at: one row for each distinct word of a document, and one for its length, made in one pass without a shuffle.
+    """doc, term, tf, dl, at: one row for each distinct word of a document, and one for its length, made in one pass without a shuffle.
 
     at has the word's places; words of different fields are no neighbours. Write it to a table, bucketed by term, to search it more than once.
     """
@@ -81,10 +83,11 @@ def postings(docs: DataFrame, doc: str = "doc_id", fields: tuple[str, ...] = ("t
             terms = pa.array(known.terms, pa.string()).take(pa.array(code[order][starts]))
             at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
             ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[order][starts])), terms, pa.array(n, pa.int32()), at], names=["doc", "term", "tf", "at"])
-            yield pa.RecordBatch.from_arrays([ids, pa.array([LENGTH] * len(ids), pa.string()), pa.array(lengths, pa.int32()), pa.array([[]] * len(ids), pa.list_(pa.int32()))], names=["doc", "term", "tf", "at"])
+            names = ["doc", "term", "tf", "dl", "at"]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[order][starts])), terms, pa.array(n, pa.int32()), pa.array(lengths[row[order][starts]], pa.int32()), at], names=names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([LENGTH] * len(ids), pa.string()), *[pa.array(lengths, pa.int32())] * 2, pa.array([[]] * len(ids), pa.list_(pa.int32()))], names=names)
 
-    return docs.select(F.col(doc).alias("doc"), *fields).mapInArrow(run, f"doc {kind}, term string, tf int, at array<int>")
+    return docs.select(F.col(doc).alias("doc"), *fields).mapInArrow(run, f"doc {kind}, term string, tf int, dl int, at array<int>")
 
 
 @F.pandas_udf(StringType())
@@ -145,6 +148,14 @@ def forward(docs: DataFrame, phrases: list[str], doc: str, fields: tuple[str, ..
     return docs.select(F.col(doc).alias("doc"), *fields).mapInArrow(run, f"doc {kind}, dl int, units array<int>, tf array<int>")
 
 
+def phrases_of(queries: DataFrame, stem: bool) -> DataFrame:
+    """query_id, phrase, times of questions (query_id, question)."""
+    asked = queries.select("query_id", F.explode(tx.query_phrases(F.col("question"))).alias("phrase"))
+    if stem:
+        asked = asked.withColumn("phrase", stemmed_phrase("phrase"))
+    return asked.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
+
+
 def weights(units: np.ndarray, n_docs: int) -> np.ndarray:
     """Of phrases in so many documents each."""
     return np.maximum(np.log((n_docs - units + 0.5) / (units + 0.5)), LEAST_IDF)
@@ -157,13 +168,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, scope: DataFra
     enough to be sent to all tasks, each batch of documents is scored as a matrix product and only its best rows go on; otherwise, and for scopes by
     query, without k, or with an index of postings(), postings are joined with the phrases. Blank questions find nothing.
     """
-    asked = queries.select("query_id", F.explode(tx.query_phrases(F.col("question"))).alias("phrase"))
-    if stem:
-        asked = asked.withColumn("phrase", stemmed_phrase("phrase"))
-    asked = asked.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times")).persist(StorageLevel.MEMORY_AND_DISK)
+    asked = checkpointed(phrases_of(queries, stem))
     if index is None and k is not None and k > 0 and (scope is None or scope.columns == ["doc"]):
-        n_queries, n_phrases = asked.agg(F.count_distinct("query_id"), F.count_distinct("phrase")).first()
-        if n_queries * n_phrases <= SENT:
+        n_queries, n_phrases, n = asked.agg(F.count_distinct("query_id"), F.count_distinct("phrase"), F.count(F.lit(1))).first()
+        if n_queries * n_phrases <= SENT and n_phrases <= PHRASES and n <= SENT // 16:
             return _scored(docs, asked.collect(), k, scope, doc, fields, stem, queries.schema["query_id"].dataType)
     return _joined(docs, asked, k, scope, doc, fields, stem, index)
 
@@ -172,7 +180,7 @@ def _scored(docs: DataFrame, asked: list, k: int, scope: DataFrame | None, doc:
     """bm25() for phrases that fit into one matrix (queries x phrases)."""
     phrases, ids = sorted({r.phrase for r in asked}), sorted({r.query_id for r in asked})
     at, of = {p: i for i, p in enumerate(phrases)}, {q: i for i, q in enumerate(ids)}
-    held = forward(docs, phrases, doc, fields, stem).persist(StorageLevel.MEMORY_AND_DISK)
+    held = checkpointed(forward(docs, phrases, doc, fields, stem))
     doc_kind = held.schema["doc"].dataType.simpleString()
     n_docs, total = held.agg(F.count(F.lit(1)), F.sum(F.col("dl").cast("long"))).first()
     df = np.zeros(len(phrases))
@@ -211,7 +219,7 @@ def _joined(docs: DataFrame, asked: DataFrame, k: int | None, scope: DataFrame |
     phrases = asked.select("phrase").distinct().withColumn("words", F.split("phrase", " "))
     wanted = phrases.select(F.explode("words").alias("term")).union(phrases.sparkSession.createDataFrame([(LENGTH,)], "term string")).distinct()
     source = index if index is not None else postings(docs, doc, fields, stem)
-    hits = source.join(wanted, "term", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    hits = checkpointed(source.join(wanted, "term", "left_semi"))
     lengths = hits.where(F.col("term") == LENGTH).select("doc", F.col("tf").alias("dl"))
     sizes = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     found = hits.where(F.col("term") != LENGTH).select("doc", F.col("term").alias("phrase"), "tf")
@@ -358,12 +366,12 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str | None = None,
     # a little more for rounding
     wide = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
     home = placed.withColumn("_block", cells.own_block(of, F.xxhash64("id", F.monotonically_increasing_id()))).select(*names, "_block")
-    home = cells.checkpointed(home) if of.parts.max() > 1 else home
+    home = checkpointed(home) if of.parts.max() > 1 else home
 
     @F.pandas_udf("array<int>")
     def later(v: pd.Series, own: pd.Series) -> pd.Series:
         X = unit(list(v))
-        visits = of.visits(angles(X, of.pivots) <= wide + of.radius) if len(X) else []
+        visits = of.visits(of.within(angles(X, of.pivots), wide)) if len(X) else []
         return pd.Series([b[b > o].tolist() for b, o in zip(visits, own)], dtype=object)
 
     visitors = home.withColumn("_block", F.explode(later("v", "_block")))

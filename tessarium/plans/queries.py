@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessarium.functions import text as tx
-from tessarium.operators import checks, chunks, events as ev, lifecycle, linking, links, retrieval, search
+from tessarium.lineage import folder
+from tessarium.operators import checks, chunks, events as ev, lifecycle, linking, links, retrieval, search, text_index
 from tessarium.plans import tables as t
 from tessarium.plans.tables import EDGES, EVENTS, NOW, NOW_SECONDS, PAGES, read
 
@@ -89,15 +90,42 @@ def bm25_scoped(spark, sf_dir):
     return _rounded(_lane1(spark, sf_dir, scope=scope))
 
 
+@query(f"WITH {_bm25_sql()} {_ranked('b_', 10, columns=_ROUND)}")
+def bm25_indexed(spark, sf_dir):
+    """The same documents from an index of blocks, made first."""
+    text_index.write(read(spark, sf_dir, "documents"), path := folder(spark, "index"))
+    return _rounded(text_index.find(spark, path, _questions(spark, sf_dir)))
+
+
+@query(f"WITH {_bm25_sql(docs='(SELECT CASE WHEN doc_id % 10 = 3 THEN doc_id + 1000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 10 = 4 THEN text || chr(32) || lang ELSE text END AS text FROM documents WHERE doc_id % 10 <> 5)')} {_ranked('b_', 10, columns=_ROUND)}")
+def bm25_index_refreshed(spark, sf_dir):
+    """After some documents changed, some went and some came: only these are read again."""
+    docs = read(spark, sf_dir, "documents")
+    text_index.write(docs, old := folder(spark, "index"))
+    changed = docs.where("doc_id % 10 IN (3, 4)").select(F.when(F.col("doc_id") % 10 == 3, F.col("doc_id") + 1000000).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 10 == 4, F.concat_ws(" ", "text", "lang")).otherwise(F.col("text")).alias("text"))
+    text_index.refresh(spark, old, changed, docs.where("doc_id % 10 IN (3, 5)").select(F.col("doc_id").alias("doc")), new := folder(spark, "index"))
+    return _rounded(text_index.find(spark, new, _questions(spark, sf_dir)))
+
+
 _PHRASED = r"text || ' ' || regexp_extract(text, '^(\w+)\s+(\w+)', 1) || '-' || regexp_extract(text, '^(\w+)\s+(\w+)', 2)"
 
 
+def _phrased(spark, sf_dir):
+    two = [F.regexp_extract("text", r"^(\w+)\s+(\w+)", i) for i in (1, 2)]
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" "), two[0], F.lit("-"), two[1]).alias("question"))
+
+
 @query(f"WITH {_bm25_sql(question=_PHRASED)} {_ranked('b_', 10, columns=_ROUND)}")
 def bm25_phrases(spark, sf_dir):
     """Questions with their first two words once more, joined by a hyphen: a phrase."""
-    two = [F.regexp_extract("text", r"^(\w+)\s+(\w+)", i) for i in (1, 2)]
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" "), two[0], F.lit("-"), two[1]).alias("question"))
-    return _rounded(search.bm25(read(spark, sf_dir, "documents"), asked, 10))
+    return _rounded(search.bm25(read(spark, sf_dir, "documents"), _phrased(spark, sf_dir), 10))
+
+
+@query(f"WITH {_bm25_sql(question=_PHRASED)} {_ranked('b_', 10, columns=_ROUND)}")
+def bm25_indexed_phrases(spark, sf_dir):
+    """Phrases from the index."""
+    text_index.write(read(spark, sf_dir, "documents"), path := folder(spark, "index"))
+    return _rounded(text_index.find(spark, path, _phrased(spark, sf_dir)))
 
 
 @query(f"WITH {_KNN} {_ranked('v_', 10, columns=_ROUND)}")
