@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tessarium.functions import markdown
 from tessarium.functions import text as tx
+from tessarium.lineage import folder
 from tessarium.operators import checks, chunks, duplicates, lifecycle, linking, links, reports, retrieval, search
 from tessarium.operators import events as ev
 from tessarium.plans import tables as t
 from tessarium.plans.queries import _TOKENS, _bm25_sql, _now, _questions, _ranked, query
 from tessarium.plans.tables import CHUNKS, EVENTS, NOW_SECONDS, WIKI, WIKI_EDGES, read
-from tessarium.sources import readers, sinks
+from tessarium.sources import readers, sinks, versions
 
 W = f"WITH {WIKI}"
 WE = f"WITH {WIKI}, {WIKI_EDGES}"
@@ -619,6 +620,24 @@ def sync_changed(spark, sf_dir):
     return sinks.synced(old, old.where("o_orderkey <> 2").withColumn("o_orderstatus", F.lit("fresh")), [1, 2, 3, 3, 999999999], "o_orderkey")
 
 
+@query(f"""{WE}, now_ AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'New ' || k ELSE title END AS t FROM wiki_ WHERE k % 4 <> 1), names_ AS (SELECT lower(unnest([t, alias1, alias2])) AS alias, unnest([0, 1, 2]) AS n, k, page_id FROM now_ WHERE status = 'active')
+SELECT 'page' AS kind, page_id AS a, t AS b FROM now_ UNION ALL SELECT 'edge', src, dst FROM wiki_edges_ WHERE src IN (SELECT page_id FROM now_) UNION ALL SELECT 'edge', page_id, 'x/new' FROM now_ WHERE k % 3 = 0
+UNION ALL SELECT 'alias', alias, arg_max(page_id, (k, n)) FROM names_ GROUP BY alias""")
+def sync_all(spark, sf_dir):
+    """A collection rebuilt, then changed in batches: new titles and links, late rows that lose, pages that go and don't come back by late rows."""
+    pages = t.wiki(spark, sf_dir).select("page_id", "title", "aliases", "status", "pos", "summary", "body")
+    held = versions.Collection(spark, folder(spark, "collection"))
+    held.rebuild(pages, F.lit(10))
+    held.sync(pages.where("pos % 3 = 0").withColumns({"title": F.concat(F.lit("New "), F.col("pos").cast("string")), "body": F.concat("body", F.lit("\n\nAlso [[x/new]]."))}), F.lit(20))
+    late = pages.withColumn("title", F.lit("Late"))
+    held.sync(late.where("pos % 6 = 0 OR pos % 4 = 1"), F.when(F.col("pos") % 4 == 1, 30).otherwise(5), F.col("pos") % 4 == 1)
+    held.sync(late.where("pos % 8 = 1"), F.lit(25))
+    state = held.state()
+    found = held.rows(state).select(F.lit("page").alias("kind"), F.col("page_id").alias("a"), F.col("title").alias("b"))
+    edges = held.read("edges", state).select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    return found.unionByName(edges).unionByName(held.aliases(state).select(F.lit("alias").alias("kind"), F.col("alias").alias("a"), F.col("page_id").alias("b")))
+
+
 @query("SELECT o_custkey AS content_hash, count(*) AS ingest_count, min(o_orderkey) AS first_at, max(o_orderkey) AS last_at, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS pages FROM orders GROUP BY o_custkey")
 def catalog_counts(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("content_hash"), F.lit(1).alias("ingest_count"), F.col("o_orderkey").alias("first_at"), F.col("o_orderkey").alias("last_at"), F.array("o_orderpriority").alias("pages"), "o_orderkey")

@@ -69,7 +69,8 @@ def synced(table: DataFrame, fresh: DataFrame, changed: list | None, key: str =
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes beside a table, then moves there: readers see the old or the new one, and a failed write leaves the old."""
+    """Writes beside a table, then moves there. A failed write or move leaves the old table, or puts it back; between two moves there is none for a
+    moment, so readers that can't wait need versions.Versions, whose states change in one step."""
     spark = rows.sparkSession
     made = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     rows.write.parquet(made)
@@ -77,10 +78,14 @@ def replace_table(rows: DataFrame, path: str) -> None:
     new, target = jvm.Path(made), jvm.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     old = jvm.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-    if files.exists(target):
-        files.rename(target, old)
-    files.rename(new, target)
-    if files.exists(old):
+    had = files.exists(target)
+    if had and not files.rename(target, old):
+        raise OSError(f"{path} can't be moved; the new table is at {made}")
+    if not files.rename(new, target):
+        if had and not files.rename(old, target):
+            raise OSError(f"the old table is at {old}, the new one at {made}")
+        raise OSError(f"{made} can't be moved; the old table is in its place")
+    if had:
         files.delete(old, True)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,9 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: Partitions of a table that a stream keeps in step.
-BUCKETS = 64
-
+from tessarium.sources.versions import Collection, Table
 
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
@@ -43,38 +42,32 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def _overwrite(rows: DataFrame, target: str, by: str) -> None:
     """Replaces the partitions that rows has; rows may come from the target itself, so they're written beside it first."""
-    beside = f"{target.rstrip('/')}.staged"
-    rows.write.mode("overwrite").parquet(beside)
+    beside = f"{target.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    rows.write.parquet(beside)
     staged = rows.sparkSession.read.schema(rows.schema).parquet(beside)
     staged.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+    p = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(beside)
+    p.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def sync_to(stream: DataFrame, target: str, key: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Each micro-batch replaces its keys' rows in a Parquet table, which stays in one folder; of a key's rows the last by order counts.
+    """Each micro-batch changes its keys' rows in a versions.Table; of a key's rows, in whatever batches they came, the last by order counts, and without an
+    order those of the last batch. Read it with Table(spark, target, key).rows(). A repeated batch, or a new checkpoint over an old table, gives the same
+    rows again; a batch that fails on its way leaves the old state."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            Table(batch.sparkSession, target, key).upsert(batch, F.col(order) if order else F.lit(number).cast("long"))
 
-    The table is partitioned by a hash of the key, and only partitions with changed keys are written. A repeated batch, or a new checkpoint over an
-    old table, gives the same rows again.
-    """
-    columns = stream.columns
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync_collection(stream: DataFrame, root: str, checkpoint: str, order: str, gone: str | None = None) -> StreamingQuery:
+    """Changed pages of a stream into a versions.Collection, with all that follows from them."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        others = [c for c in columns if c not in (key, order)]
-        first = [order] if order and order != key else []
-        last = batch.groupBy(key).agg(F.max(F.struct(*first, *others)).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in [*first, *others]))
-        rows = last.select(*columns).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).persist()
-        try:
-            if rows.isEmpty():
-                return
-            new = rows
-            if exists(spark, target):
-                old = spark.read.schema(rows.schema).parquet(target)
-                # at most BUCKETS rows
-                touched = old.join(F.broadcast(rows.select("_bucket").distinct()), "_bucket", "left_semi")
-                new = touched.join(rows.select(key), key, "left_anti").unionByName(rows)
-            _overwrite(new.select(*rows.columns), target, "_bucket")
-        finally:
-            rows.unpersist()
+        if not batch.isEmpty():
+            Collection(batch.sparkSession, root).sync(batch, F.col(order), F.col(gone) if gone else None)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
