@@ -72,3 +72,19 @@ def test_rows_of_equal_or_null_doc_id_stay_apart(spark):
     key = lambda t: sorted(map(repr, t.select("doc_id", "text", "lang", "source", "n_chars").collect()))
     rest = key(kept.where("text IS NOT NULL"))
     assert key(corpus_pipeline.substring_dedup(spark, kept, TABLE)) == rest and key(corpus_pipeline.secrets(spark, kept.where("text IS NOT NULL"), TABLE)) == rest
+
+
+def test_stages_of_empty_tables_and_of_other_columns(spark, tmp_path):
+    """Empty tables stay empty; columns of other names, some of which the operators use within, change nothing."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(f"the w{i}" for i in range(40))
+    rows = [(1, f"the and of to {words}.", "en", "s", 9), (2, None, None, None, None), (None, f"the and of to in {words} end.", "en", None, 9), (3, "", "en", "s", 0), (4, "x " * 400, "en", "s", 800)]
+    plain = spark.createDataFrame(rows, schema)
+    other = plain.selectExpr("*", "'a' AS node", "1 AS row", "array(1) AS keys", "2 AS _row", "'z' AS _kept", "3 AS spans", "4 AS score")
+    for _, stage in corpus_pipeline.STAGES:
+        assert not stage(spark, plain.where("false"), "").collect()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        a, b = (sorted(map(tuple, stage(spark, d, "").collect()), key=repr) for d in (plain, other))
+        assert a == b and stage(spark, other, "").columns == list(corpus_pipeline.COLUMNS), name
