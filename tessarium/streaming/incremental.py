@@ -57,7 +57,9 @@ def sync_to(stream: DataFrame, target: str, key: str, checkpoint: str, order: st
 
     def merge(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            Table(batch.sparkSession, target, key).upsert(batch, F.col(order) if order else F.lit(number).cast("long"))
+            table = Table(batch.sparkSession, target, key)
+            # without an order the number of the state that a batch meets: a later batch meets a later one, whatever its checkpoint
+            table.upsert(batch, F.col(order) if order else F.lit(table.state()["number"]).cast("long"))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -14,7 +14,7 @@ from tessarium.functions import text as tx
 from tessarium.functions import markdown
 from tessarium.operators import chunks, duplicates, events, lifecycle, linking, links, retrieval, search
 from tessarium.plans import tables
-from tessarium.sources import readers, sinks
+from tessarium.sources import readers, sinks, versions
 from tessarium.streaming import incremental
 
 TABLE = "/root/testdata/sf0.001"
@@ -322,7 +322,7 @@ def test_streams(spark, tmp_path):
         # the last one has a new checkpoint: the table stays
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         incremental.sync_to(stream, str(tmp_path / "out"), "k", str(tmp_path / f"ck{i // 2}"), order="n").awaitTermination(60)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted((r.k, r.v) for r in versions.Table(spark, str(tmp_path / "out"), "k").rows().collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
 def test_streams_of_sources_spending_and_history(spark, tmp_path):
