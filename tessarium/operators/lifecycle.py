@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessarium.functions import text as tx
-from tessarium.functions.fuzzy import similarity, token_sort_ratio
+from tessarium.functions.fuzzy import token_sort_ratio
 from tessarium.lineage import checkpointed
-from tessarium.operators import duplicates
+from tessarium.operators import duplicates, links
 
 #: Commits that the engine itself makes; a page last touched by another one was edited by a person (fixed values).
 AUTOMATIC = ("ingest", "query", "lint", "merge", "deprecate", "migration", "dormant")
@@ -183,36 +183,44 @@ def routed(proposals: DataFrame, page_ids: DataFrame, threshold: float = COLLISI
     """New pages (type, slug, chunk_index, pos) with redirect: the existing page (page_id), or an earlier proposal's, whose id is nearly the same; null
     for new ones and for a page's own id. The first proposal of each type and slug counts.
 
-    Existing ids are compared by a join. What proposals make of each other depends on their order, so those of one type are folded in one task;
-    they are one ingest's, while the collection may be of any size.
+    Existing ids are compared by a join. What proposals make of each other depends on their order, but only near ids matter to each other: each
+    connected component of the proposals' own near ids is folded by itself, and whatever has no such neighbour isn't grouped at all.
     """
-    first = first_proposals(proposals).withColumn("folder", tx.directory_of(F.col("type"))).withColumn("id", F.concat("folder", F.lit("/"), "slug"))
-    near = duplicates.near_texts(first.where("slug <> ''").select(F.col("id").alias("a")), page_ids.select(F.col("page_id").alias("b")), threshold)
-    near = near.where(F.substring_index("a", "/", 1) == F.substring_index("b", "/", 1)).withColumn("score", token_sort_ratio("a", "b")).where(F.col("score") >= threshold)
-    known = near.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("b").alias("page_id"))).alias("k")).select("id", (-F.col("k.s")).alias("score"), F.col("k.page_id").alias("known"))
-    rows = first.join(known, "id", "left")
+    first = first_proposals(proposals).withColumn("folder", tx.directory_of(F.col("type"))).withColumn("id", F.when(F.col("slug") != "", F.concat("folder", F.lit("/"), "slug")))
+    # written once: ids serve both comparisons and the result
+    first = checkpointed(first)
+    ids = first.where("id IS NOT NULL").select(F.col("id").alias("a")).distinct()
+
+    def near(others: DataFrame) -> DataFrame:
+        found = duplicates.near_texts(ids, others, threshold).where(F.substring_index("a", "/", 1) == F.substring_index("b", "/", 1))
+        return found.withColumn("score", token_sort_ratio("a", "b")).where(F.col("score") >= threshold)
+
+    known = near(page_ids.select(F.col("page_id").alias("b"))).groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("b").alias("page_id"))).alias("k"))
+    known = known.select("id", (-F.col("k.s")).alias("score"), F.col("k.page_id").alias("known"))
+    pairs = checkpointed(near(ids.select(F.col("a").alias("b"))).where("a <> b"))
+    roots = links.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("id"), "root")
+    beside = pairs.groupBy(F.col("a").alias("id")).agg(F.collect_list(F.struct(F.col("b").alias("other"), F.col("score").alias("s"))).alias("near"))
+    rows = first.join(known, "id", "left").join(roots.join(beside, "id"), "id", "left")
     columns = [c for c in first.columns if c not in ("folder", "id")]
     kinds = ", ".join(f"`{c}` {first.schema[c].dataType.simpleString()}" for c in columns)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        made: list[str] = []
+        made: dict[str, int] = {}
         out = []
         pdf = pdf.sort_values(["chunk_index", "pos"])
-        for id_, folder, slug, known, score in zip(pdf["id"], pdf["folder"], pdf["slug"], pdf["known"], pdf["score"]):
-            if not isinstance(folder, str) or not slug:
-                out.append(None)
-                continue
+        for id_, near, known, score in zip(pdf["id"], pdf["near"], pdf["known"], pdf["score"]):
             best, at = (score, known) if isinstance(known, str) else (0.0, None)
-            for other in made:
-                if (s := similarity(" ".join(sorted(id_.split())), " ".join(sorted(other.split())))) >= threshold and s > best:
-                    best, at = s, other
+            for other in sorted((x for x in near if x["other"] in made), key=lambda x: made[x["other"]]):
+                if other["s"] > best:
+                    best, at = other["s"], other["other"]
             hit = at if at is not None and at != id_ else None
             out.append(hit)
             if hit is None:
-                made.append(id_)
+                made[id_] = len(made)
         return pdf[columns].assign(redirect=out)
 
-    return rows.groupBy("type").applyInPandas(fold, f"{kinds}, redirect string")
+    alone = rows.where("root IS NULL").select(*columns, F.when(F.col("known") != F.col("id"), F.col("known")).alias("redirect"))
+    return alone.unionByName(rows.where("root IS NOT NULL").groupBy("root").applyInPandas(fold, f"{kinds}, redirect string"))
 
 
 def create_id(kind: Column, slug: Column, title: Column) -> Column:
