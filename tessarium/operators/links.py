@@ -21,8 +21,13 @@ def edges_of(pages: DataFrame, before: DataFrame | None = None, now: Column | No
     return found.join(before.select("src", "dst", "linked_at"), ["src", "dst"], "left").withColumn("linked_at", F.coalesce("linked_at", now))
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """src, dst of edges and of their reverses, each once, in one pass over them."""
+    return edges.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).distinct()
+
+
 def degrees(edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    ends = edges.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
     return ends.groupBy("node").agg(F.sum("i").alias("inbound"), F.sum("o").alias("outbound"))
 
 
@@ -68,7 +73,7 @@ def path_lengths(edges: DataFrame, start, depth: int) -> DataFrame:
 def _search(edges: DataFrame, start, depth: int, target=None) -> DataFrame:
     """node, hops, before: the smallest neighbour on a shortest path back to the start; ends where nothing new or the target is found."""
     kind = edges.schema["src"].dataType
-    both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    both = checkpointed(both_ways(edges))
     seen = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("before"))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -82,6 +87,39 @@ def _search(edges: DataFrame, start, depth: int, target=None) -> DataFrame:
     return seen
 
 
+def path_lengths_many(edges: DataFrame, pairs: DataFrame, depth: int = 32) -> DataFrame:
+    """a, b, hops of distinct pairs (a, b): the length of a shortest undirected path of at most depth links, null if there is none or an end is null or has no links.
+
+    All pairs are searched at once, from both ends: a round moves one end's frontiers by a link, that of the side that has reached fewer nodes. A
+    pair whose two sides meet for the first time has as many links between its ends as rounds moved them, and leaves the search.
+    """
+    both = checkpointed(both_ways(edges))
+    asked = checkpointed(pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct().join(both.select(F.col("src").alias("a")).distinct(), "a", "left_semi").join(both.select(F.col("src").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+    # of each side what it has reached, and what of that came last
+    seen = {side: asked.select("a", "b", F.col(side).alias("node")) for side in "ab"}
+    last = dict(seen)
+    moved, found = 0, asked.where("a = b").select("a", "b", F.lit(0).alias("hops"))
+    left = checkpointed(asked.where("a <> b"))
+    while moved < depth and not left.isEmpty():
+        open_ = {side: checkpointed(last[side].join(left, ["a", "b"], "left_semi")) for side in "ab"}
+        count = {side: frame.count() for side, frame in open_.items()}
+        if not all(count.values()):
+            break
+        side = min("ab", key=count.get)
+        reached = open_[side].join(both, F.col("node") == F.col("src")).select("a", "b", F.col("dst").alias("node")).distinct()
+        last = open_ | {side: checkpointed(reached.join(seen[side], ["a", "b", "node"], "left_anti"))}
+        seen[side] = seen[side].unionByName(last[side])
+        moved += 1
+        other = seen["b" if side == "a" else "a"]
+        met = checkpointed(last[side].join(other, ["a", "b", "node"], "left_semi").select("a", "b").distinct())
+        found = found.unionByName(met.withColumn("hops", F.lit(moved)))
+        left = checkpointed(left.join(met, ["a", "b"], "left_anti"))
+        # those that are done need no memory of what they reached
+        seen = {s: checkpointed(frame.join(left, ["a", "b"], "left_semi")) for s, frame in seen.items()}
+    same = F.col("a").eqNullSafe(F.col("_a")) & F.col("b").eqNullSafe(F.col("_b"))
+    return pairs.select("a", "b").distinct().join(found.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "hops"), same, "left").select("a", "b", "hops")
+
+
 def path(edges: DataFrame, start, target, depth: int = 32) -> list | None:
     """The nodes of a shortest undirected path, or None; of several the one that goes back by smallest nodes."""
     if start == target:
@@ -103,7 +141,7 @@ def path(edges: DataFrame, start, target, depth: int = 32) -> list | None:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: each node with the smallest one of its component. Labels fall to the smallest neighbour's, then to that one's label, until none changes."""
-    both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    both = checkpointed(both_ways(edges))
     labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root")))
     while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("other"))

@@ -75,10 +75,24 @@ def edges_relinked(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {WIKI}, {WIKI_EDGES}, u_ AS (SELECT src, dst FROM wiki_edges_ UNION SELECT dst, src FROM wiki_edges_), p_ AS (SELECT 'concepts/red-bolt' AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM p_ JOIN u_ ON node = src WHERE hops < 3), d_ AS (SELECT node, min(hops) AS hops FROM p_ GROUP BY node) SELECT 'entities/blue-ring' AS target, (SELECT hops FROM d_ WHERE node = 'entities/blue-ring')::INT AS hops")
 def link_path(spark, sf_dir):
-    """How many links a shortest path has; the path itself is checked to exist."""
-    edges = _edges(spark, sf_dir)
-    found = links.path(edges, "concepts/red-bolt", "entities/blue-ring", 3)
-    return spark.createDataFrame([("entities/blue-ring", len(found) - 1 if found else None)], "target string, hops int")
+    """How many links a shortest path has."""
+    asked = t.wiki(spark, sf_dir).where("page_id = 'concepts/red-bolt'").select(F.col("page_id").alias("a"), F.lit("entities/blue-ring").alias("b"))
+    asked = asked.unionByName(read(spark, sf_dir, "region").select(F.lit("concepts/red-bolt").alias("a"), F.lit("entities/blue-ring").alias("b"))).distinct()
+    return links.path_lengths_many(_edges(spark, sf_dir), asked, 3).select(F.col("b").alias("target"), "hops")
+
+
+@query(f"""WITH RECURSIVE {WIKI}, {WIKI_EDGES}, u_ AS (SELECT src, dst FROM wiki_edges_ UNION SELECT dst, src FROM wiki_edges_), pairs_ AS (SELECT x.page_id AS a, y.page_id AS b FROM wiki_ x JOIN wiki_ y ON x.type = y.type AND (x.variant + 3) % 8 = y.variant AND x.k % 5 = y.k % 5 UNION SELECT page_id, 'gone/page-' || (k % 7) FROM wiki_ UNION SELECT page_id, 'nowhere' FROM wiki_ WHERE k % 9 = 0 UNION SELECT page_id, page_id FROM wiki_ WHERE k % 9 = 1),
+p_ AS (SELECT DISTINCT a AS start, a AS node, 0 AS hops FROM pairs_ WHERE a IN (SELECT src FROM u_) UNION SELECT start, dst, hops + 1 FROM p_ JOIN u_ ON node = src WHERE hops < 4), d_ AS (SELECT start, node, min(hops) AS hops FROM p_ GROUP BY start, node)
+SELECT a, b, hops::INT AS hops FROM pairs_ LEFT JOIN d_ ON start = a AND node = b""")
+def path_lengths_many(spark, sf_dir):
+    """Shortest paths of many pairs at once, some of which have none."""
+    pages = t.wiki(spark, sf_dir)
+    x, y = (pages.select(F.col("page_id").alias(c), "type", (F.col("variant") + shift).alias("v"), (F.col("k") % 5).alias("m")) for c, shift in (("a", 3), ("b", 0)))
+    asked = x.withColumn("v", F.col("v") % 8).join(y, ["type", "v", "m"]).select("a", "b")
+    a = F.col("page_id").alias("a")
+    asked = asked.unionByName(pages.select(a, F.concat(F.lit("gone/page-"), (F.col("k") % 7).cast("string")).alias("b")))
+    asked = asked.unionByName(pages.where("k % 9 = 0").select(a, F.lit("nowhere").alias("b"))).unionByName(pages.where("k % 9 = 1").select(a, F.col("page_id").alias("b")))
+    return links.path_lengths_many(_edges(spark, sf_dir), asked, 4)
 
 
 @query(f"{WE} SELECT (SELECT count(*) FROM wiki_edges_) AS links, (SELECT count(DISTINCT p) FROM (SELECT src AS p FROM wiki_edges_ UNION ALL SELECT dst FROM wiki_edges_)) AS linked, count(*) AS pending, min(cosine_score) AS least, max(cosine_score) AS most FROM (SELECT CASE WHEN k % 6 <> 0 THEN 0.5 + (k % 25) / 100.0::DOUBLE END AS cosine_score FROM wiki_ WHERE k % 2 = 0)")
