@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessarium.functions import markdown
+from tessarium.functions import json_schema, markdown
 from tessarium.functions import text as tx
 from tessarium.lineage import folder
 from tessarium.operators import checks, chunks, duplicates, lifecycle, linking, links, reports, retrieval, search
@@ -921,6 +921,35 @@ def rejected_sources(spark, sf_dir):
     return reports.rejected(rows, 5000 / (1024 * 1024), 60)
 
 
+def _answers(names: tuple[str, str, str]) -> str:
+    """JSON of pages with a contradiction, in text of both engines; some lack a field, have a number in it, or another confidence."""
+    a, b, c = names
+    first = f"""CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN concat('"{a}": ', k, ', ') ELSE concat('"{a}": "', slug, '", ') END"""
+    claim = f"""concat('{{', {first}, '"{b}": "n", "{c}": ', CASE WHEN k % 7 = 0 THEN '""' ELSE '"s"' END, CASE WHEN k % 11 = 0 THEN ', "more": 1' ELSE '' END, '}}')"""
+    page = f"""concat('{{"existing_path": "', page_id, '", "confidence": "', CASE WHEN k % 4 = 0 THEN 'sure' ELSE 'high' END, '", "contradictions": ', CASE WHEN k % 13 = 0 THEN '{{}}' ELSE concat('[', {claim}, ']') END, '}}')"""
+    return f"""CASE WHEN k % 17 = 0 THEN '[1, 2]' WHEN k % 19 = 0 THEN '{{"pages' WHEN k % 23 = 0 THEN '{{}}' ELSE concat('{{"pages_to_update": [', {page}, ', {{}}]}}') END"""
+
+
+def _answer_errors(names: tuple[str, str, str]) -> str:
+    """The errors that such JSON has by its making, joined."""
+    a, _, c = names
+    at = "'pages_to_update[0].contradictions[0]."
+    listed = f"""[CASE WHEN k % 4 = 0 THEN 'pages_to_update[0].confidence is not one of the allowed values: sure' END, CASE WHEN k % 13 = 0 THEN 'pages_to_update[0].contradictions must be an array' END, CASE WHEN k % 13 <> 0 AND k % 5 = 0 THEN {at}{a} is missing' END, CASE WHEN k % 13 <> 0 AND k % 5 = 1 THEN {at}{a} must be a string' END,
+    CASE WHEN k % 13 <> 0 AND k % 7 = 0 THEN {at}{c} is too short' END, CASE WHEN k % 13 <> 0 AND k % 11 = 0 THEN {at}more is not allowed' END, 'pages_to_update[1].existing_path is missing']"""
+    return f"CASE WHEN k % 17 = 0 THEN 'value must be an object' WHEN k % 19 = 0 THEN 'value must be JSON' WHEN k % 23 = 0 THEN 'pages_to_update is missing' ELSE array_to_string(list_filter({listed}, lambda x: x IS NOT NULL), ';') END"
+
+
+_SHORT, _LONG = ("existing", "new", "source"), ("existing_claim", "new_claim", "source_location")
+
+
+@query(f"{W} SELECT k, 'short' AS shape, {_answer_errors(_SHORT)} AS errors FROM wiki_ UNION ALL SELECT k, 'long', {_answer_errors(_LONG)} FROM wiki_")
+def schema_errors(spark, sf_dir):
+    """Answers of a language model against the two schemas that are about, each compiled to one column."""
+    pages = t.wiki(spark, sf_dir)
+    found = [pages.select("k", F.lit(shape).alias("shape"), F.array_join(json_schema.errors(F.expr(_answers(names)), schema), ";").alias("errors")) for shape, names, schema in (("short", _SHORT, json_schema.SHORT), ("long", _LONG, json_schema.LONG))]
+    return found[0].unionByName(found[1])
+
+
 @query("""WITH a_ AS (SELECT item_id AS query_id, item_id % 6 AS m FROM benchmark) SELECT query_id, CASE m WHEN 0 THEN '' WHEN 1 THEN 'response must be a JSON object' WHEN 2 THEN 'missing required field: sources_consulted;missing required field: confidence' WHEN 3 THEN 'answer must be a string;sources_consulted must be an array;confidence invalid: ''sure''' WHEN 4 THEN 'sources_consulted[0].page_path missing;sources_consulted[1].relevance invalid: ''odd''' ELSE 'response must be a JSON object' END AS errors FROM a_""")
 def answer_errors(spark, sf_dir):
     """What is wrong with a model's answers."""
