@@ -74,7 +74,7 @@ def first_heading(text: Column) -> Column:
 
 def sections(text: Column) -> Column:
     """Parts that begin with a heading of level one or two."""
-    return F.filter(F.transform(F.split(text, r"(?m)(?=^#{1,2}\s+)"), F.trim), lambda part: part != "")
+    return F.filter(F.transform(F.split(text, r"(?m)(?=^#{1,2}\s+)"), lambda part: F.regexp_replace(part, r"(?U)^\s+|\s+$", "")), lambda part: part != "")
 
 
 def wikilinks(text: Column) -> Column:

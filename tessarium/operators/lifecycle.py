@@ -358,10 +358,28 @@ def kept_history(history: DataFrame, n: int, group: str, *order) -> DataFrame:
 
 
 def history_entry(history: DataFrame, asked: str) -> DataFrame:
-    """The row that an id's beginning or a number from 1 (the newest) means; none if several begin so."""
-    ranked = history.withColumn("_p", F.row_number().over(Window.orderBy(F.desc("ts"), "query_id")))
-    found = ranked.where(tx.query_id_matches(F.col("query_id"), F.col("_p"), asked)).drop("_p")
-    return found.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).where("_n = 1").drop("_n")
+    """The row that an id's beginning or a number from 1 (the newest) means; none if several begin so. A number reads the newest rows up to it, each task its own;
+    a beginning at most two rows."""
+    if asked.isdigit():
+        n = int(asked)
+        newest = history.orderBy(F.desc("ts"), "query_id").limit(n)
+        # the last of the newest n; none if there are fewer
+        return newest.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).where(F.col("_n") == n).drop("_n").orderBy("ts", F.desc("query_id")).limit(1) if n else history.limit(0)
+    two = history.where(F.col("query_id").startswith(asked)).limit(2)
+    return two.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).where("_n = 1").drop("_n")
+
+
+def fed_chunks(writes: DataFrame) -> DataFrame:
+    """page_id, chunk_ids: all chunks that creates, updates and sources (page_id, pos, chunk_ids) feed to a page, each once, in order."""
+    each = writes.select("page_id", "pos", F.posexplode("chunk_ids").alias("i", "chunk_id")).where("chunk_id IS NOT NULL AND chunk_id <> ''")
+    first = each.groupBy("page_id", "chunk_id").agg(F.min(F.struct("pos", "i")).alias("at"))
+    return first.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
+
+
+def touched(commits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """hash, paths: of each commit (hash, paths) the paths that are among those wanted (path), in order; commits without one are left out."""
+    each = commits.select("hash", F.explode(F.array_distinct("paths")).alias("path")).join(wanted.select("path").distinct(), "path", "left_semi")
+    return each.groupBy("hash").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 
 def chunk_status(chunks: DataFrame) -> DataFrame:

@@ -24,13 +24,17 @@ def live_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.coalesce("status", F.lit("active")) != "deprecated")
 
 
-def statistics(pages: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: pages, by state, edited by people, aliases, links, orphans; each counted in one pass over its table."""
+def statistics(pages: DataFrame, edges: DataFrame, chunks: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """One row: pages, by state, edited by people, aliases, links, orphans, and of chunks and sources (source_hash), if given, how many there are; each counted in
+    one pass over its table."""
     is_ = lambda s: F.count_if(F.col("status") == s).alias(s)
     counts = pages.agg(F.count(F.lit(1)).alias("pages"), *map(is_, ("active", "stub", "dormant", "deprecated")), F.count_if("human_edited").alias("human_edited"), F.sum(F.size(F.coalesce("aliases", F.array().cast("array<string>")))).alias("aliases"))
     # each side is one row
     one = lambda frame, name: F.broadcast(frame.agg(F.count(F.lit(1)).alias(name)))
-    return counts.join(one(edges, "links")).join(one(checks.orphan_pages(pages, edges), "orphans"))
+    out = counts.join(one(edges, "links")).join(one(checks.orphan_pages(pages, edges), "orphans"))
+    if chunks is not None:
+        out = out.join(one(chunks, "chunks"))
+    return out if sources is None else out.join(one(sources.select("source_hash").distinct(), "sources"))
 
 
 def link_summary(edges: DataFrame, pending: DataFrame) -> DataFrame:
