@@ -1,11 +1,11 @@
-"""Proposals routed to existing pages and to earlier ones, against a fold of all of them in order."""
+"""Proposals routed to existing pages and to earlier ones, against a fold of all of them in order; shortest paths against a plain search."""
 
 import random
 
 import pytest
 
 from tessarium.functions.fuzzy import similarity
-from tessarium.operators import lifecycle
+from tessarium.operators import lifecycle, links
 
 FOLDERS = {"concept": "concepts", "entity": "entities", "synthesis": "syntheses", "source": "sources"}
 
@@ -57,3 +57,29 @@ def test_routing_equals_a_fold_in_order(spark, seed):
 def test_routing_of_nothing(spark):
     proposals = spark.createDataFrame([], "pos long, type string, slug string, chunk_index int")
     assert lifecycle.routed(proposals, spark.createDataFrame([], "page_id string")).collect() == []
+
+
+@pytest.mark.parametrize("depth", [2, 32])
+def test_paths_of_many_pairs(spark, depth):
+    r = random.Random(5)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(70)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 200)]
+    near: dict[int, set] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    pairs = [(r.randrange(64), r.randrange(64)) for _ in range(150)] + [(101, 139), (100, 3), (5, 5), (200, 200), (999, 999), (1, None), (None, None)]
+
+    def hops(a, b):
+        seen, front, n = {a}, {a}, 0
+        if a not in near or b not in near:
+            return None
+        while front and n <= depth:
+            if b in front:
+                return n
+            front = {y for x in front for y in near[x]} - seen
+            seen |= front
+            n += 1
+        return None
+
+    got = links.path_lengths_many(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(pairs * 2, "a long, b long"), depth).collect()
+    assert {(x.a, x.b): x.hops for x in got} == {(a, b): hops(a, b) for a, b in pairs} and len(got) == len(set(pairs))
