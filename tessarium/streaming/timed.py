@@ -1,0 +1,101 @@
+"""Streams with timed state: how far ingests have come, and rings of an owner's newest questions that are forgotten when they grow old.
+
+The state store must be RocksDB's (prepare()). Timers are in processing time and fire in the next batch, whatever it holds; state that is older
+than its time to live isn't there any more.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructType
+
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROGRESS = "source string, total long, done long, failed array<long>, pending array<long>, status string"
+
+
+def prepare(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+
+class Ingest(StatefulProcessor):
+    """The chunks of one source: the last word on each, and a timer that ends an ingest of which nothing was heard for a while."""
+
+    def __init__(self, idle: int, keep: int):
+        self.idle, self.keep = idle, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        ttl = self.keep or None
+        self.chunks = handle.getMapState("chunks", StructType().add("i", LongType()), StructType().add("state", StringType()), ttl)
+        self.total = handle.getValueState("total", StructType().add("n", LongType()), ttl)
+
+    def row(self, key, ended: bool) -> pd.DataFrame:
+        said = {k[0]: v[0] for k, v in self.chunks.iterator()}
+        n = self.total.get()[0] if self.total.exists() else 0
+        done = sum(s == "done" for s in said.values())
+        failed = sorted(i for i, s in said.items() if s == "failed")
+        pending = [i for i in range(n) if said.get(i) != "done"]
+        status = "complete" if n and not pending else "expired" if ended else "running"
+        return pd.DataFrame({"source": [key[0]], "total": [n], "done": [done], "failed": [failed], "pending": [pending], "status": [status]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            pdf = pdf.sort_values("ts", kind="stable")
+            for i, n, state in zip(pdf["chunk_index"], pdf["total"], pdf["state"]):
+                self.total.update((int(n),))
+                # what is done stays done
+                if not self.chunks.containsKey((int(i),)) or self.chunks.getValue((int(i),))[0] != "done":
+                    self.chunks.updateValue((int(i),), (str(state),))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        out = self.row(key, False)
+        if out["status"][0] == "running":
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = self.row(key, True)
+        if out["status"][0] != "complete":
+            self.chunks.clear()
+            self.total.clear()
+            yield out
+
+    def close(self) -> None: ...
+
+
+def ingests(events: DataFrame, idle: int = 3_600_000, keep: int = 0) -> DataFrame:
+    """source, total, done, failed, pending, status of ingests whenever they change, from events of their chunks (source, chunk_index, total, state, ts; state is done or
+    failed): running, complete, or expired after idle milliseconds without an event, which forgets it. keep: milliseconds after which a chunk is forgotten
+    in any case, 0 for never. A source that is heard of again begins anew; a restart goes on where the checkpoint is."""
+    return events.groupBy("source").transformWithStateInPandas(Ingest(idle, keep), PROGRESS, "update", "processingtime")
+
+
+class Ring(StatefulProcessor):
+    """The newest questions of one owner."""
+
+    def __init__(self, n: int, keep: int):
+        self.n, self.keep = n, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("ring", StructType().add("entries", StringType()), self.keep or None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ring = {tuple(x) for x in json.loads(self.held.get()[0])} if self.held.exists() else set()
+        for pdf in rows:
+            ring |= {(int(t), str(q)) for t, q in zip(pdf["ts"], pdf["query_id"])}
+        newest = sorted(ring, reverse=True)[: self.n]
+        self.held.update((json.dumps(newest),))
+        yield pd.DataFrame({"owner": [str(key[0])], "ring": [[q for _, q in newest]]})
+
+    def close(self) -> None: ...
+
+
+def rings(questions: DataFrame, n: int, keep: int = 0) -> DataFrame:
+    """owner, ring: the ids of each owner's newest n questions (owner, ts as a number, query_id), the newest first, whenever they change; forgotten if nothing was asked for
+    keep milliseconds (0: never)."""
+    return questions.groupBy("owner").transformWithStateInPandas(Ring(n, keep), "owner string, ring array<string>", "update", "processingtime")

@@ -1,0 +1,60 @@
+"""Timed state: restarts, expiry, time to live."""
+
+import time
+
+import pytest
+
+from tessarium.streaming import timed
+
+EVENT = "source string, chunk_index long, total long, state string, ts long"
+
+
+@pytest.fixture(autouse=True)
+def provider(spark):
+    timed.prepare(spark)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def put(spark, folder, rows, schema) -> None:
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def run(spark, frame, tmp_path, name: str) -> list:
+    got: list = []
+    frame.writeStream.foreachBatch(lambda batch, _: got.extend(batch.collect())).outputMode("update").option("checkpointLocation", f"{tmp_path}/ck-{name}").trigger(availableNow=True).start().awaitTermination(120)
+    return got
+
+
+def test_ingests_resume(spark, tmp_path):
+    events = lambda: timed.ingests(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"))
+    put(spark, f"{tmp_path}/in", [("a", 0, 3, "done", 1), ("a", 1, 3, "failed", 2), ("b", 0, 1, "done", 1)], EVENT)
+    got = {r.source: r for r in run(spark, events(), tmp_path, "i")}
+    assert (got["a"].done, got["a"].failed, got["a"].pending, got["a"].status) == (1, [1], [1, 2], "running") and got["b"].status == "complete"
+    # a new run of the stream goes on where the last one ended; a late failure doesn't undo what is done
+    put(spark, f"{tmp_path}/in", [("a", 1, 3, "done", 3), ("a", 0, 3, "failed", 4), ("a", 2, 3, "done", 5)], EVENT)
+    got = {r.source: r for r in run(spark, events(), tmp_path, "i")}
+    assert set(got) == {"a"} and got["a"].status == "complete" and got["a"].done == 3
+
+
+def test_ingests_expire(spark, tmp_path):
+    events = lambda: timed.ingests(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), idle=1)
+    put(spark, f"{tmp_path}/in", [("c", 0, 2, "done", 1), ("b", 0, 1, "done", 1)], EVENT)
+    said = run(spark, events(), tmp_path, "e")
+    put(spark, f"{tmp_path}/in", [("d", 0, 1, "failed", 9)], EVENT)
+    said += run(spark, events(), tmp_path, "e")
+    assert [(r.status, r.pending) for r in said if r.source == "c"] == [("running", [1]), ("expired", [1])]
+    assert [r.status for r in said if r.source == "b"] == ["complete"]
+    # forgotten: it begins anew
+    put(spark, f"{tmp_path}/in", [("c", 1, 2, "done", 10)], EVENT)
+    assert [r.pending for r in run(spark, events(), tmp_path, "e") if r.source == "c"][0] == [0]
+
+
+def test_rings_live_for_a_while(spark, tmp_path):
+    schema = "owner string, ts long, query_id string"
+    rings = lambda: timed.rings(spark.readStream.schema(schema).parquet(f"{tmp_path}/q"), 2, keep=6000)
+    put(spark, f"{tmp_path}/q", [("x", i, f"q{i}") for i in range(4)] + [("y", 1, "z")], schema)
+    assert {r.owner: r.ring for r in run(spark, rings(), tmp_path, "r")} == {"x": ["q3", "q2"], "y": ["z"]}
+    time.sleep(7)
+    put(spark, f"{tmp_path}/q", [("x", 9, "new")], schema)
+    assert {r.owner: r.ring for r in run(spark, rings(), tmp_path, "r")} == {"x": ["new"]}
