@@ -13,16 +13,16 @@ FIELDS = {"Created": "created", "Updated": "updated", "Deprecated": "deprecated"
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Events of a text log (file, pos, line), the newest first: a header line starts an event, field lines belong to the last header; of a repeated
-    field the last one counts."""
+    field the last one counts. Blocks are numbered within their file; pos is that of the header."""
     order = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     blocks = lines.withColumn("block", F.sum(F.col("line").rlike(HEADER).cast("int")).over(order)).where("block > 0")
     name, value = F.trim(F.regexp_extract("line", FIELD, 1)), F.trim(F.regexp_extract("line", FIELD, 2))
     last = (F.max_by(F.when(name == said, value), F.when(name == said, F.col("pos"))).alias(column) for said, column in FIELDS.items())
-    out = blocks.groupBy("file", "block").agg(F.max(F.when(F.col("line").rlike(HEADER), F.col("line"))).alias("head"), *last)
+    out = blocks.groupBy("file", "block").agg(F.max(F.when(F.col("line").rlike(HEADER), F.col("line"))).alias("head"), F.min("pos").alias("pos"), *last)
     number = lambda c: F.regexp_replace(c, "[$,]", "")
     typed = {"tokens_used": number("tokens_used").try_cast("long"), "cost": number("cost").try_cast("double"), "contradictions": F.col("contradictions").try_cast("int"), "links": F.col("links").try_cast("int")}
     head = [F.try_to_timestamp(F.regexp_extract("head", HEADER, 1)).alias("ts"), F.regexp_extract("head", HEADER, 2).alias("event_type"), F.trim(F.regexp_extract("head", HEADER, 3)).alias("description")]
-    return out.withColumns(typed).select("file", "block", *head, *FIELDS.values()).orderBy("file", F.desc("block"))
+    return out.withColumns(typed).select("file", "block", "pos", *head, *FIELDS.values()).orderBy("file", F.desc("block"))
 
 
 def usage(events: DataFrame) -> DataFrame:

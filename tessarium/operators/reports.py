@@ -192,8 +192,9 @@ def proposal_errors(proposals: DataFrame) -> DataFrame:
     return proposals.select("pos", F.when(F.col("intent") == "create", F.array_compact(create)).otherwise(F.array_compact(update)).alias("errors"))
 
 
-def event_lines(events: DataFrame) -> DataFrame:
-    """ts, entry: events (ts, event_type, description, created, updated, deprecated, contradictions, links, tokens, cost, commit) as entries of the text log."""
+def event_lines(events: DataFrame, *carried: str) -> DataFrame:
+    """ts, entry: events (ts, event_type, description, created, updated, deprecated, contradictions, links, tokens, cost, commit) as entries of the text log, with columns
+    that tell events of the same moment apart."""
     names = lambda c, label: F.when(F.size(c) > 0, F.concat(F.lit(f"- **{label}**: "), F.array_join(c, ", ")))
     lines = [
         F.concat(F.lit("## ["), tx.utc_iso(F.col("ts")), F.lit("] "), "event_type", F.lit(" | "), "description"), names("created", "Created"), names("updated", "Updated"), names("deprecated", "Deprecated"),
@@ -201,7 +202,7 @@ def event_lines(events: DataFrame) -> DataFrame:
         F.when(F.col("tokens") > 0, F.concat(F.lit("- **Tokens used**: "), F.format_number("tokens", 0))), F.when(F.col("cost") > 0, F.concat(F.lit("- **Cost**: $"), F.format_string("%.2f", F.col("cost").cast("double")))),
         F.when(F.coalesce("commit", F.lit("")) != "", F.concat(F.lit("- **Commit**: "), F.substring("commit", 1, 8))),
     ]
-    return events.select("ts", F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("entry"))
+    return events.select("ts", *carried, F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("entry"))
 
 
 def changed_paths(commits: DataFrame, since: Column) -> DataFrame:

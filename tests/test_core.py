@@ -342,3 +342,13 @@ def test_streams_of_sources_spending_and_history(spark, tmp_path):
     ring = incremental.history_ring(spark.readStream.schema(asked.schema).parquet(str(tmp_path / "asked")), 3)
     ring.writeStream.format("memory").queryName("ring").outputMode("update").option("checkpointLocation", str(tmp_path / "ring")).trigger(availableNow=True).start().awaitTermination(60)
     assert {r.owner: r.ring for r in spark.table("ring").collect()} == {1: ["q5", "q4", "q3"], 2: ["z"]}
+
+
+def test_events_of_the_same_moment_are_logged_once(spark, tmp_path):
+    for i in range(3):
+        spark.read.parquet(f"{TABLE}/events.parquet").where("event_id < 40").withColumn("event_id", F.col("event_id") + 70 * i).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("event_log_parse", "event_entries"):
+        found = registry.QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert len(found) == 120 and plain(found) == plain(con.sql(registry.SQL[name]).df())
