@@ -32,9 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (sets of five-word shingles at a Jaccard similarity of 0.8, and chains of these) one row stays, that of smallest doc_id, null after all others. Candidates come from MinHash keys: op4's fingerprints, within
-    the few bits that they can be searched by, miss nine of ten such copies. Rows equal in all columns are one row; texts without words are one group."""
-    return near_copies.first_rows(docs.select(*COLUMNS), words=5, similarity=0.8)
+    """Of each group of near-duplicates (sets of five-word shingles at a Jaccard similarity of 0.8, and chains of these) one row stays, that of smallest doc_id, null after
+    all others. Candidates are texts whose SimHash fingerprints of these shingles differ in at most 4 bits, searched by op4's operator, and, as that limit misses
+    most such copies, those that share a MinHash key; whole sets decide. Rows equal in all columns are one row; texts without words are one group."""
+    return near_copies.first_rows(docs.select(*COLUMNS), words=5, similarity=0.8, limit=4)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality), ("near-dedup by MinHash", near_dedup), ("substring dedup", substring_dedup), ("secret scan", secrets), ("best-fit packing", pack)]
+STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("secret scan", secrets), ("best-fit packing", pack)]
 #: Similarity of shingle sets and byte-pair tokens are beyond SQL; tests compare near-dedup with brute force, and run() with the stages by row count.
 ORACLE_SQL = None
 

@@ -1,8 +1,9 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles: MinHash bands find groups of candidates, exact comparison the links.
+"""Near copies by the Jaccard similarity of their sets of word shingles: SimHash and MinHash find groups of candidates, exact comparison the links.
 
-Each text gets BANDS keys of DEPTH minhashes. Texts that share a key form candidate groups; all pairs within such a group are then compared
-by their whole sets, in blocks, so only links at or above the similarity count, and a group's leader need not be near its members. A pair at a
-similarity of s shares no key with a chance of (1 - s^DEPTH)^BANDS: 6 in 100,000 at 0.8, less above.
+Each text gets a SimHash fingerprint, searched as op4's are, and texts whose fingerprints differ in few bits are candidates. That limit is too narrow for
+most pairs near the similarity, so each text also gets BANDS keys of DEPTH minhashes, and texts that share a key are candidates too. All pairs within a
+group of candidates are then compared by their whole sets, in blocks, so only links at or above the similarity count, and a group's leader need not be near
+its members. A pair at a similarity of s shares no key with a chance of (1 - s^DEPTH)^BANDS: 6 in 100,000 at 0.8, less above.
 
 Texts of equal sets are one node. Of the links of a block pair only a spanning forest is emitted, so a group of g texts gives few links. Words
 are split and lower-cased as for SimHash; fewer words than a shingle's make one shingle, texts without words are equal, null texts are empty.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessarium.llm import simhash
 from tessarium.llm.common import checkpointed, map_arrow, rows, stored
 from tessarium.llm.components import components
 from tessarium.llm.hashing import Spans, mixed, word_hashes
@@ -112,6 +114,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return map_arrow(dealt, run, "a binary, b binary")
 
 
+def fingerprint_candidates(nodes: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) that connect nodes (node, fp) just as all pairs of fingerprints within the limit do."""
+    firsts = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(firsts.select("fp"), limit)
+    for side in "ab":
+        near = near.join(firsts.select(F.col("fp").alias(side), F.col("first").alias(f"node_{side}")), side)
+    return equal.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
 def links(members: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) of nodes (root, node, found) that connect them as all similar pairs of one root do."""
     blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -144,25 +156,27 @@ def links(members: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(dealt, run, "a binary, b binary")
 
 
-def first_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of each group of near copies one row, unchanged."""
+def first_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, limit: int = 4) -> DataFrame:
+    """Of each group of near copies one row, unchanged; limit: bits in which candidates' fingerprints differ at most."""
     half = lambda *more: F.lpad(F.hex(F.xxhash64(*more, *docs.columns)), 16, "0")
     docs = docs.withColumn("_row", F.unhex(F.concat(half(), half(F.lit(1)))))
-    signed = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    signed = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("node", pa.binary()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, fps, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text or "", words)
                 nodes.append(node_of(found))
+                fps.append(simhash.fingerprint(text or "", words))
                 keys.append(band_keys(found))
-            yield rows(signed, batch.column("doc_id"), batch.column("_row"), nodes, pa.array(keys, signed.field("keys").type))
+            yield rows(signed, batch.column("doc_id"), batch.column("_row"), nodes, pa.array(fps, pa.int64()), pa.array(keys, signed.field("keys").type))
 
-    fps = stored(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "text"), sign, "doc_id long, row binary, node binary, keys array<long>"))
+    fps = stored(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "text"), sign, "doc_id long, row binary, node binary, fp long, keys array<long>"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("least")
     nodes = checkpointed(fps.groupBy("node").agg(least))
-    groups = components(candidates(fps.select("node", "keys").dropDuplicates(["node"])))
+    met = candidates(fps.select("node", "keys").dropDuplicates(["node"])).unionByName(fingerprint_candidates(fps.select("node", "fp").distinct(), limit))
+    groups = components(met)
     chosen = groups.join(nodes, "node").select(F.col("least.row").alias("_chosen"), "node", "root")
     held = pa.schema([("root", pa.binary()), ("node", pa.binary()), ("found", pa.binary())])
 

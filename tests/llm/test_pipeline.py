@@ -88,3 +88,14 @@ def test_stages_of_empty_tables_and_of_other_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         a, b = (sorted(map(tuple, stage(spark, d, "").collect()), key=repr) for d in (plain, other))
         assert a == b and stage(spark, other, "").columns == list(corpus_pipeline.COLUMNS), name
+
+
+def test_near_dedup_takes_candidates_from_fingerprints(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"w{r.randrange(9999)}" for _ in range(900)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"w{r.randrange(9999)}" for _ in range(900)), "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert (simhash.fingerprint(texts[0], 5) ^ simhash.fingerprint(texts[1], 5)).bit_count() <= 4
+    # without MinHash keys the fingerprints alone find the copy
+    monkeypatch.setattr(near_copies, "candidates", lambda nodes: spark.createDataFrame([], "a binary, b binary"))
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, TABLE).collect()} == {0, 2, 3}
