@@ -352,3 +352,14 @@ def test_events_of_the_same_moment_are_logged_once(spark, tmp_path):
     for name in ("event_log_parse", "event_entries"):
         found = registry.QUERIES[name](spark, str(tmp_path)).toPandas()
         assert len(found) == 120 and plain(found) == plain(con.sql(registry.SQL[name]).df())
+
+
+@pytest.mark.parametrize("threshold", [40.0, 80.0, 100.0])
+def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, threshold):
+    monkeypatch.setattr(duplicates, "BLOCK", 16)
+    r = random.Random(4)
+    names = sorted({"".join(r.choice("abc-12é 漢") for _ in range(r.randrange(1, 12))) for _ in range(90)} | {f"red-bolt-{i}" for i in range(20)} | {"z" * 70 + "a", "z" * 70 + "b", "a b", "b a"})
+    left, right = names[::2] + names[:9], names[5:]
+    found = duplicates.similar_texts(spark.createDataFrame([(x,) for x in [*left, "", None]], "a string"), spark.createDataFrame([(x,) for x in [*right, ""]], "b string"), threshold).collect()
+    score = lambda a, b: fuzzy.similarity(*(" ".join(sorted(x.split())) for x in (a, b)))
+    assert sorted((x.a, x.b, round(x.score, 6)) for x in found) == sorted((a, b, round(score(a, b), 6)) for a in set(left) for b in set(right) if score(a, b) >= threshold)
