@@ -3,7 +3,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark import TaskContext
+from pyspark.sql import functions as F
 
 from tessarium.functions.fuzzy import similarity
 from tessarium.operators import cells, linking, name_index, search
@@ -98,3 +101,23 @@ def test_shortlist_keeps_the_best_alias_of_a_page(spark):
     aliases = spark.createDataFrame([("red bolt", 1), ("red bolts", 1), ("red bolp", 2), ("blue", 3)], "alias string, page_id long")
     got = linking.shortlist(spark.createDataFrame([(" Red BOLT ",)], "text string"), aliases).orderBy("rank").collect()
     assert [(r.text, r.page_id, r.score, r["rank"]) for r in got] == [("red bolt", 1, 100, 1), ("red bolt", 2, 87, 2)]
+
+
+def test_blocks_of_few_bytes_are_dealt_over_tasks(spark):
+    """Blocks and parts of their visitors are much work, however few bytes they have."""
+    home = spark.range(400).selectExpr("id", "cast(id % 40 as int) AS _block")
+    solve = lambda x, y, first: pd.DataFrame({"task": [TaskContext.get().partitionId()], "pairs": [len(x) * len(y)]})
+    found = cells.met(home, home, solve, "task long, pairs long", F.xxhash64("id"), visitors_at_once=5).collect()
+    assert sum(r.pairs for r in found) == 400 * 10 and len({r.task for r in found}) > 1
+
+
+def test_best_names_of_long_and_odd_texts():
+    """Names beyond a machine word and beyond the usual length, and equal scores on the k-th place."""
+    r = random.Random(4)
+    known = sorted({"".join(r.choice("abé 1") for _ in range(n)).strip() or "x" for n in [*range(1, 90)] * 4} | {"ab " * 100, "b" * 200})
+    held = name_index.Held(known)
+    for text in ["ab1", "aé b", "a" * 63, "ab " * 30, "zz", known[7]]:
+        scores = sorted((-int(similarity(name_index.words_sorted(text), b) + 1e-9), i) for i, b in enumerate(held.by_word))
+        for k, least in ((1, 0), (5, 40), (300, 0)):
+            best, tried = name_index.best_of(text, name_index.letters([text])[0], held, k, least)
+            assert [(-s, i) for s, i in best] == [x for x in scores if -x[0] >= least][:k] and tried <= len(known)
