@@ -1,6 +1,7 @@
 """Joins by cells against all pairs: similar vectors, and names most similar to texts."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -121,3 +122,38 @@ def test_best_names_of_long_and_odd_texts():
         for k, least in ((1, 0), (5, 40), (300, 0)):
             best, tried = name_index.best_of(text, name_index.letters([text])[0], held, k, least)
             assert [(-s, i) for s, i in best] == [x for x in scores if -x[0] >= least][:k] and tried <= len(known)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize(("block", "tile"), [(4096, 1 << 20), (40, 300)])
+def test_nearest_in_slices(spark, monkeypatch, metric, block, tile):
+    """Copies tie by id whatever rounding does to their scores, linked pairs are left out, and scores are held a slice at a time."""
+    monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "TILE", tile)
+    r = np.random.default_rng(8)
+    bases = r.normal(size=(20, 7)) * 1000
+    rows = [(int(i), bases[(i * 7) % 20].tolist()) for i in range(160)]
+    links = [(q, d) for q in range(0, 160, 2) for d in range(160) if (q * 3 + d) % 9 == 0]
+    data = spark.createDataFrame(rows, "id long, v array<double>")
+    got = search.nearest(data, data.where("id % 2 = 0"), 6, metric, without=spark.createDataFrame(links, "query_id long, doc long"))
+    V, gone = np.array([v for _, v in rows]), set(links)
+    norm = np.linalg.norm(V, axis=1)
+    want = set()
+    for q in range(0, 160, 2):
+        s = np.sqrt(((V - V[q]) ** 2).sum(1)) if metric == "l2" else -(V @ V[q]) / (norm * norm[q] + 1e-12)
+        best = sorted((round(float(s[d]), 9), d) for d in range(160) if d != q and (q, d) not in gone)[:6]
+        want |= {(q, n, d) for n, (_, d) in enumerate(best, 1)}
+    assert {(x.query_id, x["rank"], x.doc) for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_scores_are_held_a_slice_at_a_time(metric):
+    """A block of queries against a block of vectors never holds all of its scores, nor differences of all components."""
+    r = np.random.default_rng(9)
+    A, B_ = r.normal(size=(3000, 16)), r.normal(size=(3000, 16))
+    none = lambda start, end: (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    tracemalloc.start()
+    found = [len(i) for i, _, _ in search.best_pairs(A, B_, 5, metric, none, None)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(found) == 15000 and peak < 3000 * 3000 * 8
