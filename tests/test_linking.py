@@ -99,3 +99,13 @@ def test_plan_of_resolution(spark, tmp_path):
     found = linking.decided(linking.resolved(spans, aliases, pages.select("page_id", tx.char_bag(F.col("body")).alias("v")), tx.char_bag))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bExchange ", plan)) < 15 and len(re.findall(r"Scan parquet", plan)) < 12
+
+
+def test_automata_are_not_made_for_every_task_of_every_part(spark):
+    """Parts of names times groups of bodies stay about as many as tasks."""
+    aliases, bodies = made(40, 2)
+    pages = spark.createDataFrame([(f"p{i}", b) for i, b in enumerate(bodies)], "page_id string, body string")
+    plan = linking.mentions(pages, spark.createDataFrame(aliases, "alias string, label string"), 60)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(part#\d+, group#\d+, (\d+)\)", plan)]
+    total = sum(len(a) for a, _ in aliases)
+    assert dealt and max(dealt) <= -(-total // 60) + int(spark.conf.get("spark.sql.shuffle.partitions"))
