@@ -83,3 +83,30 @@ def test_paths_of_many_pairs(spark, depth):
 
     got = links.path_lengths_many(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(pairs * 2, "a long, b long"), depth).collect()
     assert {(x.a, x.b): x.hops for x in got} == {(a, b): hops(a, b) for a, b in pairs} and len(got) == len(set(pairs))
+
+
+@pytest.mark.parametrize(("hubs", "starts"), [(60, 1024), (2, 3), (0, 5)])
+def test_paths_of_groups(spark, monkeypatch, hubs, starts):
+    """All pairs of groups, by way of hubs and without them, each once, though a pair stands in several groups; no exchange follows the pairs."""
+    monkeypatch.setattr(links, "HUBS", hubs)
+    monkeypatch.setattr(links, "STARTS", starts)
+    r, depth = random.Random(6), 5
+    edges = [(r.randrange(70), r.randrange(70)) for _ in range(75)] + [(100, i) for i in range(0, 40, 2)] + [(101, i) for i in range(30, 60, 3)] + [(200, 200)]
+    near: dict[int, set] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def hops(a):
+        seen, front = {a: 0} if a in near else {}, [a] if a in near else []
+        for n in range(1, depth + 1):
+            front = [y for y in {y for x in front for y in near[x]} if y not in seen]
+            seen |= dict.fromkeys(front, n)
+        return seen
+
+    sides = [[(r.choice([*range(70), 100, 101, 200, 999, None]), r.choice(["p", "q", "s", None])) for _ in range(90)] + [(200, "p"), (5, "p"), (5, "q")] for _ in "ab"]
+    found = links.path_lengths_of_groups(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(sides[0], "a long, group string"), spark.createDataFrame(sides[1], "b long, group string"), depth)
+    want = {(a, b): hops(a).get(b) for a, g in sides[0] for b, h in sides[1] if g is not None and g == h}
+    got = found.collect()
+    assert {(x.a, x.b): x.hops for x in got} == want and len(got) == len(want)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
