@@ -157,3 +157,20 @@ def test_scores_are_held_a_slice_at_a_time(metric):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(found) == 15000 and peak < 3000 * 3000 * 8
+
+
+@pytest.mark.parametrize(("k", "least"), [(3, 60.0), (1, 0.0), (30, 85.0)])
+def test_few_texts_meet_names_in_one_pass(spark, monkeypatch, k, least):
+    """Names aren't placed in cells for a few texts, and the rows are those of cells; so many batches that bars rise."""
+    known, asked = names_made(300, 1), names_made(40, 2) + ["gera bleu", "zzz", "x" * 400, "\u00e9 \U0001f600", "B 1"]
+    sides = spark.createDataFrame([(a,) for a in asked], "a string"), spark.createDataFrame([(b,) for b in [*known, "", None, known[1]]], "b string")
+    rows = lambda: {tuple(r) for r in name_index.nearest_names(*sides, k, least).collect()}
+    monkeypatch.setattr(name_index, "SCANNED", 0)
+    by_cells = rows()
+    monkeypatch.setattr(name_index, "SCANNED", 256)
+    monkeypatch.setattr(cells, "celled", lambda *_: pytest.fail("placed"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        assert rows() == by_cells != set()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
