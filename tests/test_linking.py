@@ -109,3 +109,22 @@ def test_automata_are_not_made_for_every_task_of_every_part(spark):
     dealt = [int(n) for n in re.findall(r"hashpartitioning\(part#\d+, group#\d+, (\d+)\)", plan)]
     total = sum(len(a) for a, _ in aliases)
     assert dealt and max(dealt) <= -(-total // 60) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("frequent", [256, 2])
+def test_spans_of_a_frequent_text_are_not_put_into_one_task(spark, monkeypatch, frequent):
+    """All texts, or the two most frequent ones, are sent to their spans, whatever joins are usual."""
+    pages = spark.createDataFrame([(f"p{i}", f"Red Bolt {i}", ["bolt"], "active", "concept", i, "ab" * i) for i in range(5)], "page_id string, title string, aliases array<string>, status string, type string, pos int, body string")
+    texts = ["red bult 1"] * 20 + ["bolt"] * 10 + ["red balt 2", "nothing alike", "Red Bolt 3"]
+    spans = spark.createDataFrame([(f"p{i % 5}", x, "ORG", i, i + len(x), 0, "abcd"[: i % 5]) for i, x in enumerate(texts)], "page_id string, text string, label string, start int, end int, pos int, context string")
+    find = lambda: linking.resolved(spans, linking.alias_table(pages), pages.select("page_id", tx.char_bag(F.col("body")).alias("v")), tx.char_bag)
+    want = sorted(find().collect(), key=repr)
+    monkeypatch.setattr(linking, "FREQUENT", frequent)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = find()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and (frequent == 2 or "hashpartitioning(k" not in plan)
+        assert sorted(found.collect(), key=repr) == want and len(want) == len(texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
