@@ -128,3 +128,20 @@ def test_spans_of_a_frequent_text_are_not_put_into_one_task(spark, monkeypatch,
         assert sorted(found.collect(), key=repr) == want and len(want) == len(texts)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bags_of_odd_texts(spark):
+    texts = ["", "abc ABC", "\u00e9t\u00e9 \U0001f600", "\x00\x01a", "012345678\n\t", "\u0130"]
+    plain = lambda x: [sum(ord(c) % 8 == d for c in x) for d in range(8)]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select(F.lower("x").alias("x"), tx.char_bag(F.col("x")).alias("v")).collect()
+    for x, v in rows:
+        n = sum(c * c for c in plain(x)) ** 0.5 or 1.0
+        assert v == pytest.approx([c / n for c in plain(x)])
+
+
+def test_stubs_take_each_slugs_first_place(spark):
+    rows = [("b", "New Thing", "ORG", 5, 0, "open"), ("a", "new thing", "CONCEPT", 9, 0, "open"), ("a", "New  Thing", "ORG", 9, 1, "open"), ("a", "x", "ORG", 1, 0, "open"), ("a", "New Thing", "ORG", 1, 0, "link"), ("c", "!", "ORG", 1, 0, "open")]
+    found = spark.createDataFrame(rows, "page_id string, text string, label string, start int, pos int, action string")
+    stubs = linking.stubs(found, spark.createDataFrame([("entities/x",)], "page_id string"), F.lit("2024-01-01").cast("timestamp"))
+    assert [(r.page_id, r.title, r.type) for r in stubs.collect()] == [("concepts/new-thing", "new thing", "concept")]
+    assert "Window" not in stubs._jdf.queryExecution().executedPlan().toString()
