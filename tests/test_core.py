@@ -363,3 +363,29 @@ def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, threshold):
     found = duplicates.similar_texts(spark.createDataFrame([(x,) for x in [*left, "", None]], "a string"), spark.createDataFrame([(x,) for x in [*right, ""]], "b string"), threshold).collect()
     score = lambda a, b: fuzzy.similarity(*(" ".join(sorted(x.split())) for x in (a, b)))
     assert sorted((x.a, x.b, round(x.score, 6)) for x in found) == sorted((a, b, round(score(a, b), 6)) for a in set(left) for b in set(right) if score(a, b) >= threshold)
+
+
+def test_scopes_by_query_need_no_postings(spark, monkeypatch):
+    """Documents are scored as for scopes of all questions, and only those in a question's scope are ranked for it."""
+    r = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("red blue bolt gear ring well-known kit".split()) for _ in range(r.randrange(12)))) for i in range(120)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "red bolt"), (2, "well-known gear kit"), (3, "zzz"), (4, ""), (9, "ring")], "query_id long, question string")
+    pairs = [(q, d) for q in (1, 2, 3, 4, 7) for d in range(130) if r.random() < 0.3] * 2
+    scope = spark.createDataFrame(pairs, "query_id long, doc long").distinct()
+    rows = lambda: {(x.query_id, x.doc): (round(x.score, 9), x["rank"]) for x in search.bm25(docs, asked, 5, scope=scope).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(search, "SENT", 0)
+        want = rows()
+    monkeypatch.setattr(search, "postings", lambda *_: pytest.fail("postings"))
+    assert rows() == want and {q for q, _ in want} == {1, 2} and set(want) <= set(pairs)
+
+
+def test_texts_of_contexts_are_read_apart(spark):
+    """Words are looked for in texts, not in what chunks hold."""
+    chunks = spark.createDataFrame([(i, None, 1, 5, "s", "h", [1.0, float(i)]) for i in range(4)], "chunk_id long, text string, tokens int, page_id long, source_path string, heading string, v array<double>")
+    texts = spark.createDataFrame([(i, "red bolt" if i == 2 else "gear") for i in range(4)], "chunk_id long, text string")
+    pages = spark.createDataFrame([(5, "t", "concept", "active", "s", [1.0, 0.0])], "page_id long, title string, type string, status string, summary string, v array<double>")
+    bridge = chunks.select("chunk_id", "page_id")
+    asked, vectors = spark.createDataFrame([(1, "red bolt")], "query_id long, question string"), spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    first = lambda **more: retrieval.get_context(pages, chunks, bridge, asked, vectors, k=1, stem=False, **more)[1].first().chunk_id
+    assert first() == 0 and first(texts=texts) == 2
