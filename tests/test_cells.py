@@ -5,9 +5,11 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessarium.functions.fuzzy import similarity
 from tessarium.operators import cells, linking, name_index, search
@@ -174,3 +176,29 @@ def test_few_texts_meet_names_in_one_pass(spark, monkeypatch, k, least):
         assert rows() == by_cells != set()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pairs_of_two_blocks_leave_in_small_batches(spark, monkeypatch, tmp_path):
+    """Equal vectors are all pairs of their block, which no task may hold at once."""
+    monkeypatch.setattr(search, "PAIRS", 100)
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    rows = spark.createDataFrame([(i, [1.0, 2.0], "x") for i in range(120)], "id long, v array<double>, title string")
+
+    def found(rows, i, j, score):
+        (seen / f"{len(i)}").touch()
+        yield pa.RecordBatch.from_arrays([rows["title"].combine_chunks().take(pa.array(i)), pa.array(score)], names=["title", "score"])
+
+    got = search.similar_pairs(rows, 0.9, found=found, schema=StructType.fromDDL("title string, score double"))
+    assert got.count() == 120 * 119 // 2 and max(int(x.name) for x in seen.iterdir()) == 100
+
+
+def test_cosines_at_the_threshold_are_told_alike_in_any_block():
+    r = np.random.default_rng(1)
+    A = r.normal(size=(40, 7))
+    exact = search.cosine_matrix(A[:1], A[1:2])[0, 0]
+    whole = search.reaching(search.cosine_matrix(A, A), A, A, exact)
+    for i in range(40):
+        for j in range(40):
+            wide = [np.pad(A[k : k + 1], ((0, 0), (0, 5))) for k in (i, j)]
+            assert search.reaching(search.cosine_matrix(*wide), *wide, exact)[0, 0] == whole[i, j]
