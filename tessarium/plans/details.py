@@ -88,7 +88,7 @@ def tool_backlinks(spark, sf_dir):
 @query(f"{WE}, {_PAIRS} SELECT ka, kb, round(combined, 5) AS combined, row_number() OVER (ORDER BY round(combined, 9) DESC, ka, kb)::INT AS rank FROM pair_ QUALIFY rank <= 50")
 def dup_pairs_ranked(spark, sf_dir):
     """The fifty pairs that are most alike."""
-    found = duplicates.ranked(duplicates.find(_with_inbound(spark, sf_dir)), 50).select("ka", "kb", "combined")
+    found = duplicates.ranked(duplicates.find(_with_inbound(spark, sf_dir), facts=()), 50).select("ka", "kb", "combined")
     return found.selectExpr("ka", "kb", "round(combined, 5) AS combined", "row_number() OVER (ORDER BY round(combined, 9) DESC, ka, kb) AS rank")
 
 
